@@ -177,3 +177,21 @@ def mix(docs: DataFrame) -> DataFrame:
         .join(taken, "row_id", "left")
         .select("row_id", "doc_id", "source", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"))
     )
+
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """The mix as whole documents: each row of docs as often (0, 1 or 2 times) as the mix takes its words, rounded."""
+    share = (
+        mix(docs)
+        .groupBy("doc_id", "source")
+        .agg(F.floor(F.try_divide(F.sum("taken"), F.sum("size")) + 0.5).cast("int").alias("__copies"))
+        .where("__copies > 0")
+        .withColumnsRenamed({"doc_id": "__doc_id", "source": "__source"})
+    )
+    share = materialize(share, "mix-copies")
+    match = docs["doc_id"].eqNullSafe(F.col("__doc_id")) & docs["source"].eqNullSafe(F.col("__source"))
+    return (
+        docs.join(small_side(share, share.count()), match)
+        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+        .select(*[docs[c] for c in docs.columns])
+    )

@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import fingerprints, mixing, quality_rules, url_filter, warc
+from lodestrata.llm import fingerprints, mixing, near_dedup, packing, quality_classifier, quality_rules, url_filter, warc
 from lodestrata.llm.common import documents
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("row_id")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), width=3, percent=85).drop("text_hash")
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return url_filter.judge(pages, url_filter.default_rules(spark))
@@ -23,6 +31,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(documents(spark, sf_dir))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_rules.judge(docs, quality_rules.bucket_weights(docs, quality_rules.trusted_ids(labels)))
@@ -35,9 +47,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_mixing_sources": op2_mixing_sources,
+    "op4_near_dedup": op4_near_dedup,
     "op5_url_filters": op5_url_filters,
     "op6_fingerprints": op6_fingerprints,
+    "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_warc": op9_warc,
 }
@@ -78,3 +93,14 @@ ORACLES: dict[str, str] = {
         from owned
     """,
 }
+
+
+def register_pipeline() -> None:
+    import corpus_pipeline
+
+    QUERIES["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL:
+        ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
+register_pipeline()
