@@ -34,6 +34,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def where_here(df: DataFrame, condition: Column) -> DataFrame:
+    """df filtered by condition after its columns have been computed.
+
+    The optimizer moves a plain filter below the projection that makes its columns, and so would put
+    costly expressions, such as a text's words, into every place of the condition that needs them.
+    """
+    seq = F.monotonically_increasing_id().alias("__seq")
+    return df.select("*", seq).where(condition & (F.col("__seq") >= 0)).drop("__seq")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z only; other letters keep their case."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

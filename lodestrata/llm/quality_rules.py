@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import let, sampled_ids, words_of
+from lodestrata.llm.common import let, sampled_ids, where_here, words_of
 
 N_BUCKETS = 16_384
 #: Mean log-likelihood ratio from which a document counts as like the target.
@@ -140,4 +140,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
         & (100 * F.col("n_repeat_words") <= 50 * F.col("n_words"))
         & (F.coalesce(F.col("score"), F.lit(0.0)) >= MIN_SCORE)
     )
-    return scored.where(good).select("doc_id.*")
+    return where_here(scored, good).select("doc_id.*")
