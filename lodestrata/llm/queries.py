@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestrata.llm import fingerprints, mixing, near_dedup, packing, quality_classifier, quality_rules, url_filter, warc
+from lodestrata.llm import fingerprints, mixing, near_dedup, packing, quality_classifier, quality_rules, toxicity, url_filter, warc
 from lodestrata.llm.common import documents
 
 
@@ -46,6 +47,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(~held_out)
+    return toxicity.judge(docs, toxicity.learn(docs, labels)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_mixing_sources": op2_mixing_sources,
@@ -55,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_warc": op9_warc,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
