@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import fingerprints, mixing, near_dedup, packing, quality_classifier, quality_rules, toxicity, url_filter, warc
+from lodestrata.llm import fingerprints, lm_scoring, mixing, near_dedup, packing, quality_classifier, quality_rules, toxicity, url_filter, warc
 from lodestrata.llm.common import documents
 
 
@@ -19,6 +19,11 @@ def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("row_id")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
+    return lm_scoring.score(documents(spark, sf_dir), held_out)
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), width=3, percent=85).drop("text_hash")
 
@@ -57,6 +62,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_mixing_sources": op2_mixing_sources,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_near_dedup": op4_near_dedup,
     "op5_url_filters": op5_url_filters,
     "op6_fingerprints": op6_fingerprints,
