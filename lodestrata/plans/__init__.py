@@ -1,0 +1,6 @@
+"""Every registered query of the engine's own operators."""
+
+from lodestrata.plans import basics, records  # noqa: F401
+from lodestrata.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
