@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -45,31 +46,60 @@ def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch
         at = until
 
 
+#: A word of Latin-1 letters and perhaps punctuation after it: the tokenizer takes each of the two on its own.
+PLAIN_WORD = r"^(?P<base>[a-zß-öø-ÿÀ-ÖØ-Þ]+)(?P<tail>[.,!?;:*%$#&|]*)$"
+JOINED = 2_000
+
+
+def gathered(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of flat that the codes name, end to end, and where each ends."""
+    sizes = size[code]
+    upto = np.cumsum(sizes)
+    where = np.repeat(begin[code] - (upto - sizes), sizes) + np.arange(int(upto[-1]) if len(upto) else 0)
+    return flat[where], upto
+
+
 class WordIds:
-    """Token ids of words. Ids of the first CACHED_WORDS words stay; the rest are made anew for each slice."""
+    """Token ids of words. Ids of the first CACHED_WORDS plain words stay; others are made anew for each slice.
+
+    Plain words go to the tokenizer many at once, as one text: each gives exactly one id that ends a word,
+    and that tells them apart again.
+    """
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.slot: dict[str, int] = {}
         self.flat, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain words end to end, and how many each has."""
+        ids = [np.array(self.tokenizer.encode(" ".join(words[i : i + JOINED]), add_special_tokens=False).ids, np.uint32) for i in range(0, len(words), JOINED)]
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        ends = np.flatnonzero(self.ends_word[flat]) + 1
+        if len(ends) != len(words):  # a tokenizer of another kind
+            return self._any(words)
+        return flat, np.diff(ends, prepend=0)
+
+    def _any(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for one in ids for i in one), np.uint32, int(sizes.sum()))
-        return flat, sizes
+        return np.fromiter((i for one in ids for i in one), np.uint32, int(sizes.sum())), sizes
 
-    def lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A flat array of ids, and where each word's ids begin in it and how many they are."""
-        slots = np.fromiter((self.slot.get(w, -1) for w in words), np.int64, len(words))
+    def _bases(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An array of ids, and where the ids of each plain word begin in it and how many they are."""
+        slots = np.fromiter(map(self.slot.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(slots < 0)
-        flat, sizes = self._encode([words[i] for i in new]) if len(new) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        fresh = [words[i] for i in new.tolist()]
+        flat, sizes = self._plain(fresh)
         begin = np.cumsum(sizes) - sizes
         if len(new) and len(self.slot) + len(new) <= CACHED_WORDS:
             slots[new] = np.arange(len(self.slot), len(self.slot) + len(new))
-            self.slot.update((words[i], int(slots[i])) for i in new)
+            self.slot.update(zip(fresh, slots[new].tolist(), strict=True))
             self.begin = np.concatenate([self.begin, begin + len(self.flat)])
             self.size = np.concatenate([self.size, sizes])
             self.flat = np.concatenate([self.flat, flat])
@@ -80,12 +110,34 @@ class WordIds:
         all_begin[new], all_size[new] = begin + len(self.flat), sizes
         return np.concatenate([self.flat, flat]), all_begin, all_size
 
+    def lookup(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A flat array of ids, and where each word's ids begin in it and how many they are."""
+        parts = pc.extract_regex(words, PLAIN_WORD)
+        plain = parts.is_valid()
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        bases, tails = (parts.filter(plain).field(i).dictionary_encode() for i in (0, 1))
+        flat, begin, size = self._bases(bases.dictionary.to_pylist())
+        rest_flat, rest_size = self._any([*tails.dictionary.to_pylist(), *words.filter(pc.invert(plain)).to_pylist()])
+        begin, size = np.concatenate([begin, np.cumsum(rest_size) - rest_size + len(flat)]), np.concatenate([size, rest_size])
+        flat = np.concatenate([flat, rest_flat])
+        # Two units per plain word, one per other word.
+        n_units = np.where(is_plain, 2, 1)
+        first = np.cumsum(n_units) - n_units
+        code = np.zeros(int(n_units.sum()), np.int64)
+        n_bases, n_tails = len(bases.dictionary), len(tails.dictionary)
+        code[first[is_plain]] = bases.indices.to_numpy(zero_copy_only=False)
+        code[first[is_plain] + 1] = n_bases + tails.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        code[first[~is_plain]] = n_bases + n_tails + np.arange(int((~is_plain).sum()))
+        ids, upto = gathered(flat, begin, size, code)
+        ends = upto[first + n_units - 1]
+        return ids, np.concatenate([[0], ends[:-1]]) if len(ends) else ends, np.diff(ends, prepend=0)
+
     def documents(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All documents' ids in one array, an end id after each, and the ends of the documents in it."""
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
         offsets = split.offsets.to_numpy(zero_copy_only=False)
         coded = split.flatten().dictionary_encode()
-        flat, begin, size = self.lookup(coded.dictionary.to_pylist())
+        flat, begin, size = self.lookup(coded.dictionary)
         n_docs, n_words = len(texts), len(coded)
         # The end id is one more word, after each document's last.
         flat = np.append(flat, np.uint32(end_id))
@@ -95,10 +147,8 @@ class WordIds:
         code = np.empty(n_words + n_docs, np.int64)
         code[closing] = len(begin) - 1
         code[~closing] = coded.indices.to_numpy(zero_copy_only=False)
-        sizes = size[code]
-        upto = np.cumsum(sizes)
-        where = np.repeat(begin[code] - (upto - sizes), sizes) + np.arange(int(upto[-1]) if len(upto) else 0)
-        return flat[where], upto[closing]
+        ids, upto = gathered(flat, begin, size, code)
+        return ids, upto[closing]
 
 
 _WORD_IDS: dict[str, WordIds] = {}
