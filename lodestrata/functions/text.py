@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The named entities that are decoded.
 ENTITIES = {
@@ -47,7 +48,7 @@ def decode_named(c: Column) -> Column:
     return F.regexp_replace(c, "(?i)&amp;", "&")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_entities(texts: pd.Series) -> pd.Series:
     """Named and numeric entities; unknown ones stay."""
 
@@ -149,7 +150,7 @@ def format_of(head: Column) -> Column:
     )
 
 
-@F.pandas_udf("array<struct<title: string, xml: string>>")
+@F.pandas_udf(T.ArrayType(T.StructType().add("title", "string").add("xml", "string")))
 def top_sections(bodies: pd.Series) -> pd.Series:
     """The outermost <sec> elements with their titles: inner ones are counted in and out, never taken for an end."""
 

@@ -11,6 +11,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from lodestrata.functions.similarity import cosine
@@ -118,7 +119,7 @@ def porter_step1(word: str) -> str:
     return word
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stemmed(words: pd.Series) -> pd.Series:
     """English analyzer: Arrow batches, each distinct word once."""
     known = {w: porter_step1(w) for w in words.dropna().unique()}

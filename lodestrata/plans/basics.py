@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -10,7 +10,8 @@ from lodestrata.functions import normalize
 from lodestrata.operators import relational as rel
 from lodestrata.plans.registry import Tables, query
 
-YEAR = F.year("o_orderdate").cast("long")
+def year() -> Column:
+    return F.year("o_orderdate").cast("long")
 
 
 @query("select o_orderkey, o_custkey, o_totalprice from orders")
@@ -30,7 +31,7 @@ def key_list_lookup(t: Tables) -> DataFrame:
 
 @query("select year(o_orderdate) as y, count(*) as n from orders where year(o_orderdate) >= 1995 group by 1")
 def lake_scan(t: Tables) -> DataFrame:
-    return t.orders.where(YEAR >= 1995).groupBy(YEAR.alias("y")).agg(F.count("*").alias("n"))
+    return t.orders.where(year() >= 1995).groupBy(year().alias("y")).agg(F.count("*").alias("n"))
 
 
 @query("select event_id, ts, event_type from events order by ts desc, event_id desc limit 50")
@@ -41,7 +42,7 @@ def feed_latest(t: Tables) -> DataFrame:
 @query("select o_orderkey, o_orderdate, o_totalprice from orders where o_orderstatus = 'O' and o_totalprice > 1000 order by year(o_orderdate) desc nulls last, o_orderkey desc limit 50 offset 100")
 def browse_page(t: Tables) -> DataFrame:
     conditions = [F.col("o_orderstatus") == "O", None, F.col("o_totalprice") > 1000]
-    page = rel.browse_page(t.orders, conditions, [YEAR.desc_nulls_last(), F.col("o_orderkey").desc()], 50, 100)
+    page = rel.browse_page(t.orders, conditions, [year().desc_nulls_last(), F.col("o_orderkey").desc()], 50, 100)
     return page.select("o_orderkey", "o_orderdate", "o_totalprice")
 
 
@@ -256,7 +257,7 @@ def facet_counts(t: Tables) -> DataFrame:
 
 @query("select year(o_orderdate) as y, count(*) as n from orders group by 1 order by y")
 def year_histogram(t: Tables) -> DataFrame:
-    return t.orders.groupBy(YEAR.alias("y")).agg(F.count("*").alias("n")).orderBy("y")
+    return t.orders.groupBy(year().alias("y")).agg(F.count("*").alias("n")).orderBy("y")
 
 
 @query("select n_name, count(c_custkey) as n from nation left join customer on c_nationkey = n_nationkey and c_acctbal > 9000 group by 1")
@@ -339,7 +340,7 @@ def whip_count(t: Tables) -> DataFrame:
 
 @query("select o_custkey, o_orderkey from orders join (select o_custkey as k, max(year(o_orderdate)) as y from orders group by 1) on k = o_custkey and y = year(o_orderdate)")
 def still_sitting(t: Tables) -> DataFrame:
-    w = W.partitionBy("o_custkey").orderBy(YEAR.desc())
+    w = W.partitionBy("o_custkey").orderBy(year().desc())
     return t.orders.withColumn("r", F.rank().over(w)).where("r = 1").select("o_custkey", "o_orderkey")
 
 
@@ -366,7 +367,7 @@ def per_group_cap(t: Tables) -> DataFrame:
 
 @query("select y, sum(n) over (order by y)::bigint as total from (select year(o_orderdate) as y, count(*) as n from orders group by 1)")
 def cumulative_years(t: Tables) -> DataFrame:
-    per = t.orders.groupBy(YEAR.alias("y")).agg(F.count("*").alias("n"))
+    per = t.orders.groupBy(year().alias("y")).agg(F.count("*").alias("n"))
     return per.select("y", F.sum("n").over(W.orderBy("y").rowsBetween(W.unboundedPreceding, 0)).alias("total"))
 
 

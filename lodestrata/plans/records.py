@@ -84,9 +84,9 @@ def lake_name(t: Tables) -> DataFrame:
     return t.part.select("p_brand").distinct().select("p_brand", normalize.lake_name(F.concat(F.lit("My"), F.col("p_brand"), F.lit(" Table"))).alias("lake_name"))
 
 
-@query("select doc_id, trim(strip_accents(lower(substr(text, 1, 60)))) as plain from documents where lang in ('fr', 'es')")
+@query("select doc_id, md5(trim(strip_accents(lower(text)))) as plain from documents where lang in ('fr', 'es')")
 def strip_accents(t: Tables) -> DataFrame:
-    return t.documents.where(F.col("lang").isin("fr", "es")).select("doc_id", normalize.strip_accents(F.substring("text", 1, 60)).alias("plain"))
+    return t.documents.where(F.col("lang").isin("fr", "es")).select("doc_id", F.md5(normalize.strip_accents(F.col("text"))).alias("plain"))
 
 
 @query("""
@@ -144,13 +144,13 @@ def json_ops(t: Tables) -> DataFrame:
 
 
 @query("""
-    with m as (select o_orderkey, 'see H.R. ' || (o_orderkey % 900 + 1) || ' and S. ' || (o_orderkey % 70 + 1) || ', H.J.Res. 7; again S. ' || (o_orderkey % 70 + 1) as t from orders where o_orderkey <= 2000)
+    with m as (select o_orderkey, 'see H.R. ' || (o_orderkey % 900 + 1) || ' and S. ' || (o_orderkey % 70 + 1) || ', H.J.Res. 7; again S. ' || (o_orderkey % 70 + 1) as t from orders)
     select o_orderkey, 'HB' || (o_orderkey % 900 + 1) || ',SB' || (o_orderkey % 70 + 1) || ',HJR7' as mentions from m
 """)
 def extract_mentions(t: Tables) -> DataFrame:
     n = lambda m: (F.col("o_orderkey") % m + 1).cast("string")
     prose = F.concat(F.lit("see H.R. "), n(900), F.lit(" and S. "), n(70), F.lit(", H.J.Res. 7; again S. "), n(70))
-    return t.orders.where("o_orderkey <= 2000").select("o_orderkey", F.array_join(parse.bill_mentions(prose), ",").alias("mentions"))
+    return t.orders.select("o_orderkey", F.array_join(parse.bill_mentions(prose), ",").alias("mentions"))
 
 
 @query("select page_id, regexp_extract(url, '^(https?)://', 1) as scheme, nullif(regexp_extract(url, '/([a-z]{2})/', 1), '') as lang, try_cast(nullif(regexp_extract(url, '/[a-z]{2}/([0-9]+)', 1), '') as int) as number from pages")
@@ -172,11 +172,11 @@ def external_ids(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", ids["ballotpedia"], ids["votesmart"], ids["opensecrets"])
 
 
-@query("select c_custkey, 'skip' as income, c_name as name, 'intro' as done from customer where c_custkey <= 500")
+@query("select c_custkey, 'skip' as income, c_name as name, 'intro' as done from customer")
 def parse_kv_blocks(t: Tables) -> DataFrame:
     block = F.concat(F.lit("Thanks.\n```answers\nname: x\nincome: skip\n#done intro\n```\nMore\n```answers\nname: "), F.col("c_name"), F.lit("\n```"))
     fields = parse.answer_fields(block)
-    return t.customer.where("c_custkey <= 500").select("c_custkey", fields["income"].alias("income"), fields["name"].alias("name"), F.array_join(parse.answers_done(block), ",").alias("done"))
+    return t.customer.select("c_custkey", fields["income"].alias("income"), fields["name"].alias("name"), F.array_join(parse.answers_done(block), ",").alias("done"))
 
 
 @query("""
@@ -209,16 +209,16 @@ def html_to_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.trim(F.regexp_replace(text.html_to_text(F.col("html")), r"\s+", " ")).alias("prose"))
 
 
-@query("select o_orderkey, 'Bill ' || o_orderkey || ' A & B' as body from orders where o_orderkey <= 3000")
+@query("select o_orderkey, 'Bill ' || o_orderkey || ' A & B' as body from orders")
 def xml_to_text(t: Tables) -> DataFrame:
     xml = F.concat(F.lit("<?xml version='1.0'?><bill><header>Bill "), F.col("o_orderkey").cast("string"), F.lit("</header><!-- x --><text>A &amp; B</text></bill>"))
-    return t.orders.where("o_orderkey <= 3000").select("o_orderkey", F.trim(F.regexp_replace(text.xml_to_text(xml), r"\s+", " ")).alias("body"))
+    return t.orders.select("o_orderkey", F.trim(F.regexp_replace(text.xml_to_text(xml), r"\s+", " ")).alias("body"))
 
 
-@query("select o_orderkey, '  ' || o_orderkey || chr(10) || chr(10) || 'b  c' as tidy from orders where o_orderkey <= 3000")
+@query("select o_orderkey, '  ' || o_orderkey || chr(10) || chr(10) || 'b  c' as tidy from orders")
 def tidy_text(t: Tables) -> DataFrame:
     raw = F.concat(F.lit("\n\n  "), F.col("o_orderkey").cast("string"), F.lit(" \t\r\n\n\n\nb          c  \n "))
-    return t.orders.where("o_orderkey <= 3000").select("o_orderkey", text.tidy(raw).alias("tidy"))
+    return t.orders.select("o_orderkey", text.tidy(raw).alias("tidy"))
 
 
 @query("select c_custkey, c_name || ' is bold and code' || chr(10) || 'item' as prose from customer")
@@ -227,10 +227,10 @@ def plain_prose(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", text.plain_prose(md).alias("prose"))
 
 
-@query("select c_custkey, 'Intro ' || c_custkey as first_title, 2 as n_sections from customer where c_custkey <= 500")
+@query("select c_custkey, 'Intro ' || c_custkey as first_title, 2 as n_sections from customer")
 def jats_sections(t: Tables) -> DataFrame:
     body = F.concat(F.lit("<body><sec><title>Intro "), F.col("c_custkey").cast("string"), F.lit("</title><sec><title>Inner</title></sec></sec><sec id='2'><title>Results</title></sec></body>"))
-    parts = t.customer.where("c_custkey <= 500").select("c_custkey", text.top_sections(body).alias("s"))
+    parts = t.customer.select("c_custkey", text.top_sections(body).alias("s"))
     return parts.select("c_custkey", F.col("s")[0]["title"].alias("first_title"), F.size("s").alias("n_sections"))
 
 
@@ -255,10 +255,10 @@ def low_content(t: Tables) -> DataFrame:
     return t.pages.select("page_id", ((F.length("html") < 3000) & F.col("html").rlike("(?i)copyright|rights reserved|cookie")).alias("is_shell"))
 
 
-@query("select event_type, (case when event_id % 3 = 0 then 'gs://bucket/' || (event_id % 12) end) as uri, count(*) as n, string_agg(event_id, ',' order by event_id) as ids from events where event_id % 3 = 0 and event_id < 600 group by 1, 2")
+@query("select event_type, (case when event_id % 3 = 0 then 'gs://bucket/' || (event_id % 600) end) as uri, count(*) as n, string_agg(event_id, ',' order by event_id) as ids from events where event_id % 3 = 0 group by 1, 2")
 def stub_groups(t: Tables) -> DataFrame:
-    error = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("deferred: gs://bucket/"), (F.col("event_id") % 12).cast("string"), F.lit(" later")))
-    stubs = t.events.where("event_id < 600").select("event_id", "event_type", F.nullif(F.regexp_extract(error, r"(gs://\S+)", 1), F.lit("")).alias("uri")).where("uri is not null")
+    error = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("deferred: gs://bucket/"), (F.col("event_id") % 600).cast("string"), F.lit(" later")))
+    stubs = t.events.select("event_id", "event_type", F.nullif(F.regexp_extract(error, r"(gs://\S+)", 1), F.lit("")).alias("uri")).where("uri is not null")
     ids = F.array_join(F.transform(F.sort_array(F.collect_list("event_id")), lambda x: x.cast("string")), ",")
     return stubs.groupBy("event_type", "uri").agg(F.count("*").alias("n"), ids.alias("ids"))
 
@@ -271,11 +271,11 @@ def coerce_types(t: Tables) -> DataFrame:
     return t.events.select("event_id", lake.coerced(k, "int4").alias("k"), F.round(lake.coerced(v, "numeric"), 2).alias("v"), lake.coerced(flag, "bool").alias("flag"))
 
 
-@query("select c_custkey, c_name as name, c_acctbal > 0 as positive from customer where c_custkey <= 300")
+@query("select c_custkey, c_name as name, c_acctbal > 0 as positive from customer")
 def csv_parse(t: Tables) -> DataFrame:
     line = F.concat(F.lit('"'), F.col("c_name"), F.lit('",'), (F.col("c_acctbal") > 0).cast("string"))
     row = F.from_csv(line, "name string, positive boolean", {"quote": '"', "escape": '"'})
-    return t.customer.where("c_custkey <= 300").select("c_custkey", row.alias("r")).select("c_custkey", "r.name", "r.positive")
+    return t.customer.select("c_custkey", row.alias("r")).select("c_custkey", "r.name", "r.positive")
 
 
 @query("select c_custkey, c_name as name, round(c_acctbal, 2) as balance, null::int as district from customer")
@@ -420,7 +420,7 @@ def promote_plan(t: Tables) -> DataFrame:
 
 
 @query("""
-    with q as (select o_orderkey as qid, case o_orderkey % 4 when 0 then 'HB' || lpad((o_orderkey % 1500 + 1)::varchar, 9, '0') when 1 then 'HB' || (o_orderkey % 1500 + 1) when 2 then 'H' || (o_orderkey % 1500 + 1) else 'ZZ' || (o_orderkey % 1500 + 1) end as num from orders where o_orderkey <= 4000),
+    with q as (select o_orderkey as qid, case o_orderkey % 4 when 0 then 'HB' || lpad((o_orderkey % 1500 + 1)::varchar, 9, '0') when 1 then 'HB' || (o_orderkey % 1500 + 1) when 2 then 'H' || (o_orderkey % 1500 + 1) else 'ZZ' || (o_orderkey % 1500 + 1) end as num from orders),
          b as (select c_custkey as id, 'HB' || lpad(c_custkey::varchar, 9, '0') as num from customer)
     select qid, b.id, case when b.id is null then null when qid % 4 = 0 then 1 when qid % 4 = 1 then 2 when qid % 4 = 2 then 3 else 4 end as pass from q left join b on b.id = qid % 1500 + 1
 """)
@@ -428,7 +428,7 @@ def resolve_ladder(t: Tables) -> DataFrame:
     n = F.col("o_orderkey") % 1500 + 1
     k = F.col("o_orderkey") % 4
     num = F.concat(F.when(k < 2, "HB").when(k == 2, "H").otherwise("ZZ"), F.when(k == 0, F.lpad(n.cast("string"), 9, "0")).otherwise(n.cast("string")))
-    asked = t.orders.where("o_orderkey <= 4000").select(F.col("o_orderkey").alias("qid"), num.alias("num"))
+    asked = t.orders.select(F.col("o_orderkey").alias("qid"), num.alias("num"))
     bills = t.customer.select(F.col("c_custkey").alias("id"), F.concat(F.lit("HB"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("num"))
     c = F.col("num")
     unpadded = F.regexp_replace(F.upper(c), "^([A-Z]*)0+", "$1")
@@ -439,14 +439,14 @@ def resolve_ladder(t: Tables) -> DataFrame:
 
 
 @query("""
-    with m as (select c_custkey as mid, c_nationkey as district, c_name as full_name, c_custkey % 3 as k from customer where c_custkey <= 600)
+    with m as (select c_custkey as mid, c_nationkey as district, c_name as full_name, c_custkey % 3 as k from customer)
     select mid, mid as person_id, case when k = 0 then 1 when k = 1 then 2 else 3 end as pass from m
 """)
 def person_match(t: Tables) -> DataFrame:
     k = F.col("c_custkey") % 3
     number = F.split_part("c_name", F.lit("#"), F.lit(2))
     people = t.customer.select(F.col("c_custkey").alias("person_id"), F.col("c_nationkey").alias("district"), number.alias("last"), F.lower("c_name").alias("full"), F.lit("customer").alias("first"))
-    members = t.customer.where("c_custkey <= 600").select(
+    members = t.customer.select(
         F.col("c_custkey").alias("mid"),
         F.when(k == 0, F.col("c_nationkey")).alias("district"),
         number.alias("last"),
@@ -557,11 +557,11 @@ def published_match(t: Tables) -> DataFrame:
     return best.select(F.col("item_id").alias("a"), (-F.col("x")["col2"]).alias("best"), F.round(F.col("x.j"), 4).alias("score"))
 
 
-@query("select o_orderkey, o_orderkey as doc_id, 'number' as how from orders where o_orderkey % 3 = 0 and o_orderkey < 3000 union all select o_orderkey, o_orderkey, 'kind' from orders where o_orderkey % 3 = 1 and o_orderkey < 3000 union all select o_orderkey, null, null from orders where o_orderkey % 3 = 2 and o_orderkey < 3000")
+@query("select o_orderkey, o_orderkey as doc_id, 'number' as how from orders where o_orderkey % 3 = 0 union all select o_orderkey, o_orderkey, 'kind' from orders where o_orderkey % 3 = 1 union all select o_orderkey, null, null from orders where o_orderkey % 3 = 2")
 def version_match(t: Tables) -> DataFrame:
     k = F.col("o_orderkey")
-    versions = t.orders.where("o_orderkey < 3000").select("o_orderkey", F.when(k % 3 == 0, k).alias("number"), F.when(k % 3 == 1, F.concat(F.lit("kind-"), k.cast("string"))).alias("kind"))
-    docs = t.orders.where("o_orderkey < 3000 and o_orderkey % 3 < 2").select(k.alias("doc_id"), k.alias("number"), F.concat(F.lit("kind-"), k.cast("string")).alias("kind"))
+    versions = t.orders.select("o_orderkey", F.when(k % 3 == 0, k).alias("number"), F.when(k % 3 == 1, F.concat(F.lit("kind-"), k.cast("string"))).alias("kind"))
+    docs = t.orders.where("o_orderkey % 3 < 2").select(k.alias("doc_id"), k.alias("number"), F.concat(F.lit("kind-"), k.cast("string")).alias("kind"))
     found = resolve.ladder(versions, docs, "o_orderkey", "doc_id", [([F.col("number")],) * 2 + (False,), ([F.col("kind")],) * 2 + (True,)])
     return found.select("o_orderkey", "doc_id", F.when(F.col("pass") == 1, "number").when(F.col("pass") == 2, "kind").alias("how"))
 

@@ -14,14 +14,19 @@ from lodestrata.operators.merge import last_write_wins, upsert
 RATE_LIMIT_S = 30
 
 
+def _timed(stream: DataFrame, ts: str) -> DataFrame:
+    """Watermarks need a timestamp with a time zone; the session's is taken for those without."""
+    return stream.withColumn(ts, F.col(ts).cast("timestamp"))
+
+
 def deduplicated(stream: DataFrame, key: str, ts: str, lateness: str = "1 day") -> DataFrame:
     """Each key once within the watermark; re-read overlaps drop out. State older than that is given up."""
-    return stream.withWatermark(ts, lateness).dropDuplicatesWithinWatermark([key])
+    return _timed(stream, ts).withWatermark(ts, lateness).dropDuplicatesWithinWatermark([key])
 
 
 def trending(stream: DataFrame, value: str, ts: str, lateness: str = "1 hour") -> DataFrame:
     """Counts by value in sliding windows of a day, hour by hour."""
-    counted = stream.withWatermark(ts, lateness) if stream.isStreaming else stream
+    counted = _timed(stream, ts).withWatermark(ts, lateness) if stream.isStreaming else stream
     return counted.groupBy(F.window(ts, "24 hours", "1 hour").alias("w"), value).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), value, "n")
 
 
