@@ -90,7 +90,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     on = ["key"]
     if small_side(lookup, shape.n) is lookup:
         exploded = exploded.withColumn("salt", F.pmod("row", F.lit(SALTS)))
-        lookup = lookup.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        lookup = lookup.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         on = ["key", "salt"]
     else:
         lookup = small_side(lookup, shape.n)
