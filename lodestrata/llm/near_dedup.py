@@ -10,8 +10,9 @@
 4. Verification. Pairs whose sketches estimate a resemblance clearly below the threshold go; the full
    sets of the others are intersected.
 5. Components of the confirmed links, by contraction. In groups that are not one component yet, the classes
-   outside the group's largest component are held against all others of the group that are still apart from
-   them, so no candidate pair is lost; verified links join in, and components are found again.
+   outside the group's largest component are held against its best-linked member. Classes of groups that are
+   apart even then meet through their rarest shingles, a filter that loses no pair that reaches the
+   threshold; verified links join in, and components are found again.
 
 Shingles, threshold and sizes are parameters. Nothing of the data passes the driver but counts.
 
@@ -209,6 +210,39 @@ def components(links: DataFrame) -> DataFrame:
     return roots
 
 
+def _unfinished(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, class_no, root and main, the group's largest component, of groups of more than two classes that are not one component."""
+    known = roots.select(F.col("node").alias("class_no"), "root")
+    rooted = members.join(known, "class_no", "left").select("key", "class_no", F.coalesce("root", "class_no").alias("root"))
+    rooted = materialize(rooted, "near-rooted")
+    shares = rooted.groupBy("key", "root").agg(F.count("*").alias("held"))
+    largest = shares.groupBy("key").agg(F.max(F.struct("held", "root")).alias("most"), F.count("*").alias("roots"), F.sum("held").alias("size"))
+    largest = materialize(largest.where("roots > 1 and size > 2").select("key", F.col("most.root").alias("main")), "near-largest")
+    return rooted.join(largest, "key")
+
+
+def _sharing_rare(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of classes of different roots that can reach the threshold, by their shingles in order of rarity.
+
+    Two sets of m and n shingles that reach it share `need` at least, so the first one that they share, in any
+    order common to all, is among the m - need + 1 first of one and the n - need + 1 first of the other. Rare
+    shingles come first: what the many versions of one text have in common doesn't bring them together.
+    """
+    tokens = sets.select("class_no", F.explode("hashes").alias("t"))
+    held = tokens.groupBy("t").agg(F.count("*").alias("df"))
+    ordered = tokens.join(held, "t").groupBy("class_no").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("ts"))
+    n = F.size("ts")
+    # A partner has percent of the size at least, and so has what both share.
+    reach = n - F.ceil(F.lit(percent) * n / 100).cast("int") + 1
+    firsts = ordered.select("class_no", n.alias("n"), F.posexplode(F.transform(F.slice("ts", F.lit(1), reach), lambda x: x["t"])).alias("i", "t"))
+    firsts = materialize(firsts.join(apart, "class_no"), "near-firsts")
+    x, y = (firsts.select("t", *[F.col(c).alias(f"{c}_{k}") for c in ("class_no", "root", "n", "i")]) for k in "xy")
+    need = F.expr(f"({percent} * (n_x + n_y) + {99 + percent}) div {100 + percent}")
+    near = (F.col("n_x") - F.col("i_x") >= need) & (F.col("n_y") - F.col("i_y") >= need)
+    both = x.join(y, (x.t == y.t) & (F.col("class_no_x") < F.col("class_no_y")) & (F.col("root_x") != F.col("root_y")) & near)
+    return both.select(F.col("class_no_x").alias("a"), F.col("class_no_y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id and kept of each row of docs (doc_id, text)."""
     signed = materialize(signatures(docs, width), "near-signatures")
@@ -249,22 +283,27 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     links = _verified(docs, classes, promising(first), width, percent)
     roots = components(links)
 
-    # Groups that are not one component yet.
-    known = roots.select(F.col("node").alias("class_no"), "root")
-    rooted = materialize(
-        members.join(known, "class_no", "left").select("key", "class_no", F.coalesce("root", "class_no").alias("root")), "near-rooted"
+    # Groups that are not one component yet: their classes outside the largest component meet its best-linked member.
+    first = materialize(first, "near-first")
+    degree = links.select(F.explode(F.array("a", "b")).alias("class_no")).groupBy("class_no").agg(F.count("*").alias("degree"))
+    still = materialize(_unfinished(members, roots).join(degree, "class_no", "left"), "near-open")
+    hub = still.where("root = main and degree is not null").groupBy("key").agg(F.max(F.struct("degree", "class_no")).alias("best"))
+    second = (
+        still.where("root <> main")
+        .join(hub, "key")
+        .select(F.least("class_no", "best.class_no").alias("a"), F.greatest("class_no", "best.class_no").alias("b"))
+        .distinct()
     )
-    shares = rooted.groupBy("key", "root").agg(F.count("*").alias("held"))
-    largest = shares.groupBy("key").agg(F.max(F.struct("held", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
-    largest = materialize(largest.select("key", F.col("most.root").alias("main")), "near-largest")
-    mixed_groups = rooted.join(largest, "key")
-    outside = mixed_groups.where("root <> main").select("key", F.col("class_no").alias("x"), F.col("root").alias("root_x"))
-    inside = mixed_groups.select("key", F.col("class_no").alias("y"), F.col("root").alias("root_y"), "main")
-    # Both ends outside the largest component: each pair once.
-    apart = (F.col("root_x") != F.col("root_y")) & ((F.col("root_y") == F.col("main")) | (F.col("x") < F.col("y")))
-    second = outside.join(inside, "key").where(apart).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    left = promising(second.join(materialize(first, "near-first"), ["a", "b"], "left_anti"))
+    left = promising(second.join(first, ["a", "b"], "left_anti"))
     if not left.isEmpty():
+        links = materialize(links.unionByName(_verified(docs, classes, left, width, percent)), "near-links")
+        roots = components(links)
+
+    # Classes of the groups that are apart even then, by the shingles that are rare among them.
+    apart = materialize(_unfinished(members, roots).select("class_no", "root").distinct(), "near-apart")
+    if not apart.isEmpty():
+        sets = materialize(_sets(docs, classes, apart.select("class_no"), width), "near-sets")
+        left = promising(_sharing_rare(apart, sets, percent).join(first, ["a", "b"], "left_anti"))
         more = _verified(docs, classes, left, width, percent)
         if not more.isEmpty():
             roots = components(links.unionByName(more))
