@@ -6,7 +6,7 @@
    XOR of two bitmaps tells how many samples differ, most precisely for very similar pairs.
 2. Classes. Documents with equal sets are one class, by a 128-bit digest; only classes go on.
 3. Candidates. Classes that share a band key and whose sizes allow the threshold are one group. A group never
-   emits all its pairs: each class is held against one pivot of the group, and other groups have other pivots.
+   emits all its pairs: each class is held against one pivot of the group; pivots come from a few orders of the classes.
 4. Verification. Pairs whose sketches estimate a resemblance clearly below the threshold go; the full
    sets of the others are intersected.
 5. Components of the confirmed links, by contraction. In groups that are not one component yet, the classes
@@ -44,6 +44,8 @@ SKETCH_BITS = 512
 #: A pair is verified unless its estimate is below the threshold by more than this: five standard errors.
 MARGIN = 0.15
 WORDS, PERCENT = 5, 80
+#: Groups choose their pivots by so many orders of all classes, so those that share most members share pivots too.
+PIVOT_ORDERS = 4
 
 _RNG = np.random.default_rng(20_140_407)
 _A = (_RNG.integers(0, 1 << 32, SAMPLES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
@@ -266,7 +268,7 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
         bands.join(shared, "band").select("class_no", F.explode(F.array(F.xxhash64("band", "step"), F.xxhash64("band", F.col("step") + 1))).alias("key")),
         "near-banded",
     )
-    order = F.struct(F.xxhash64("key", "class_no").alias("by"), F.col("class_no"))
+    order = F.struct(F.xxhash64(F.pmod("key", F.lit(PIVOT_ORDERS)), "class_no").alias("by"), F.col("class_no"))
     groups = banded.groupBy("key").agg(F.count("*").alias("size"), F.min(order).alias("pivot")).where("size > 1")
     groups = materialize(groups.select("key", F.col("pivot.class_no").alias("pivot")), "near-groups")
     members = materialize(banded.join(groups, "key").select("key", "class_no", "pivot"), "near-members")
