@@ -1,6 +1,6 @@
 """Near-duplicate documents by banded MinHash, odd sketches and an exact check.
 
-1. Signatures. Each text's distinct shingles are hashed to 64 bits. `BANDS` bands of `ROWS` MinHash values give
+1. Signatures. Each text's distinct shingles are hashed to 64 bits. `BANDS` bands of MinHash values give
    one key each. The MinHash samples are folded into an odd sketch: sample i with value v flips bit
    hash(i, v) of a parity bitmap, so what two documents share cancels out, and the population count of the
    XOR of two bitmaps tells how many samples differ, most precisely for very similar pairs.
@@ -36,10 +36,11 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import materialize, small_side
 from lodestrata.llm.packing import slices
 
-#: MinHash samples, and bands of so many of them each. Bands draw their samples anew, so they need no more samples than
-#: the sketch. At a similarity of 0.85 a pair has no band in common once in 60,000 times, and long bands keep texts apart that
-#: only share a passage.
+#: MinHash samples, and bands of so many of them each at most. Bands draw their samples anew, so they need no more samples
+#: than the sketch. Long bands keep texts apart that only share a passage.
 SAMPLES, BANDS, ROWS = 288, 72, 12
+#: Bands are so long that a pair at the threshold has none in common with this chance at most.
+MISSED = 1 / 25_000
 SKETCH_BITS = 512
 #: A pair is verified unless its estimate is below the threshold by more than this: five standard errors.
 MARGIN = 0.15
@@ -54,6 +55,12 @@ _SALT = _RNG.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
 _DRAWN = np.array([_RNG.choice(SAMPLES, ROWS, replace=False) for _ in range(BANDS)])
 
 
+def band_rows(percent: int) -> int:
+    """The longest bands that a pair at the threshold misses seldom enough: 12 samples at 0.85, 9 at 0.8."""
+    fit = [r for r in range(1, ROWS + 1) if (1 - (percent / 100) ** r) ** BANDS <= MISSED]
+    return max(fit, default=1)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every input bit moves every output bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -90,7 +97,7 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
         yield np.unique(total)
 
 
-def signature(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signature(hashes: np.ndarray, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Band keys and odd sketch of a non-empty set."""
     x = (hashes >> np.uint64(32)).astype(np.uint32)
     minima = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
@@ -98,7 +105,7 @@ def signature(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         np.minimum(minima, (x[at : at + 1024] * _A + _B).min(1), out=minima)
     samples = mixed(minima.astype(np.uint64) + _SALT)
     keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for r in range(ROWS):
+    for r in range(rows):
         keys = mixed(keys * np.uint64(31) + samples[_DRAWN[:, r]])
     flips = np.bincount((samples % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
     sketch = np.packbits(flips.astype(np.uint8)).view(np.int64)
@@ -110,7 +117,7 @@ def _digest(hashes: np.ndarray) -> tuple[int, int]:
     return int(d[0]), int(d[1])
 
 
-def signatures(docs: DataFrame, width: int = WORDS) -> DataFrame:
+def signatures(docs: DataFrame, width: int = WORDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, set digest (hi, lo), band keys and sketch; digest and signature null without shingles."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +125,7 @@ def signatures(docs: DataFrame, width: int = WORDS) -> DataFrame:
             for part in slices(batch):
                 cols: list[list] = [[], [], [], [], []]
                 for hashes in shingle_sets(part.column("text"), width):
-                    keys, sketch, (hi, lo) = (*signature(hashes), _digest(hashes)) if len(hashes) else (None, None, (None, None))
+                    keys, sketch, (hi, lo) = (*signature(hashes, rows), _digest(hashes)) if len(hashes) else (None, None, (None, None))
                     for c, v in zip(cols, (len(hashes), hi, lo, keys, sketch), strict=True):
                         c.append(v)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
@@ -247,7 +254,7 @@ def _sharing_rare(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id and kept of each row of docs (doc_id, text)."""
-    signed = materialize(signatures(docs, width), "near-signatures")
+    signed = materialize(signatures(docs, width, band_rows(percent)), "near-signatures")
     classes = materialize(
         signed.where("hi is not null")
         .groupBy("hi", "lo")

@@ -293,6 +293,28 @@ def test_sketches_estimate_similarity():
         assert abs(estimate - (1_000 - 2 * cut) / 1_000) < 0.12
 
 
+def test_bands_miss_seldom():
+    assert (near_dedup.band_rows(85), near_dedup.band_rows(80)) == (12, 9)
+    for percent in (30, 50, 80, 95):
+        assert (1 - (percent / 100) ** near_dedup.band_rows(percent)) ** near_dedup.BANDS <= near_dedup.MISSED
+
+
+def test_many_versions_apart(spark):
+    """Versions of one text with so many edits that most stay apart: they go through hubs and rare shingles."""
+    rng = np.random.default_rng(8)
+    stem = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(150):
+        w = list(stem)
+        for j in rng.choice(150, int(rng.integers(0, 14)), replace=False):
+            w[j] = f"x{rng.integers(0, 400)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, 3, 85).collect()}
+    want = {d: c for d, (_, c) in linked(dict(rows), 3, 85).items()}
+    assert len(set(want.values())) > 20 and got == want
+
+
 def test_components_of_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 102), (101, 102)], "a long, b long")
     got = {r.node: r.root for r in near_dedup.components(links).collect()}
