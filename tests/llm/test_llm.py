@@ -238,6 +238,31 @@ def test_score_edges(odd, nothing):
     assert all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in every)
 
 
+def test_attention_learns_from_late_tokens(spark):
+    """What comes after 512 other tokens, in each document, is learned too."""
+    cycle = "tree water stone paper house light".split()
+    rows = [(i, " ".join(["filler"] * 520 + cycle * 100)) for i in range(20)]
+    rows += [(100, " ".join(cycle * 40)), (101, " ".join(cycle[::-1] * 40))]
+    got = {r.doc_id: r.score for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 100).collect()}
+    assert got[100] - got[101] > 0.3 * 240
+
+
+def test_training_rounds_share_out_all_windows():
+    keys = np.random.default_rng(3).integers(0, 500, (8_000, 2 * lm_scoring.BLOCK))
+    turns = np.bincount(lm_scoring.rounds_of(keys), minlength=lm_scoring.EPOCHS)
+    assert turns.sum() == len(keys) and turns.min() > 0.8 * len(keys) / lm_scoring.EPOCHS
+
+
+def test_spelling_loses_no_pair(spark, docs, monkeypatch):
+    """Pairs beyond those that are broadcast count as well."""
+    monkeypatch.setattr(lm_scoring, "HEAD", 50)
+    held = F.col("doc_id") % 10 == 0
+    want = {r.doc_id: r.score for r in lm_scoring.score(docs, held).collect()}
+    monkeypatch.setattr(lm_scoring, "PAIRS", 20)
+    got = {r.doc_id: r.score for r in lm_scoring.score(docs, held).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[d], want[d], rel_tol=1e-6) for d in got)
+
+
 # 4 ------------------------------------------------------------------------------------------------------------
 
 
