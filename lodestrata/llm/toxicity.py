@@ -6,8 +6,8 @@ are words without case and without all that isn't a letter or digit; runs of sin
 ("i d i o t") are one string.
 
 Training. Every labelled training document is read. Words, and fragments of words, are counted by class
-(distributed); bounded lists go on: the fragments most bound to toxic documents become landmarks, and a
-linear SVM is trained on the Nyström features of pieces of the words that hold them and of other words. A document's evidence is that of its worst piece; a logistic curve through the evidence of
+(distributed). Of the fragments bound to toxic documents so many become landmarks that every toxic word with one is covered;
+toxic words too short for a fragment count as they are. A linear SVM is trained on the Nyström features of pieces of the words that hold them and of other words. A document's evidence is that of its worst piece; a logistic curve through the evidence of
 labelled sentences turns it into a score.
 
 Scoring. Only words in which some landmark's letters follow each other with at most `GAP` characters
@@ -37,13 +37,16 @@ from lodestrata.llm.fingerprints import shingle_hashes
 from lodestrata.llm.packing import slices
 
 ORDER, DECAY, GAP = 3, 0.6, 2
-#: Bounds of what training takes to the driver: words of either class, fragments, landmarks, calibration rows.
-TOXIC_WORDS, OTHER_WORDS, FRAGMENTS, LANDMARKS, CALIBRATION_ROWS = 2_000, 4_000, 3_000, 64, 20_000
+#: Bounds of the samples that training takes to the driver: words of clean documents, calibration rows. Toxic words, fragments and landmarks have none.
+OTHER_WORDS, CALIBRATION_ROWS = 4_000, 20_000
+#: Pairs whose kernel is computed at once, and landmarks of one regular expression.
+KERNEL_PAIRS, PATTERN = 40_000, 32
 #: A toxic fragment is in this many toxic training documents at least, and in so small a share of the clean ones against its share of the toxic ones.
 LEAST_DOCS, MOST_CLEAN_SHARE = 3, 0.005
 #: Lengths of fragments, of landmarks and of the pieces of a word that are held against them.
 FRAGMENT_LENGTHS, LONGEST, PIECE = (4, 5, 6), 12, 16
-THRESHOLD, NO_EVIDENCE = 0.7, -2.0
+#: Evidence of a document without any, and of a toxic word that is too short for a fragment.
+THRESHOLD, NO_EVIDENCE, EXACT_EVIDENCE = 0.7, -2.0, 1.0
 CACHED_WORDS = 200_000
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
@@ -84,7 +87,10 @@ def _chars(strings: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def subsequence_kernel(left: list[str], right: list[str], order: int = ORDER, decay: float = DECAY) -> np.ndarray:
-    """K(s, t) for all s in left, t in right (cut at PIECE characters), by the usual dynamic programme, all pairs at once."""
+    """K(s, t) for all s in left, t in right (cut at PIECE characters), by the usual dynamic programme, KERNEL_PAIRS pairs at once."""
+    step = max(1, KERNEL_PAIRS // max(1, len(right)))
+    if len(left) > step:
+        return np.vstack([subsequence_kernel(left[i : i + step], right, order, decay) for i in range(0, len(left), step)])
     a, _ = _chars(left, PIECE)
     b, _ = _chars(right, PIECE)
     if not len(left) or not len(right):
@@ -130,15 +136,18 @@ class Model:
     bias: float
     slope: float = 4.0
     shift: float = 0.0
+    exact: tuple[str, ...] = ()
 
     @property
     def lengths(self) -> tuple[int, ...]:
         base = sorted({len(m) for m in self.landmarks})
         return tuple(sorted({n + extra for n in base for extra in (0, GAP)}))
 
-    def pattern(self) -> str:
+    def patterns(self) -> list[str]:
+        """Regular expressions of PATTERN landmarks each."""
         gap = f".{{0,{GAP}}}"
-        return "|".join(gap.join(map(re.escape, m)) for m in self.landmarks) or r"[^\s\S]"
+        every = [gap.join(map(re.escape, m)) for m in self.landmarks]
+        return ["|".join(every[i : i + PATTERN]) for i in range(0, len(every), PATTERN)]
 
     def pieces_evidence(self, pieces: list[str]) -> np.ndarray:
         k = subsequence_kernel(pieces, self.landmarks)
@@ -158,6 +167,8 @@ class Model:
 
 def _own_all(pieces: list[str]) -> np.ndarray:
     """K(s, s) of each piece, all at once."""
+    if len(pieces) > KERNEL_PAIRS:
+        return np.concatenate([_own_all(pieces[i : i + KERNEL_PAIRS]) for i in range(0, len(pieces), KERNEL_PAIRS)])
     a, _ = _chars(pieces, PIECE)
     n, width = len(pieces), int((a > 0).sum(1).max(initial=1)) if len(pieces) else 1
     inner = np.ones((width + 1, width + 1, n))
@@ -180,15 +191,23 @@ def find_landmarks(fragments: dict[str, int], toxic: dict[str, int]) -> list[str
 
     So an insult comes whole, and a stem without its many endings. toxic: documents of each word.
     """
-    holders = {f: {w for w in toxic if f in w} for f in fragments}
+    holders: dict[str, set[str]] = {}
+    for w in toxic:
+        for part in {w[i : i + n] for n in FRAGMENT_LENGTHS for i in range(len(w) - n + 1)}:
+            if part in fragments:
+                holders.setdefault(part, set()).add(w)
     left, found = set(toxic), []
-    while left and len(found) < LANDMARKS:
-        weigh = lambda f: sum(toxic[w] for w in holders[f] & left)
-        best = max(holders, key=lambda f: (weigh(f), len(f), f), default=None)
-        if best is None or not weigh(best):
+    weight = {f: sum(toxic[w] for w in own) for f, own in holders.items()}
+    while weight:
+        best = max(weight, key=lambda f: (weight[f], len(f), f))
+        if not weight[best]:
             break
-        found.append(_shared(best, sorted(holders[best] & left)))
-        left -= holders[best]
+        gone = holders[best] & left
+        found.append(_shared(best, sorted(gone)))
+        left -= gone
+        for w in gone:
+            for part in {w[i : i + n] for n in FRAGMENT_LENGTHS for i in range(len(w) - n + 1)} & weight.keys():
+                weight[part] -= toxic[w]
     return sorted(set(found))
 
 
@@ -300,6 +319,22 @@ def fragment_documents(docs: DataFrame, known: DataFrame, fragments: list[str])
     )
 
 
+def holding(words: DataFrame, fragments: list[str]) -> DataFrame:
+    """word and toxic_docs of the words that have one of the fragments."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for f in fragments:
+            machine.add_word(f, f)
+        machine.make_automaton()
+        for batch in batches:
+            yield batch.filter(pa.array([next(machine.iter(w), None) is not None for w in batch.column("word").to_pylist()], pa.bool_()))
+
+    return words.select("word", "toxic_docs").mapInArrow(keep, "word string, toxic_docs long")
+
+
 def document_evidence(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """`keep` and evidence, that of the worst word, of each document."""
     types = {f.name: f.dataType.simpleString() for f in docs.schema if f.name in keep}
@@ -307,12 +342,15 @@ def document_evidence(docs: DataFrame, model: Model, keep: list[str]) -> DataFra
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
-        pattern = model.pattern()
+        patterns, exact = model.patterns(), pa.array(model.exact, pa.string())
         for batch in batches:
             for part in slices(batch):
                 words, owner = normal_words(part.column("text"))
                 coded = words.dictionary_encode()
-                hits = np.flatnonzero(pc.match_substring_regex(coded.dictionary, pattern).to_numpy(zero_copy_only=False))
+                near = np.zeros(len(coded.dictionary), bool)
+                for pattern in patterns:
+                    near |= pc.match_substring_regex(coded.dictionary, pattern).to_numpy(zero_copy_only=False)
+                hits = np.flatnonzero(near)
                 strings = coded.dictionary.take(pa.array(hits)).to_pylist()
                 new = [w for w in strings if w not in cache]
                 if len(cache) > CACHED_WORDS:
@@ -321,6 +359,8 @@ def document_evidence(docs: DataFrame, model: Model, keep: list[str]) -> DataFra
                     cache.update(zip(new[at : at + 2_000], model.words_evidence(new[at : at + 2_000]).tolist(), strict=True))
                 value = np.full(len(coded.dictionary), NO_EVIDENCE)
                 value[hits] = [cache[w] for w in strings]
+                short = pc.is_in(coded.dictionary, value_set=exact).to_numpy(zero_copy_only=False)
+                value[short] = np.maximum(value[short], EXACT_EVIDENCE)
                 out = np.full(len(part), NO_EVIDENCE)
                 np.maximum.at(out, owner, value[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(out)], [*keep, "evidence"])
@@ -360,29 +400,29 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         .agg(F.sum("toxic_docs").alias("toxic_docs"), F.sum("clean_docs").alias("clean_docs"))
     )
     fragments = materialize(fragments.where((F.col("toxic_docs") >= LEAST_DOCS) & rare_in_clean), "toxic-fragments")
-    tried = fragments.count()
-    first = [r.fragment for r in fragments.orderBy(F.col("toxic_docs").desc(), "fragment").limit(FRAGMENTS).collect()]
-    if not first:
-        return nothing
+    short = words.where((F.length("word") > 0) & (F.length("word") < min(FRAGMENT_LENGTHS)) & (F.col("toxic_docs") >= LEAST_DOCS) & rare_in_clean)
+    tried = fragments.count() + short.count()
     share = held[1] / (held[0] + held[1])
-    counted = fragment_documents(docs, known_side, first).where(rare_in_clean).collect()
-    # What chance alone would put into so many toxic documents only, of all fragments tried, is no insult.
+    # What chance alone would put into so many toxic documents only, of all that is tried, is no insult.
+    significant = F.pow(F.lit(share), F.col("toxic_docs")) * tried < 0.1
+    exact = tuple(sorted(r.word for r in short.where(significant).collect()))
+    # Words' documents are no fewer than those of the fragment, so none is lost here.
+    first = [r.fragment for r in fragments.where(significant).orderBy("fragment").collect()]
+    counted = fragment_documents(docs, known_side, first).where(rare_in_clean).collect() if first else []
     good = {r.fragment: r.toxic_docs for r in counted if r.toxic_docs >= LEAST_DOCS and share**r.toxic_docs * tried < 0.1}
-    if not good:
-        return nothing
-    wanted = words.where(rare_in_clean & F.col("word").rlike("|".join(map(re.escape, sorted(good)))))
-    toxic = {r.word: r.toxic_docs for r in wanted.orderBy(F.col("toxic_docs").desc(), "word").limit(TOXIC_WORDS).collect()}
+    toxic = {r.word: r.toxic_docs for r in holding(words.where(rare_in_clean & (F.col("toxic_docs") > 0)), sorted(good)).collect()} if good else {}
     landmarks = find_landmarks(good, toxic)
-    if not landmarks:
+    if not landmarks and not exact:
         return nothing
     clean = words.where("clean_docs > 0").where(~rare_in_clean)
     common = clean.orderBy(F.col("clean_docs").desc(), "word").limit(OTHER_WORDS // 2)
     hashed = clean.orderBy(F.xxhash64("word"), "word").limit(OTHER_WORDS // 2)
     # Clean words that pass the landmarks' pattern are the hard ones.
-    near = Model(landmarks, np.ones(len(landmarks)), np.zeros(len(landmarks)), 0.0).pattern()
+    near = "|".join(Model(landmarks, np.ones(len(landmarks)), np.zeros(len(landmarks)), 0.0).patterns()) or r"[^\s\S]"
     hard = clean.where(F.col("word").rlike(near)).orderBy(F.col("clean_docs").desc(), "word").limit(OTHER_WORDS // 2)
     other = {r.word for part in (common, hashed, hard) for r in part.collect()}
-    model = train_svm(landmarks, sorted(toxic), sorted(other))
+    model = train_svm(landmarks, sorted(toxic), sorted(other)) if landmarks else nothing
+    model.exact = exact
     ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
     rows = document_evidence(docs.join(F.broadcast(ids), "doc_id"), model, ["toxic"]).limit(CALIBRATION_ROWS).toPandas()
     model.slope, model.shift = calibrate(rows)

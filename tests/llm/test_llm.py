@@ -572,6 +572,23 @@ def test_toxicity_tolerates_gaps(spark):
     assert sum(held[r.doc_id] == r.toxic for r in labels.collect()) >= 395
 
 
+def test_toxicity_has_no_rank_limit(spark):
+    """Ninety insults, and one of three letters, are all found again."""
+    rng = np.random.default_rng(12)
+    make = lambda letters, n: "".join(rng.choice(list(letters), n))
+    insults = [*(make("bcdfghjkmpqrvwxz", 8) for _ in range(90)), "zog"]
+    plain = [make("aeilnost", 7) for _ in range(300)]
+    rows = []
+    for i in range(900):
+        words = list(rng.choice(plain, 30))
+        rows.append((i, " ".join([*words, *rng.choice(insults, 5, replace=False)] if i % 2 else words), i % 2))
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.learn(labelled.select("doc_id", "text"), labelled.select("doc_id", "toxic"))
+    fresh = [(i, " ".join([*rng.choice(plain, 10), w])) for i, w in enumerate(insults)] + [(1_000, " ".join(plain))]
+    got = {r.doc_id: r.predicted for r in toxicity.judge(spark.createDataFrame(fresh, "doc_id long, text string"), model).collect()}
+    assert sum(got.values()) == len(insults) and got[1_000] == 0
+
+
 def test_toxicity_without_labels(odd, nothing, no_labels):
     model = toxicity.learn(odd, no_labels)
     got = toxicity.judge(odd, model).collect()
