@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import materialize, small_side
 from lodestrata.llm.packing import slices
 
-#: MinHash samples, and bands of so many of them each at most. Bands draw their samples anew, so they need no more samples
-#: than the sketch. Long bands keep texts apart that only share a passage.
+#: MinHash samples of the sketch, and bands of so many samples each at most. Each band has its own samples, so that bands miss a pair
+#: independently; the sketch takes the first of them. Long bands keep texts apart that only share a passage.
 SAMPLES, BANDS, ROWS = 288, 72, 12
 #: Bands are so long that a pair at the threshold has none in common with this chance at most.
 MISSED = 1 / 25_000
@@ -49,10 +49,9 @@ WORDS, PERCENT = 5, 80
 PIVOT_ORDERS = 4
 
 _RNG = np.random.default_rng(20_140_407)
-_A = (_RNG.integers(0, 1 << 32, SAMPLES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
-_B = _RNG.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32)[:, None]
-_SALT = _RNG.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
-_DRAWN = np.array([_RNG.choice(SAMPLES, ROWS, replace=False) for _ in range(BANDS)])
+_A = (_RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
+_B = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)[:, None]
+_SALT = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
 def band_rows(percent: int) -> int:
@@ -100,14 +99,18 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
 def signature(hashes: np.ndarray, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Band keys and odd sketch of a non-empty set."""
     x = (hashes >> np.uint64(32)).astype(np.uint32)
-    minima = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(x), 1024):
-        np.minimum(minima, (x[at : at + 1024] * _A + _B).min(1), out=minima)
-    samples = mixed(minima.astype(np.uint64) + _SALT)
+    n = max(SAMPLES, BANDS * rows)
+    minima = np.full(n, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(x), 512):
+        values = x[at : at + 512] * _A[:n]
+        values += _B[:n]
+        np.minimum(minima, values.min(1), out=minima)
+    samples = mixed(minima.astype(np.uint64) + _SALT[:n])
+    own = samples[: BANDS * rows].reshape(rows, BANDS)
     keys = np.arange(1, BANDS + 1, dtype=np.uint64)
     for r in range(rows):
-        keys = mixed(keys * np.uint64(31) + samples[_DRAWN[:, r]])
-    flips = np.bincount((samples % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+        keys = mixed(keys * np.uint64(31) + own[r])
+    flips = np.bincount((samples[:SAMPLES] % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
     sketch = np.packbits(flips.astype(np.uint8)).view(np.int64)
     return keys.view(np.int64), sketch
 

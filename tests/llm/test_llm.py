@@ -324,6 +324,20 @@ def test_bands_miss_seldom():
         assert (1 - (percent / 100) ** near_dedup.band_rows(percent)) ** near_dedup.BANDS <= near_dedup.MISSED
 
 
+def test_bands_miss_simulated_pairs_seldom():
+    """Pairs of resemblance 0.85 (34 of 40 shingles) and 0.8 by the real signatures: bands that share samples would miss one in 2,000."""
+    rng = np.random.default_rng(21)
+    for percent, shared in ((85, 34), (80, 32)):
+        rows, missed = near_dedup.band_rows(percent), 0
+        for _ in range(12_000):
+            union = rng.integers(0, 1 << 64, 40, dtype=np.uint64)
+            own = (40 - shared) // 2
+            a, _ = near_dedup.signature(union[: shared + own], rows)
+            b, _ = near_dedup.signature(np.concatenate([union[:shared], union[shared + own :]]), rows)
+            missed += not (a == b).any()
+        assert missed <= 2, (percent, missed)
+
+
 def test_many_versions_apart(spark):
     """Versions of one text with so many edits that most stay apart: they go through hubs and rare shingles."""
     rng = np.random.default_rng(8)
