@@ -39,12 +39,16 @@ def _postings(t: Tables) -> DataFrame:
     return search.postings(t.documents.select("doc_id", "text"), "doc_id", {"text": 1.0})
 
 
-def _lexical(t: Tables, limit: int) -> DataFrame:
+def _lexical_hits(t: Tables) -> DataFrame:
     # The share is higher than the usual 0.02: the tables are small.
     posts, terms = _postings(t), search.query_terms(QUESTION)
     common = {r.term for r in search.high_df_terms(posts.where(F.col("term").isin(*terms)), "doc_id", t.documents.count(), 0.05).collect()}
     found = search.match(posts, "doc_id", [w for w in terms if w not in common], False)
-    return found.select("doc_id", "n_terms", F.round("score", 6).alias("score")).orderBy(F.col("score").desc(), "doc_id").limit(limit)
+    return found.select("doc_id", "n_terms", F.round("score", 6).alias("score"))
+
+
+def _lexical(t: Tables, limit: int) -> DataFrame:
+    return _lexical_hits(t).orderBy(F.col("score").desc(), "doc_id").limit(limit)
 
 
 def _probe(t: Tables) -> list[float]:
@@ -110,7 +114,7 @@ def rrf_hybrid(t: Tables) -> DataFrame:
     select doc_id, false as widened from room union all select * from wide where (select count(*) from room) < 5""")
 def widen_search(t: Tables) -> DataFrame:
     """What a room has, and where that is too little, what the whole corpus has besides."""
-    found = _lexical(t, 100_000)
+    found = _lexical_hits(t)
     room = found.join(t.documents.where("lang = 'de'").select("doc_id"), "doc_id", "left_semi").select("doc_id", F.lit(False).alias("widened"))
     if room.limit(5).count() >= 5:
         return room

@@ -1,6 +1,9 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrata import plans
 from lodestrata.operators import merge, relational, resolve, search
 from lodestrata.sources import lake
 from lodestrata.streaming import feeds
@@ -116,3 +119,9 @@ def test_stateful_rate_limit(spark, tmp_path):
     q.awaitTermination()
     got = sorted(r.event_id for r in spark.table("limited").collect())
     assert got == [0, 1, 4, 5, 8, 9, 12, 13, 16, 17]
+
+
+def test_widen_search_takes_all_of_the_room(spark, sf):
+    """Only the widened rows have a limit; the room's are all that match."""
+    plan = plans.QUERIES["widen_search"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert set(re.findall(r"(?:Global|Local)Limit (\d+)", plan)) <= {"20"}
