@@ -16,6 +16,7 @@ their own; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import repeat
@@ -36,16 +37,36 @@ CACHED_WORDS, SLICE_BYTES = 300_000, 6_000_000
 PIECES = "row_id long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about SLICE_BYTES of text each."""
+def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about `limit` bytes of text each; a longer text is a part of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     ends, at = np.cumsum(sizes), 0
     while at < len(sizes):
-        until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES)))
+        until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit)))
         yield batch.slice(at, until - at)
         at = until
 
 
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def portions(batch: pa.RecordBatch, limit: int, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+    """The slices of a batch, each with its texts; a text longer than two limits comes as spans cut at white space, in order."""
+    for part in slices(batch, text, limit):
+        texts = part.column(text)
+        whole = texts[0].as_buffer() if len(part) == 1 and texts[0].is_valid else b""
+        if len(whole) <= 2 * limit:
+            yield part, [texts]
+            continue
+        view, spans, at = memoryview(whole), [], 0
+        while at < len(view):
+            cut = _SPACE.search(view, at + limit)
+            until = cut.start() if cut else len(view)
+            spans.append(pa.array([view[at:until].tobytes()], pa.binary()).cast(pa.string()))
+            at = until
+        yield part, spans
+
+
 #: A word of Latin-1 letters and perhaps punctuation after it: the tokenizer takes each of the two on its own.
 PLAIN_WORD = r"^(?P<base>[a-zß-öø-ÿÀ-ÖØ-Þ]+)(?P<tail>[.,!?;:*%$#&|]*)$"
 JOINED = 2_000
