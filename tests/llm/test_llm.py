@@ -637,7 +637,52 @@ def test_subsequence_kernel_by_brute_force():
     got = toxicity.subsequence_kernel(left, right)
     want = [[plain_kernel(s, t, toxicity.ORDER, toxicity.DECAY) for t in right] for s in left]
     assert np.allclose(got, want)
-    assert np.allclose(toxicity._own_all(left), [plain_kernel(s, s, toxicity.ORDER, toxicity.DECAY) for s in left])
+    assert np.allclose(toxicity.own_kernel(left), [plain_kernel(s, s, toxicity.ORDER, toxicity.DECAY) for s in left])
+    assert np.allclose(toxicity.pair_kernel(left[:3], right), np.diag(np.array(want)[:3]))
+
+
+def test_evidence_by_brute_force():
+    """Sentence by sentence, word by word, piece by piece."""
+    landmarks = ["idiot", "clown"]
+    norms = np.sqrt(toxicity.own_kernel(landmarks))
+    model = toxicity.Model(landmarks, norms, ["zog"], np.array([2.0, 1.5, 0.7]), -1.0)
+    text = "An i-d.iot, no.\nThe cl xx clxown and a zog! such an i d i o t\nidxxxiot clo wn"
+
+    def word_value(word, m):
+        best = 0.0
+        for a in range(len(word)):
+            for b in range(a, len(word)):
+                piece = word[a : b + 1]
+                if re.fullmatch(".{0,2}".join(m), piece):
+                    best = max(best, plain_kernel(piece, m, 3, toxicity.DECAY) / math.sqrt(plain_kernel(piece, piece, 3, toxicity.DECAY) * plain_kernel(m, m, 3, toxicity.DECAY)))
+        return best
+
+    sentences = [["an", "idiot", "no"], ["the", "cl", "xx", "clxown", "and", "a", "zog"], ["such", "an", "idiot"], ["idxxxiot", "clo", "wn"]]
+    want = max(sum(w * max(word_value(x, m) for x in words) for w, m in zip(model.weights, landmarks)) + 0.7 * ("zog" in words) - 1 for words in sentences)
+    found = toxicity.Reader(model).sentences(toxicity.pa.array([text, None, "idiot"]))
+    got = (found["much"] * model.weights[found["value"]]).groupby([found["text"], found["sentence"]]).sum() - 1
+    assert math.isclose(got[0].max(), want, rel_tol=1e-9) and math.isclose(got[2].max(), 1.0, rel_tol=1e-9)
+    assert len(got[0]) == 3 and set(found["text"]) == {0, 2}
+
+
+def test_long_texts_and_words(spark, monkeypatch):
+    """A text of 50 MB, a word of a million characters and spans of any size."""
+    landmarks = ["idiot", "clown"]
+    model = toxicity.Model(landmarks, np.sqrt(toxicity.own_kernel(landmarks)), [], np.array([2.0, 2.0]), -1.0)
+    rows = [(1, "plain words here. " * 2_800_000 + "an idiot."), (2, "x" * 1_000_000 + "idiot" + "y" * 1_000_000), (3, "ab" * 500_000), (4, "no clown")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in toxicity.judge(df, model).collect()}
+    assert got == {1: 1, 2: 1, 3: 0, 4: 1}
+    monkeypatch.setattr(toxicity, "TEXT_BYTES", 500)
+    small = spark.createDataFrame([(1, "plain words here. " * 300 + "an idiot."), (4, "no clown"), (5, "none " * 900)], "doc_id long, text string")
+    assert {r.doc_id: r.predicted for r in toxicity.judge(small, model).collect()} == {1: 1, 4: 1, 5: 0}
+
+
+def test_toxicity_on_held_out_documents(spark):
+    """Documents whose labels were not seen. About one label in 25 is noise (toxic without any insult), a third of all toxic ones."""
+    got = queries.op10_toxicity(spark, "/root/testdata/sf0.1").where("held_out").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").collect()
+    toxic, clean = ([r.predicted for r in got if r.toxic == t] for t in (1, 0))
+    assert len(toxic) > 100 and sum(toxic) >= 0.65 * len(toxic) and sum(clean) <= 0.005 * len(clean)
 
 
 def toxic_table(spark):
