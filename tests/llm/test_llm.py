@@ -248,7 +248,7 @@ def test_prior_is_the_smoothed_share_of_turns(spark):
     """Without training, the log odds are those of counted pairs."""
     rng = np.random.default_rng(4)
     texts_ = [rng.integers(0, 12, rng.integers(1, 60)).tolist() for _ in range(40)]
-    df = spark.createDataFrame([(t,) for t in texts_], "ids array<int>")
+    df = spark.createDataFrame([(bytearray(np.array(t, lm_scoring.id_type(20)).tobytes()),) for t in texts_], "ids binary")
     vocab = lm_scoring.vocabulary(lm_scoring.neighbours(df, 20), 20)
     pairs = collections.Counter(p for t in texts_ for p in zip([21, *t], [*t, 20], strict=True))
     assert vocab.n == 13
