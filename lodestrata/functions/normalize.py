@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,20 +79,31 @@ def vote(c: Column) -> Column:
     return out.otherwise("O")
 
 
-#: Accented Latin letters and their plain forms.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+def _accented() -> tuple[str, str]:
+    """Lower-case letters that decompose into one letter and marks, and those letters."""
+    pairs = {}
+    for code in range(0xC0, 0x2000):
+        parts = unicodedata.normalize("NFD", chr(code))
+        bare = "".join(p for p in parts if not unicodedata.combining(p))
+        if len(bare) == 1 and bare != chr(code):
+            pairs[chr(code)] = bare
+    return "".join(pairs), "".join(pairs.values())
+
+
+ACCENTED, PLAIN = _accented()
 
 
 def strip_accents(c: Column) -> Column:
-    return F.trim(F.translate(F.lower(_text(c)), ACCENTED, PLAIN))
+    """Lower case without accents: composed letters by a table, marks of their own dropped."""
+    return F.trim(F.regexp_replace(F.translate(F.lower(_text(c)), ACCENTED, PLAIN), r"[\u0300-\u036f]", ""))
 
 
 def state_code(c: Column) -> Column:
     """`US` for Congress in any of its names, otherwise the first two letters."""
     x = F.replace(F.upper(F.trim(_text(c))), F.lit("."), F.lit(""))
-    congress = x.rlike(r"^(US|U S)?\s*(HOUSE|SENATE|CONGRESS)$") | x.isin("US", "U S")
-    return F.when(congress, "US").otherwise(F.substring(x, 1, 2))
+    bodies = ["HOUSE", "SENATE", "CONGRESS"]
+    names = ["US", "U S", *bodies, *(f"{country} {body}" for country in ("US", "U S") for body in bodies)]
+    return F.when(F.regexp_replace(x, r"\s+", " ").isin(*names), "US").otherwise(F.substring(x, 1, 2))
 
 
 def slug(c: Column) -> Column:
@@ -109,3 +122,20 @@ def title_case(c: Column) -> Column:
     for word in ("and", "of", "the", "for", "in", "to"):
         out = F.regexp_replace(out, rf"(?<=\s){word.capitalize()}(?=\s)", word)
     return out
+
+
+#: What chamber codes stand for, and states whose lower house is no House.
+CHAMBERS = {"S": "Senate", "A": "Assembly", "H": "House", "L": "Legislature", "C": "Council"}
+LOWER_HOUSES = {"NY": "Assembly", "NJ": "Assembly", "CA": "Assembly", "NV": "Assembly", "WI": "Assembly", "NE": "Legislature", "DC": "Council", "US": "House"}
+
+
+def chamber_name(c: Column) -> Column:
+    """The chamber that a code's first letter stands for; other codes in upper case, null for none."""
+    up = F.upper(_text(c))
+    named = F.try_element_at(F.create_map(*[F.lit(x) for pair in CHAMBERS.items() for x in pair]), F.left(up, F.lit(1)))
+    return F.coalesce(named, F.nullif(up, F.lit("")))
+
+
+def lower_house(state: Column) -> Column:
+    named = F.try_element_at(F.create_map(*[F.lit(x) for pair in LOWER_HOUSES.items() for x in pair]), state)
+    return F.coalesce(named, F.lit("House"))

@@ -40,29 +40,26 @@ def tidy(c: Column) -> Column:
     )
 
 
-def decode_named(c: Column) -> Column:
-    """The common named entities; `&amp;` last, so that nothing is decoded twice."""
+def decode_entities(c: Column | str) -> Column:
+    """Numeric and named entities as their characters; unknown ones and impossible numbers stay.
+
+    All that can give an ampersand comes last and at once, so nothing is decoded twice.
+    """
+
+    def put(acc: Column, e: Column) -> Column:
+        hexadecimal = F.lower(F.left(e, F.lit(1))) == "x"
+        code = F.when(hexadecimal, F.conv(F.substring(e, 2, 12), 16, 10)).otherwise(e).try_cast("bigint")
+        real = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF) & (code != ord("&"))
+        character = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(real, F.replace(acc, F.concat(F.lit("&#"), e, F.lit(";")), character)).otherwise(acc)
+
+    c = F.col(c) if isinstance(c, str) else c
+    numbers = F.array_distinct(F.regexp_extract_all(c, F.lit("&#([xX]?[0-9a-fA-F]+);"), F.lit(1)))
+    c = F.when(c.contains("&#"), F.aggregate(numbers, c, put)).otherwise(c)
     for name, char in ENTITIES.items():
         if name != "amp":
             c = F.regexp_replace(c, f"(?i)&{name};", char)
-    return F.regexp_replace(c, "(?i)&amp;", "&")
-
-
-@F.pandas_udf(T.StringType())
-def decode_entities(texts: pd.Series) -> pd.Series:
-    """Named and numeric entities; unknown ones stay."""
-
-    def one(m: re.Match) -> str:
-        e = m[1]
-        if e[0] != "#":
-            return ENTITIES.get(e.lower(), m[0])
-        try:
-            n = int(e[2:], 16) if e[1] in "xX" else int(e[1:])
-        except ValueError:
-            return m[0]
-        return chr(n) if 0 < n < 0x110000 and not 0xD800 <= n < 0xE000 else m[0]
-
-    return texts.map(lambda t: None if t is None else re.sub(r"&(#x?[0-9a-fA-F]+|[a-zA-Z]+);", one, t))
+    return F.regexp_replace(c, "(?i)&(?:amp|#0*38|#x0*26);", "&")
 
 
 def html_markup_out(c: Column) -> Column:
@@ -86,7 +83,7 @@ def html_markup_out(c: Column) -> Column:
 
 
 def html_to_text(c: Column) -> Column:
-    return tidy(decode_named(html_markup_out(c)))
+    return tidy(decode_entities(html_markup_out(c)))
 
 
 def xml_to_text(c: Column) -> Column:
@@ -101,7 +98,7 @@ def xml_to_text(c: Column) -> Column:
             (r"<[^>]+>", " "),
         ],
     )
-    return tidy(decode_named(stripped))
+    return tidy(decode_entities(stripped))
 
 
 def plain_prose(c: Column) -> Column:
@@ -128,6 +125,14 @@ def plain_prose(c: Column) -> Column:
     )
 
 
+SHELL = "enable javascript to run this app"
+
+
+def is_shell(c: Column) -> Column:
+    """Whether a page's text is only what a script-driven site shows to a reader without scripts."""
+    return (F.length(c) > 0) & (F.length(c) < 400) & F.lower(c).contains(SHELL)
+
+
 def journal_of(c: Column) -> Column:
     """The journal's name at the head of a reference; null if shorter than three characters."""
     name = _chain(c, [(r"\s+\d+[\s,].*$", ""), (r"\s*\(.*$", "")])

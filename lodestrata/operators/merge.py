@@ -12,9 +12,16 @@ def last_write_wins(df: DataFrame, keys: list[str], arrival: Column) -> DataFram
     return distinct_on(df, keys, [arrival.desc()])
 
 
-def upsert(base: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
-    """All columns of delta's rows replace base's: an anti join and a union, no window over the base."""
-    return base.join(delta.select(*keys), keys, "left_anti").unionByName(delta)
+def once(delta: DataFrame, keys: list[str], arrival: Column | None = None) -> DataFrame:
+    """One row per key: the last to arrive, or without an arrival the greatest of its columns, so that reruns agree."""
+    others = [F.col(c) for c in delta.columns if c not in keys]
+    order = [arrival.desc()] if arrival is not None else []
+    return distinct_on(delta, keys, [*order, *[c.desc_nulls_last() for c in others]]) if others or order else delta.distinct()
+
+
+def upsert(base: DataFrame, delta: DataFrame, keys: list[str], arrival: Column | None = None) -> DataFrame:
+    """All columns of delta's rows replace base's: an anti join and a union, no window over the base. A null key matches nothing."""
+    return base.join(delta.select(*keys), keys, "left_anti").unionByName(once(delta, keys, arrival))
 
 
 def upsert_verdicts(base: DataFrame, delta: DataFrame, keys: list[str], hash_column: str) -> DataFrame:
@@ -43,7 +50,8 @@ def upsert_monotone(base: DataFrame, delta: DataFrame, keys: list[str], stamp: s
 
 
 def insert_ignore(base: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
-    return base.unionByName(delta.join(base.select(*keys), keys, "left_anti"))
+    """delta's rows of new keys are added, one of each key; base's stay."""
+    return base.unionByName(once(delta.join(base.select(*keys), keys, "left_anti"), keys))
 
 
 def replace_children(base: DataFrame, delta: DataFrame, parent: list[str]) -> DataFrame:
@@ -51,6 +59,32 @@ def replace_children(base: DataFrame, delta: DataFrame, parent: list[str]) -> Da
     return base.join(delta.select(*parent).distinct(), parent, "left_anti").unionByName(delta)
 
 
+def cascade_delete(gone: DataFrame, key: str, children: dict[str, tuple[DataFrame, str]]) -> dict[str, DataFrame]:
+    """Each child table (name: table, its column of the parent's key) without the rows of the parents in gone."""
+    ids = gone.select(F.col(key).alias("__gone")).distinct()
+    return {name: df.join(ids, F.col(column) == F.col("__gone"), "left_anti") for name, (df, column) in children.items()}
+
+
+def upsert_fuller(base: DataFrame, delta: DataFrame, keys: list[str], listed: list[str], payload: str, detailed: str) -> DataFrame:
+    """A list pass over rows that a detail pass may have filled: listed columns are delta's, the payload only where `detailed` is null.
+
+    So a thin record never replaces a full one. New keys come in with a null `detailed`.
+    """
+    new = once(delta.select(*keys, *listed, payload), keys).select(*keys, *[F.col(c).alias(f"__{c}") for c in (*listed, payload)], F.lit(True).alias("__new"))
+    thin = F.col("__new") & F.col(detailed).isNull()
+    return base.join(new, keys, "full").select(
+        *keys,
+        *[F.when(F.col("__new"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in listed],
+        F.when(thin, F.col(f"__{payload}")).otherwise(F.col(payload)).alias(payload),
+        detailed,
+    )
+
+
+def backfill(df: DataFrame, column: str, value: Column) -> DataFrame:
+    """value where the column is null; what is there stays."""
+    return df.withColumn(column, F.coalesce(F.col(column), value))
+
+
 def sweep(df: DataFrame, stamp: str, since: object) -> DataFrame:
     """Without the rows whose stamp is older."""
     return df.where(F.col(stamp) >= F.lit(since))

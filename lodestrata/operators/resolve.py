@@ -12,20 +12,25 @@ def ladder(left: DataFrame, right: DataFrame, key: str, found: str, passes: list
     """key, the id that the first successful pass found, and the pass (from 1).
 
     A pass is (expressions of left, expressions of right, unique): rows join where all are equal. Of several
-    candidates the smallest id is taken, or none if the pass must be unique. Each pass is one equi-join over
-    aggregated candidates, so a frequent key doesn't multiply rows.
+    candidates the smallest id is taken, or none if the pass must be unique. Each pass is one left equi-join of aggregated
+    candidates with rows that no pass before resolved, so a frequent key doesn't multiply rows. Equal rows of left count once; of
+    different rows with one key the first resolved, else the smallest id, is the answer.
     """
-    out = left.select(key)
+    terms = {(i, j): e.alias(f"__{i}_{j}") for i, (mine, _, _) in enumerate(passes) for j, e in enumerate(mine)}
+    out = left.select(key, *terms.values()).distinct().select("*", F.lit(None).cast(right.schema[found].dataType).alias("__found"), F.lit(None).cast("int").alias("__pass"))
     for i, (mine, theirs, unique) in enumerate(passes):
         names = [f"__k{j}" for j in range(len(mine))]
         side = right.select(*[e.alias(n) for e, n in zip(theirs, names, strict=True)], F.col(found).alias("__id"))
-        side = side.groupBy(*names).agg(F.min("__id").alias(f"__id{i}"), F.count("*").alias("__n"))
+        side = side.groupBy(*names).agg(F.min("__id").alias("__id"), F.count("*").alias("__n"))
         side = side.where("__n = 1") if unique else side
-        keyed = left.select(key, *[e.alias(n) for e, n in zip(mine, names, strict=True)]).join(side, names).select(key, f"__id{i}")
-        out = out.join(keyed, key, "left")
-    ids = [F.col(f"__id{i}") for i in range(len(passes))]
-    which = reduce(lambda acc, i: F.when(ids[i].isNotNull(), i + 1).otherwise(acc), reversed(range(len(passes))), F.lit(None).cast("int"))
-    return out.select(key, F.coalesce(*ids).alias(found), which.alias("pass"))
+        equal = reduce(lambda a, b: a & b, [F.col(f"__{i}_{j}") == F.col(n) for j, n in enumerate(names)])
+        got = F.col("__found").isNull() & F.col("__id").isNotNull()
+        out = out.join(side.drop("__n"), equal & F.col("__found").isNull(), "left").withColumns(
+            {"__pass": F.when(got, i + 1).otherwise(F.col("__pass")), "__found": F.coalesce("__found", "__id")}
+        ).drop("__id", *names)
+    best = F.min(F.struct(F.coalesce("__pass", F.lit(len(passes) + 1)).alias("p"), F.col("__found").alias("f")))
+    one = out.groupBy(key).agg(best.alias("__best"))
+    return one.select(key, F.col("__best.f").alias(found), F.nullif(F.col("__best.p"), F.lit(len(passes) + 1)).alias("pass"))
 
 
 def pct(a: Column, b: Column) -> Column:
@@ -34,8 +39,8 @@ def pct(a: Column, b: Column) -> Column:
 
 
 def verdict(bills: Column, actions: Column, votes: Column) -> Column:
-    """parity, close, gap or failed; a percentage that can't be had counts as 100."""
-    b, a, v = (F.coalesce(c, F.lit(100.0)) for c in (bills, actions, votes))
+    """parity, close, gap or failed. No bills on a side is a failure; a percentage of nothing matched counts as 100."""
+    b, a, v = F.coalesce(bills, F.lit(0.0)), *(F.coalesce(c, F.lit(100.0)) for c in (actions, votes))
     return (
         F.when(b == 0, "failed")
         .when((b >= 99) & (a >= 97) & (v >= 97), "parity")

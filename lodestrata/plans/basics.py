@@ -90,13 +90,13 @@ def structured_search(t: Tables) -> DataFrame:
 
 
 @query("""
-    with a as (select o_orderkey as k, case when o_orderkey % 5 = 0 then null else o_orderpriority end as p from orders where o_orderkey % 3 = 0),
+    with a as (select o_orderkey as k, case when o_orderkey % 5 = 0 then null else o_orderpriority end as p from orders),
          b as (select o_orderkey as k, case when o_orderkey % 10 = 0 then null else o_orderpriority end as p from orders)
     select a.k, a.p from a join b on a.k = b.k and a.p is not distinct from b.p
 """)
 def null_safe_join(t: Tables) -> DataFrame:
     priority = lambda m: F.when(F.col("o_orderkey") % m != 0, F.col("o_orderpriority"))
-    a = t.orders.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("k"), priority(5).alias("p"))
+    a = t.orders.select(F.col("o_orderkey").alias("k"), priority(5).alias("p"))
     b = t.orders.select(F.col("o_orderkey").alias("k2"), priority(10).alias("p2"))
     return a.join(b, (F.col("k") == F.col("k2")) & F.col("p").eqNullSafe(F.col("p2"))).select("k", "p")
 
@@ -164,12 +164,14 @@ def dict_broadcast(t: Tables) -> DataFrame:
     return t.customer.join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", "r_name")
 
 
-@query("select o_orderkey, (select l_partkey from lineitem where l_orderkey = o_orderkey order by l_extendedprice desc, l_linenumber limit 1) as l_partkey from orders where o_orderkey % 10 = 0")
+@query("""
+    with ranked as (select l_orderkey, l_partkey, row_number() over (partition by l_orderkey order by l_extendedprice desc, l_linenumber) as r from lineitem)
+    select o_orderkey, l_partkey from orders left join ranked on l_orderkey = o_orderkey and r = 1
+""")
 def primary_sponsor(t: Tables) -> DataFrame:
-    lines = t.lineitem.where("l_orderkey % 10 = 0")
-    first = lines.groupBy("l_orderkey").agg(F.max(F.struct("l_extendedprice", -F.col("l_linenumber"), "l_partkey")).alias("best"))
+    first = t.lineitem.groupBy("l_orderkey").agg(F.max(F.struct("l_extendedprice", -F.col("l_linenumber"), "l_partkey")).alias("best"))
     named = first.select(F.col("l_orderkey").alias("o_orderkey"), F.col("best.l_partkey").alias("l_partkey"))
-    return t.orders.where("o_orderkey % 10 = 0").select("o_orderkey").join(named, "o_orderkey", "left")
+    return t.orders.select("o_orderkey").join(named, "o_orderkey", "left")
 
 
 @query("""

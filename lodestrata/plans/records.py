@@ -55,8 +55,8 @@ def norm_vote(t: Tables) -> DataFrame:
 
 
 @query("""
-    select n_nationkey, upper(regexp_replace(case when n_nationkey % 3 = 0 then n_name when n_nationkey % 3 = 1 then regexp_replace(n_name, '^.*\\s', '') else n_name end, '[^A-Za-z-]', '', 'g')) as surname
-    from nation where not regexp_matches(n_name, '\\s')
+    select n_nationkey, upper(regexp_replace(case when n_nationkey % 3 = 0 then n_name else regexp_replace(n_name, '^.*\\s', '') end, '[^A-Za-z-]', '', 'g')) as surname
+    from nation
 """)
 def surname(t: Tables) -> DataFrame:
     k = F.col("n_nationkey") % 3
@@ -65,7 +65,7 @@ def surname(t: Tables) -> DataFrame:
         .when(k == 1, F.concat(F.lit("Joseph P. "), F.col("n_name"), F.lit(" Jr.")))
         .otherwise(F.col("n_name"))
     )
-    return t.nation.where(~F.col("n_name").rlike(r"\s")).select("n_nationkey", normalize.surname(name).alias("surname"))
+    return t.nation.select("n_nationkey", normalize.surname(name).alias("surname"))
 
 
 @query("select c_custkey, case when c_custkey % 4 = 0 then 'US' else upper(left(c_mktsegment, 2)) end as state from customer")
@@ -84,9 +84,9 @@ def lake_name(t: Tables) -> DataFrame:
     return t.part.select("p_brand").distinct().select("p_brand", normalize.lake_name(F.concat(F.lit("My"), F.col("p_brand"), F.lit(" Table"))).alias("lake_name"))
 
 
-@query("select doc_id, md5(trim(strip_accents(lower(text)))) as plain from documents where lang in ('fr', 'es')")
+@query("select doc_id, md5(trim(strip_accents(lower(text)))) as plain from documents")
 def strip_accents(t: Tables) -> DataFrame:
-    return t.documents.where(F.col("lang").isin("fr", "es")).select("doc_id", F.md5(normalize.strip_accents(F.col("text"))).alias("plain"))
+    return t.documents.select("doc_id", F.md5(normalize.strip_accents(F.col("text"))).alias("plain"))
 
 
 @query("""
@@ -198,15 +198,24 @@ def _html_oracle() -> str:
     steps += [(rf"(?is)<{e}\b[^>]*>\s*</{e}\s*>", "") for e in ("ins", "u")]
     steps += [(rf"(?is)<{e}\b[^>]*>(.*?)</{e}\s*>", r"{+\1+}") for e in ("ins", "u")]
     steps += [(r"(?i)<br\s*/?>", "\n"), (rf"(?i)</({text.HTML_BLOCKS})\s*>", "\n"), (rf"(?i)<({text.HTML_BLOCKS})\b[^>]*>", "\n"), (r"(?i)</t[dh]\s*>", "\t"), (r"<[^>]+>", "")]
-    steps += [(f"(?i)&{n};", v) for n, v in text.ENTITIES.items() if n != "amp"] + [("(?i)&amp;", "&")]
-    for pattern, put in steps:
-        c = f"regexp_replace({c}, '{pattern}', '{put.replace(chr(39), chr(39) * 2)}', 'g')"
-    return f"select page_id, trim(regexp_replace({c}, '\\s+', ' ', 'g')) as prose from pages"
+    named = [(f"(?i)&{n};", v) for n, v in text.ENTITIES.items() if n != "amp"] + [("(?i)&(?:amp|#0*38|#x0*26);", "&")]
+    tidied = [(r"\r\n?", "\n"), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"), (r"(\S)[ \t]{9,}", r"\1  "), (r"^\n+", ""), (r"\s+$", "")]
+
+    def chain(c: str, steps: list[tuple[str, str]]) -> str:
+        for pattern, put in steps:
+            c = f"regexp_replace({c}, '{pattern}', '{put.replace(chr(39), chr(39) * 2)}', 'g')"
+        return c
+
+    code = "case when e[3] in ('x', 'X') then ('0x' || e[4:-2])::bigint else try_cast(e[3:-2] as bigint) end"
+    put = f"case when ({code}) between 1 and 1114111 and ({code}) not between 55296 and 57343 and ({code}) <> 38 then replace(acc, e, chr(({code})::int)) else acc end"
+    return f"""with bare as (select page_id, {chain(c, steps)} as c from pages),
+        numbered as (select page_id, list_reduce(list_prepend(c, list_distinct(regexp_extract_all(c, '&#[xX]?[0-9a-fA-F]+;'))), lambda acc, e: {put}) as c from bare)
+        select page_id, md5({chain(chain("c", named), tidied)}) as prose from numbered"""
 
 
 @query(_html_oracle())
 def html_to_text(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.trim(F.regexp_replace(text.html_to_text(F.col("html")), r"\s+", " ")).alias("prose"))
+    return t.pages.select("page_id", F.md5(text.html_to_text(F.col("html"))).alias("prose"))
 
 
 @query("select o_orderkey, 'Bill ' || o_orderkey || ' A & B' as body from orders")
@@ -250,9 +259,9 @@ def journal_counts(t: Tables) -> DataFrame:
     return per.select(text.journal_of(F.col("r")).alias("journal"), "n").where("journal is not null").groupBy("journal").agg(F.sum("n").alias("n"))
 
 
-@query("select page_id, length(html) < 3000 and regexp_matches(html, '(?i)copyright|rights reserved|cookie') as is_shell from pages")
+@query("select doc_id, length(text) > 0 and length(text) < 400 and contains(lower(text), 'enable javascript to run this app') as is_shell from documents")
 def low_content(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", ((F.length("html") < 3000) & F.col("html").rlike("(?i)copyright|rights reserved|cookie")).alias("is_shell"))
+    return t.documents.select("doc_id", F.coalesce(text.is_shell(F.col("text")), F.lit(False)).alias("is_shell"))
 
 
 @query("select event_type, (case when event_id % 3 = 0 then 'gs://bucket/' || (event_id % 600) end) as uri, count(*) as n, string_agg(event_id, ',' order by event_id) as ids from events where event_id % 3 = 0 group by 1, 2")
@@ -459,13 +468,14 @@ def person_match(t: Tables) -> DataFrame:
 
 
 @query("""
-    with ours as (select c_nationkey as d, c_mktsegment as s, c_custkey as id from customer where c_custkey <= 400),
-         theirs as (select c_nationkey as d, c_mktsegment as s, c_custkey as nid, c_custkey % 5 = 0 as strict from customer where c_custkey <= 400),
+    with ours as (select c_nationkey as d, c_mktsegment || floor(c_acctbal)::bigint as s, c_custkey as id from customer),
+         theirs as (select d, s, id as nid, id % 5 = 0 as strict from ours),
          uniq as (select d, s from ours group by 1, 2 having count(*) = 1)
     select nid, case when strict then nid when u.d is not null then nid end as id, case when strict then 'strict' when u.d is not null then 'loose' end as how from theirs t left join uniq u on u.d = t.d and u.s = t.s
 """)
 def xref_strict_loose(t: Tables) -> DataFrame:
-    rows = t.customer.where("c_custkey <= 400").select(F.col("c_nationkey").alias("d"), F.col("c_mktsegment").alias("s"), F.col("c_custkey").alias("id"))
+    segment = F.concat("c_mktsegment", F.floor("c_acctbal").cast("string"))
+    rows = t.customer.select(F.col("c_nationkey").alias("d"), segment.alias("s"), F.col("c_custkey").alias("id"))
     theirs = rows.select("d", "s", F.col("id").alias("nid"), F.when(F.col("id") % 5 == 0, F.col("id")).alias("exact"))
     passes = [([F.col("exact")], [F.col("id")], False), ([F.col("d"), F.col("s")], [F.col("d"), F.col("s")], True)]
     found = resolve.ladder(theirs, rows, "nid", "id", passes)
@@ -635,12 +645,14 @@ def manifest_rollup(t: Tables) -> DataFrame:
     return out.groupBy("domain").agg(F.sum("rows").alias("rows"), F.count("*").cast("int").alias("tables"))
 
 
-@query("""
-    select 'nation' as table_name, (select count(*) from nation) as rows, 3 as n_columns union all select 'region', (select count(*) from region), 2 union all select 'supplier', (select count(*) from supplier), 4
-""")
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query(" union all ".join(f"select '{n}' as table_name, (select count(*) from {n}) as rows, (select count(*) from (describe {n}))::int as n_columns" for n in _TABLES))
 def inventory(t: Tables) -> DataFrame:
+    """All tables of the folder."""
     out = None
-    for name in ("nation", "region", "supplier"):
+    for name in _TABLES:
         df = getattr(t, name)
         one = df.agg(F.lit(name).alias("table_name"), F.count("*").alias("rows"), F.lit(len(df.columns)).alias("n_columns"))
         out = one if out is None else out.unionByName(one)

@@ -125,3 +125,30 @@ def test_widen_search_takes_all_of_the_room(spark, sf):
     """Only the widened rows have a limit; the room's are all that match."""
     plan = plans.QUERIES["widen_search"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert set(re.findall(r"(?:Global|Local)Limit (\d+)", plan)) <= {"20"}
+
+
+def test_ladder_on_repeated_and_null_keys(spark):
+    from lodestrata.operators import resolve
+
+    left = spark.createDataFrame([(1, "a", "x"), (1, "a", "x"), (2, None, "y"), (3, "zz", None), (4, "b", "q"), (4, "none", "y")], "k int, p string, q string")
+    right = spark.createDataFrame([(10, "a", "m"), (9, "a", "m"), (20, "n", "y"), (30, "b", "y2"), (31, None, None)], "id int, p string, q string")
+    passes = [([F.col("p")], [F.col("p")], False), ([F.col("q")], [F.col("q")], True)]
+    got = {r.k: (r["id"], r["pass"]) for r in resolve.ladder(left, right, "k", "id", passes).collect()}
+    assert got == {1: (9, 1), 2: (20, 2), 3: (None, None), 4: (30, 1)}
+
+
+def test_verdict_of_empty_sides(spark):
+    from lodestrata.operators import resolve
+
+    rows = [(None, None, None, "failed"), (0.0, 99.0, 99.0, "failed"), (99.5, None, None, "parity"), (95.0, 91.0, 90.0, "close"), (95.0, 80.0, None, "gap")]
+    df = spark.createDataFrame(rows, "b double, a double, v double, want string")
+    assert all(r.got == r.want for r in df.select("want", resolve.verdict(F.col("b"), F.col("a"), F.col("v")).alias("got")).collect())
+
+
+def test_upsert_takes_the_last_of_repeated_rows(spark):
+    from lodestrata.operators import merge
+
+    base = spark.createDataFrame([(1, "old", 0), (2, "stays", 0), (None, "null", 0)], "k int, v string, at int")
+    delta = spark.createDataFrame([(1, "b", 1), (1, "a", 2), (3, "c", 1), (3, "c", 1), (None, "n", 5)], "k int, v string, at int")
+    got = sorted(map(str, ((r.k, r.v) for r in merge.upsert(base, delta, ["k"], F.col("at")).collect())))
+    assert got == ["(1, 'a')", "(2, 'stays')", "(3, 'c')", "(None, 'n')", "(None, 'null')"]
