@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lodestrata.llm.common import chunk_bits, materialize, running_total, small_side, words_of
+from lodestrata.llm.common import chunk_bits, materialize, running_total, small_side, unused, words_of
 
 GOLDEN = 0.6180339887498949
 WEIGHTS = (3, 1, 2)
@@ -181,17 +181,18 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def repeated(docs: DataFrame) -> DataFrame:
     """The mix as whole documents: each row of docs as often (0, 1 or 2 times) as the mix takes its words, rounded."""
+    copies, copy, their_id, their_source = unused(docs, "copies", "copy", "their_id", "their_source")
     share = (
         mix(docs)
         .groupBy("doc_id", "source")
-        .agg(F.floor(F.try_divide(F.sum("taken"), F.sum("size")) + 0.5).cast("int").alias("__copies"))
-        .where("__copies > 0")
-        .withColumnsRenamed({"doc_id": "__doc_id", "source": "__source"})
+        .agg(F.floor(F.try_divide(F.sum("taken"), F.sum("size")) + 0.5).cast("int").alias(copies))
+        .where(F.col(copies) > 0)
+        .withColumnsRenamed({"doc_id": their_id, "source": their_source})
     )
     share = materialize(share, "mix-copies")
-    match = docs["doc_id"].eqNullSafe(F.col("__doc_id")) & docs["source"].eqNullSafe(F.col("__source"))
+    match = docs["doc_id"].eqNullSafe(F.col(their_id)) & docs["source"].eqNullSafe(F.col(their_source))
     return (
         docs.join(small_side(share, share.count()), match)
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
         .select(*[docs[c] for c in docs.columns])
     )

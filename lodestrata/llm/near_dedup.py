@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import materialize, small_side
+from lodestrata.llm.common import materialize, small_side, unused
 from lodestrata.llm.packing import slices
 
 #: MinHash samples of the sketch, and bands of so many samples each at most. Each band has its own samples, so that bands miss a pair
@@ -338,10 +338,11 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
 
 
 def keep_one(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, with all its columns."""
-    kept = near_duplicates(docs, width, percent).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    own = docs.withColumn("__text_hash", F.xxhash64("text"))
-    match = own["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
+    """One document of each component, with all its columns, whatever they are called."""
+    hashed, wanted, wanted_hash = unused(docs, "own_hash", "kept_id", "kept_hash")
+    kept = near_duplicates(docs, width, percent).where("kept").select(F.col("doc_id").alias(wanted), F.col("text_hash").alias(wanted_hash)).distinct()
+    own = docs.withColumn(hashed, F.xxhash64("text"))
+    match = own["doc_id"].cast("long").eqNullSafe(F.col(wanted)) & (F.col(hashed) == F.col(wanted_hash))
     n = kept.count()
     # Repeated rows of the kept document are copies of it.
-    return own.join(small_side(kept, n), match, "left_semi").dropDuplicates(["doc_id", "__text_hash"]).drop("__text_hash")
+    return own.join(small_side(kept, n), match, "left_semi").dropDuplicates(["doc_id", hashed]).drop(hashed)

@@ -763,3 +763,28 @@ def test_pipeline_stage_by_stage(spark, sf, docs, labels):
 def test_all_operators_are_registered():
     numbers = {re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES if n.startswith("op")}
     assert numbers == {str(n) for n in range(1, 11)} and "pipeline" in queries.QUERIES
+
+
+def test_columns_with_inner_names_stay(spark, docs):
+    """Stages return a caller's columns, whatever they are called."""
+    names = ["__text_hash", "__hash", "__id", "__copies", "__copy", "own_hash", "kept_id", "copies", "copy", "their_id", "Their_Source", "row_id", "size", "rank"]
+    wide = docs.limit(40).withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    for stage in (near_dedup.keep_one, mixing.repeated):
+        got = stage(wide)
+        assert got.columns == wide.columns
+        rows = got.collect()
+        assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from lodestrata.llm import common
+
+    class Conf(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+    class Session:
+        conf = Conf({"spark.master": "yarn"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
