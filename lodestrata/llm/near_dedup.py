@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -44,13 +45,15 @@ MISSED = 1 / 25_000
 SKETCH_BITS = 512
 #: A pair is verified unless its estimate is below the threshold by more than this: five standard errors.
 MARGIN = 0.15
+#: Texts whose samples are folded into keys and sketches in one step, at most: it bounds memory and changes no result.
+SIGNED_AT_ONCE = 64
 WORDS, PERCENT = 5, 80
 #: Groups choose their pivots by so many orders of all classes, so those that share most members share pivots too.
 PIVOT_ORDERS = 4
 
 _RNG = np.random.default_rng(20_140_407)
-_A = (_RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
-_B = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)[:, None]
+_A = (_RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+_B = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
 _SALT = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
@@ -96,25 +99,38 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
         yield np.unique(total)
 
 
-def signature(hashes: np.ndarray, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys and odd sketch of a non-empty set."""
-    x = (hashes >> np.uint64(32)).astype(np.uint32)
-    n = max(SAMPLES, BANDS * rows)
-    minima = np.full(n, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(x), 512):
-        values = x[at : at + 512] * _A[:n]
+def minima(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The first n MinHash samples of a non-empty set: the least of A * x + B over its hashes x."""
+    x = (hashes >> np.uint64(32)).astype(np.uint32)[:, None]
+    least = np.full(n, 0xFFFFFFFF, np.uint32)
+    # Samples lie side by side in memory, and a block of hashes fits the cache.
+    for at in range(0, len(x), 128):
+        values = x[at : at + 128] * _A[:n]
         values += _B[:n]
-        np.minimum(minima, values.min(1), out=minima)
-    samples = mixed(minima.astype(np.uint64) + _SALT[:n])
-    own = samples[: BANDS * rows].reshape(rows, BANDS)
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+        np.minimum(least, values.min(0), out=least)
+    return least
+
+
+def signed_sets(sets: list[np.ndarray], rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys and odd sketches of non-empty sets, a row for each."""
+    n = max(SAMPLES, BANDS * rows)
+    least = np.stack([minima(hashes, n) for hashes in sets])
+    samples = mixed(least.astype(np.uint64) + _SALT[:n])
+    keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(sets), 1))
     for r in range(rows):
-        keys = mixed(keys * np.uint64(31) + own[r])
-    flips = np.bincount((samples[:SAMPLES] % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    sketch = np.packbits(flips.astype(np.uint8)).view(np.int64)
+        keys = mixed(keys * np.uint64(31) + samples[:, r * BANDS : (r + 1) * BANDS])
+    bits = (samples[:, :SAMPLES] % np.uint64(SKETCH_BITS)).astype(np.int64) + SKETCH_BITS * np.arange(len(sets))[:, None]
+    flips = np.bincount(bits.ravel(), minlength=SKETCH_BITS * len(sets)) & 1
+    sketch = np.packbits(flips.astype(np.uint8).reshape(len(sets), SKETCH_BITS), axis=1).view(np.int64)
     return keys.view(np.int64), sketch
 
 
+def signature(hashes: np.ndarray, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys and odd sketch of a non-empty set."""
+    keys, sketch = signed_sets([hashes], rows)
+    return keys[0], sketch[0]
+
+
 def _digest(hashes: np.ndarray) -> tuple[int, int]:
     d = np.frombuffer(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest(), np.int64)
     return int(d[0]), int(d[1])
@@ -127,10 +143,13 @@ def signatures(docs: DataFrame, width: int = WORDS, rows: int = ROWS) -> DataFra
         for batch in batches:
             for part in slices(batch):
                 cols: list[list] = [[], [], [], [], []]
-                for hashes in shingle_sets(part.column("text"), width):
-                    keys, sketch, (hi, lo) = (*signature(hashes, rows), _digest(hashes)) if len(hashes) else (None, None, (None, None))
-                    for c, v in zip(cols, (len(hashes), hi, lo, keys, sketch), strict=True):
-                        c.append(v)
+                for sets in batched(shingle_sets(part.column("text"), width), SIGNED_AT_ONCE):
+                    full = [hashes for hashes in sets if len(hashes)]
+                    signed = zip(*signed_sets(full, rows), strict=True) if full else iter(())
+                    for hashes in sets:
+                        (keys, sketch), (hi, lo) = (next(signed), _digest(hashes)) if len(hashes) else ((None, None), (None, None))
+                        for c, v in zip(cols, (len(hashes), hi, lo, keys, sketch), strict=True):
+                            c.append(v)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("text_hash"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]],
