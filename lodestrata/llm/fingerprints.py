@@ -17,6 +17,7 @@ single row is its own. Repeated rows get a row each.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,9 @@ BINS, LOW_BITS, SHINGLE = 128, 4, 5
 #: Hashed attempts of a bin before all full bins are ranked for it.
 ATTEMPTS = 12
 EMPTY = "-" * BINS
+#: Cells of ids at most, how many of their starts are looked through at once, and the room for the parts of one.
+CELLS, BLOCK, PARTS = 1024, 32, 1 << 40
+LARGEST = (1 << 63) - 1
 _BIN_SHIFT = 63 - int(math.log2(BINS))
 
 
@@ -88,19 +92,59 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(neither, 1.0).when((a == EMPTY) | (b == EMPTY), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), estimate)))
 
 
+def _cells(points: list[int]) -> tuple[list[int], dict[int, int]]:
+    """The first ids of the cells above the lowest, in order, and how many points each id that holds several has.
+
+    points are quantiles of the ids. An id that is several of them holds a large share of the rows: it
+    gets a cell of its own.
+    """
+    repeats = {x: k for x, k in Counter(points).items() if k > 1}
+    return sorted({*points, *(x + 1 for x in repeats if x < LARGEST)}), repeats
+
+
 def _bucketed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs with `bucket`, a range of doc_ids, and one row (bucket, next_bucket) per bucket that has rows.
+    """docs (doc_id, text) with `tie` and `bucket`, a range in descending (doc_id, tie), and one row (bucket, next_bucket) per bucket that has rows.
 
-    Rows per bucket grow with the square root of all rows. Ranges are of equal width; ids that crowd
-    together make a bucket large, which costs time, not correctness: the window over it spills.
+    Rows per bucket grow with the square root of all rows. Cells come from quantiles of the ids, at most CELLS,
+    so an outlying id or ids that crowd together leave each of them a like share of the rows; inside a cell
+    buckets are of equal width. An id that holds many rows, and null, are split by the hash of the text.
+    Rows that are equal in both stay in one bucket: the window over it spills.
     """
-    facts = docs.agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    tied = docs.withColumn("tie", F.xxhash64("text"))
+    facts = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("n_ids"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
     per_bucket = max(256, min(50_000, 2 * math.isqrt(facts.n)))
-    n_buckets = max(1, -(-facts.n // per_bucket))
-    lo, span = (0, 1) if facts.lo is None else (facts.lo, facts.hi - facts.lo + 1)
-    width = max(1, -(-span // n_buckets))
-    bucket = F.coalesce(F.expr(f"(doc_id - {lo}L) div {width}L"), F.lit(-1).cast("long"))
-    held = docs.withColumn("bucket", bucket)
+    n_cells = max(1, min(CELLS, facts.n_ids // per_bucket))
+    shares = [i / n_cells for i in range(1, n_cells)]
+    points = docs.agg(F.percentile_approx("doc_id", shares, 10 * CELLS).alias("points")).first().points if shares else []
+    starts, repeats = _cells(points or [])
+    lows = [facts.lo or 0, *starts]
+    highs = [*(x - 1 for x in starts), facts.hi or 0]
+    parts = [max(1, -(-repeats.get(low, 1) * facts.n_ids // (n_cells * per_bucket))) for low in lows]
+    widths = [max(1.0, (high - low + 1) / n) for low, high, n in zip(lows, highs, parts, strict=True)]
+
+    def at_most(values: Column) -> Column:
+        return F.size(F.filter(values, lambda x: x <= F.col("doc_id")))
+
+    def longs(values: list[int]) -> Column:
+        return F.array(*[F.lit(x).cast("long") for x in values]) if values else F.array().cast("array<long>")
+
+    block = at_most(longs(starts[::BLOCK]))
+    inside = let(block, lambda k: F.when(k == 0, 0).otherwise((k - 1) * BLOCK + at_most(F.slice(longs(starts), (k - 1) * BLOCK + 1, F.lit(BLOCK)))))
+    hashed = (F.col("tie").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+
+    def by_tie(n: Column) -> Column:
+        """Of n parts by the text's hash; the least hash, which comes first, has the highest."""
+        return n - 1 - F.least(F.floor(hashed * n), n - 1)
+
+    def part(cell: Column) -> Column:
+        n = F.get(longs(parts), cell)
+        low, width = F.get(longs(lows), cell), F.get(F.array(*map(F.lit, widths)), cell)
+        within = F.floor((F.col("doc_id").cast("double") - low.cast("double")) / width)
+        whole = F.when(F.array_contains(longs(sorted(repeats)), low), by_tie(n)).otherwise(F.least(F.greatest(within, F.lit(0)), n - 1))
+        return cell.cast("long") * PARTS + whole
+
+    nulls = F.lit(max(1, -(-(facts.n - facts.n_ids) // per_bucket))).cast("long")
+    held = tied.withColumn("bucket", F.when(F.col("doc_id").isNull(), by_tie(nulls) - nulls).otherwise(let(inside, part)))
     # A row per bucket; the window over all of them has some square root of the rows.
     down = W.orderBy(F.col("bucket").desc())
     names = held.select("bucket").distinct()
@@ -114,9 +158,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     held, follow = _bucketed(slim)
     follow = materialize(follow, "fp-buckets")
     order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
-    tied = held.withColumn("tie", F.xxhash64("text"))
     inner = W.partitionBy("bucket").orderBy(*order)
-    lined = tied.withColumn("fp", fingerprint(F.col("text"))).select(
+    lined = held.withColumn("fp", fingerprint(F.col("text"))).select(
         "bucket", "doc_id", "text", "fp", F.lead(F.struct("text", "fp")).over(inner).alias("after")
     )
     # The first row of each bucket, for the last row of the bucket above it.
@@ -124,7 +167,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     n_tops = follow.count()
     top_ids = small_side(tops.select("bucket", F.col("top_id")), n_tops)
     firsts = (
-        tied.join(top_ids, "bucket")
+        held.join(top_ids, "bucket")
         .where(F.col("doc_id").eqNullSafe(F.col("top_id")))
         .groupBy("bucket")
         .agg(F.min(F.struct("tie", "text")).alias("first"))

@@ -519,6 +519,26 @@ def test_likeness_estimates_similarity(spark):
     assert abs(errors.mean()) < 0.03 and errors.std() < 0.08
 
 
+@pytest.mark.parametrize("shape", ["outlier", "crowded", "repeated", "null"])
+def test_buckets_stay_small(spark, shape):
+    """Ids that lie far apart, crowd together, repeat or are null: successors as by one sort, and no bucket with a large share."""
+    n = 6000
+    ids = {
+        "outlier": [-(2**63), 2**63 - 1, *range(n)],
+        "crowded": [*range(n // 2), *(10**12 + 3 * i for i in range(n // 2))],
+        "repeated": [7 if i % 3 == 0 else i for i in range(n)],
+        "null": [None if i % 3 == 0 else i for i in range(n)],
+    }[shape]
+    df = spark.createDataFrame([(d, f"text {i}") for i, d in enumerate(ids)], "doc_id long, text string").repartition(4)
+    held, _ = fingerprints._bucketed(df)
+    rows = held.collect()
+    assert max(collections.Counter(r.bucket for r in rows).values()) < 0.12 * len(rows)
+    rows.sort(key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.tie))
+    assert [r.bucket for r in rows] == sorted((r.bucket for r in rows), reverse=True)
+    want = {(a.doc_id, a.text): b.text for a, b in zip(rows, rows[1:] + rows[:1], strict=True)}
+    assert {(r.doc_id, r.text): r.next_text for r in fingerprints.with_next(df).select("doc_id", "text", "next_text").collect()} == want
+
+
 def test_fingerprint_edges(odd, nothing):
     assert fingerprints.edited_pairs(nothing).count() == 0
     got = fingerprints.edited_pairs(odd).collect()
