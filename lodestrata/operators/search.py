@@ -1,12 +1,15 @@
 """Lexical, vector and fused retrieval.
 
-Postings hold (doc_id, term, weight, positions). Queries are small driver-side term lists, so term filters
-reach the postings; ranking is a grouped aggregate and a top-k, never a sort of the whole corpus.
+Postings hold (doc_id, term, weight, positions). An index is postings written in the order of terms, with the
+document frequencies beside them: queries are small driver-side term lists, whose filter reaches the scan and
+skips all row groups and pages of other terms. Ranking is a grouped aggregate and a top-k, never a sort of the
+whole corpus.
 """
 
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from lodestrata.functions.similarity import cosine
+from lodestrata.sources.lake import written_or_none
 
 #: Words that are no terms.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
@@ -33,16 +37,45 @@ def query_terms(q: str) -> list[str]:
     return list(dict.fromkeys(w for w in words if w not in STOP_WORDS))
 
 
-def postings(df: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
-    """key, term, weight (the heaviest field that has it) and its positions in that order of fields."""
+def postings(df: DataFrame, key: str, fields: dict[str, float], stem: bool = False) -> DataFrame:
+    """key, term (its stem, if asked for), weight (the heaviest field that has it) and its positions in that order of fields."""
     parts = None
     for offset, (field, weight) in enumerate(fields.items()):
         one = df.select(key, F.posexplode(tokens(F.col(field))).alias("pos", "term")).where("term <> ''")
         one = one.select(key, "term", F.lit(weight).alias("weight"), (F.col("pos") + offset * 10_000_000).alias("pos"))
         parts = one if parts is None else parts.unionByName(one)
+    if stem:
+        parts = parts.withColumn("term", stemmed("term"))
     return parts.groupBy(key, "term").agg(F.max("weight").alias("weight"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
+class Index(NamedTuple):
+    """Written postings, and terms (term, df): in how many documents each is."""
+
+    posts: DataFrame
+    terms: DataFrame
+
+    def common(self, terms: list[str], n_docs: int, share: float = 0.02) -> set[str]:
+        """Those of a query's terms that are in more than a share of the documents: too common to search for alone."""
+        return {r.term for r in self.terms.where(F.col("term").isin(*terms) & (F.col("df") > share * n_docs)).collect()} if terms else set()
+
+
+def index(posts: DataFrame, key: str, path: str) -> Index:
+    """The index at path, built from postings where there is none yet.
+
+    Rows go by ranges of (term, key), so that a term of very many documents is spread over several files. The
+    terms are written last: an index without them was not finished, and is built anew.
+    """
+    spark = posts.sparkSession
+    terms = written_or_none(spark, f"{path}/terms")
+    if terms is None:
+        posts.repartitionByRange("term", key).sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/posts")
+        counted = spark.read.parquet(f"{path}/posts").groupBy("term").agg(F.count("*").alias("df"))
+        counted.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+        terms = spark.read.parquet(f"{path}/terms")
+    return Index(spark.read.parquet(f"{path}/posts"), terms)
+
+
 def high_df_terms(posts: DataFrame, key: str, n_docs: int, share: float = 0.02) -> DataFrame:
     """Terms in more than a share of the documents: too common to search for alone."""
     return posts.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") > share * n_docs)
@@ -100,23 +133,35 @@ def rrf(arms: dict[str, DataFrame], key: str, limit: int, k: int = RRF_K) -> Dat
     return fused.orderBy(F.col("rrf").desc(), "best_rank", key).limit(limit)
 
 
+def _shape(word: str) -> str:
+    """v for each vowel of a word and c for each consonant; y is a vowel after a consonant."""
+    out = ""
+    for ch in word:
+        out += "v" if ch in "aeiou" or (ch == "y" and out.endswith("c")) else "c"
+    return out
+
+
 def porter_step1(word: str) -> str:
-    """Plural and -ed/-ing endings by the first step of Porter's stemmer (1980)."""
-    has_vowel = lambda s: re.search(r"[aeiouy]", s) is not None
+    """Plural, -ed, -ing and -y endings by the first step of Porter's stemmer (1980)."""
     for end, put in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
         if word.endswith(end):
             word = word[: len(word) - len(end)] + put
             break
+    if word.endswith("eed"):
+        return word[:-1] if "vc" in _shape(word[:-3]) else word
     for end in ("ed", "ing"):
-        stem = word[: -len(end)]
-        if word.endswith(end) and has_vowel(stem):
-            word = stem
-            if re.search(r"(at|bl|iz)$", word):
-                return word + "e"
-            if re.search(r"([^aeiouylsz])\1$", word):
-                return word[:-1]
+        stem = word.removesuffix(end)
+        shape = _shape(stem)
+        if stem != word and "v" in shape:
+            short = shape.count("vc") == 1 and shape.endswith("cvc") and stem[-1] not in "wxy"
+            if stem.endswith(("at", "bl", "iz")) or short:
+                word = stem + "e"
+            elif shape.endswith("cc") and stem[-1] == stem[-2] and stem[-1] not in "lsz":
+                word = stem[:-1]
+            else:
+                word = stem
             break
-    return word
+    return word[:-1] + "i" if word.endswith("y") and "v" in _shape(word[:-1]) else word
 
 
 @F.pandas_udf(T.StringType())

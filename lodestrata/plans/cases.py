@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions import normalize, parse, text
-from lodestrata.operators import merge
+from lodestrata.operators import merge, search
 from lodestrata.plans.registry import Tables, query
 
 N = "\n"
@@ -130,6 +130,16 @@ cases(
 )
 cases("shell_cases", [("You need to enable JavaScript to run this app.", "true"), ("You need to enable JavaScript to run this app." + "x" * 400, "false"), ("A bill", "false"), ("", "false")], text.is_shell)
 
+cases(
+    "stem_cases",
+    [
+        ("caresses", "caress"), ("ponies", "poni"), ("caress", "caress"), ("cats", "cat"), ("feed", "feed"), ("agreed", "agree"), ("plastered", "plaster"), ("bled", "bled"),
+        ("motoring", "motor"), ("sing", "sing"), ("conflated", "conflate"), ("troubled", "trouble"), ("sized", "size"), ("hopping", "hop"), ("falling", "fall"), ("hissing", "hiss"),
+        ("fizzed", "fizz"), ("failing", "fail"), ("filing", "file"), ("happy", "happi"), ("sky", "sky"), ("", ""), (None, None),
+    ],
+    search.stemmed,
+)
+
 
 @query("select doc_id, lang as best from documents")
 def backfill_null(t: Tables) -> DataFrame:

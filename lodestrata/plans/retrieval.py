@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from lodestrata.functions import similarity, text
 from lodestrata.operators import search
 from lodestrata.plans.registry import Tables, query
+from lodestrata.sources import lake
 from lodestrata.streaming.feeds import rate_limited_batch
 
 QUESTION = "worthless idiot of the clown pathetic"
@@ -35,16 +36,23 @@ _LEXICAL = f"with {_POSTS}, {_KEPT}, {_ranked('select term from wanted')}"
 _COSINE = "round(list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)), 9)"
 
 
+def _index(t: Tables) -> search.Index:
+    """The index of the documents as they lie there now, in the shared folder; new files make a new index."""
+    place = f"{t.sf_dir}/documents.parquet"
+    path = f"{lake.shared_dir(t.spark)}/postings-{lake.version(t.spark, place)}"
+    return search.index(search.postings(t.documents.select("doc_id", "text"), "doc_id", {"text": 1.0}), "doc_id", path)
+
+
 def _postings(t: Tables) -> DataFrame:
-    return search.postings(t.documents.select("doc_id", "text"), "doc_id", {"text": 1.0})
+    return _index(t).posts
 
 
 def _lexical_hits(t: Tables) -> DataFrame:
+    found, terms = _index(t), search.query_terms(QUESTION)
     # The share is higher than the usual 0.02: the tables are small.
-    posts, terms = _postings(t), search.query_terms(QUESTION)
-    common = {r.term for r in search.high_df_terms(posts.where(F.col("term").isin(*terms)), "doc_id", t.documents.count(), 0.05).collect()}
-    found = search.match(posts, "doc_id", [w for w in terms if w not in common], False)
-    return found.select("doc_id", "n_terms", F.round("score", 6).alias("score"))
+    common = found.common(terms, t.documents.count(), 0.05)
+    hits = search.match(found.posts, "doc_id", [w for w in terms if w not in common], False)
+    return hits.select("doc_id", "n_terms", F.round("score", 6).alias("score"))
 
 
 def _lexical(t: Tables, limit: int) -> DataFrame:
@@ -57,8 +65,7 @@ def _probe(t: Tables) -> list[float]:
 
 @query(f"with {_POSTS} select doc_id, term, tf, positions[1]::bigint as first_pos from posts")
 def build_postings(t: Tables) -> DataFrame:
-    posts = search.postings(t.documents.select("doc_id", "text"), "doc_id", {"text": 1.0})
-    return posts.select("doc_id", "term", F.size("positions").cast("long").alias("tf"), F.col("positions")[0].cast("long").alias("first_pos"))
+    return _postings(t).select("doc_id", "term", F.size("positions").cast("long").alias("tf"), F.col("positions")[0].cast("long").alias("first_pos"))
 
 
 @query(f"with {_POSTS}, {_ranked(chr(39) + 'idiot' + chr(39) + ', ' + chr(39) + 'clown' + chr(39), 'having count(*) = 2')} select doc_id, round(score, 6) as score from scored")

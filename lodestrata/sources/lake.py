@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +35,36 @@ def coerced(c: Column, source_type: str) -> Column:
     return value
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset on one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or None
+    if not found:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def version(spark: SparkSession, path: str) -> str:
+    """A name of what lies below path now: it changes with the files' names, sizes and times. Contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    stamp = F.xxhash64("path", "length", F.unix_micros("modificationTime"))
+    held = files.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(stamp), F.lit(0)).alias("stamp")).first()
+    return f"{held.n}-{held.stamp & (2**64 - 1):016x}"
+
+
+def written_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at path, or None where nothing whole has been written."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def partition_plan(df: DataFrame, keys: list[str], row_bytes: Column) -> DataFrame:
     """Per candidate depth of partition keys: partitions, rows and bytes of the largest, and the median rows."""
     rows = []

@@ -152,3 +152,29 @@ def test_upsert_takes_the_last_of_repeated_rows(spark):
     delta = spark.createDataFrame([(1, "b", 1), (1, "a", 2), (3, "c", 1), (3, "c", 1), (None, "n", 5)], "k int, v string, at int")
     got = sorted(map(str, ((r.k, r.v) for r in merge.upsert(base, delta, ["k"], F.col("at")).collect())))
     assert got == ["(1, 'a')", "(2, 'stays')", "(3, 'c')", "(None, 'n')", "(None, 'null')"]
+
+
+def test_index_is_built_once_and_anew_for_new_files(spark, tmp_path):
+    place, rows = str(tmp_path / "t"), [(1, "the red fox"), (2, "a red red hen"), (3, None), (4, "")]
+    spark.createDataFrame(rows, "d long, t string").write.parquet(place)
+    first = lake.version(spark, place)
+    assert lake.version(spark, place) == first
+
+    def built():
+        return search.index(search.postings(spark.read.parquet(place), "d", {"t": 1.0}), "d", str(tmp_path / lake.version(spark, place)))
+
+    found = built()
+    assert {(r.term, r.df) for r in found.terms.collect()} == {("red", 2), ("fox", 1), ("hen", 1)}
+    assert found.common(["red", "fox"], 4, 0.25) == {"red"} and found.common([], 4) == set()
+    files = found.posts.inputFiles()
+    assert built().posts.inputFiles() == files
+    plan = found.posts.where("term in ('fox', 'hen')")._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(term, [fox,hen])]" in plan
+    spark.createDataFrame([(5, "fox")], "d long, t string").write.mode("append").parquet(place)
+    assert lake.version(spark, place) != first
+    assert {r.d for r in search.match(built().posts, "d", ["fox"], True).collect()} == {1, 5}
+
+
+def test_stemmed_postings(spark):
+    df = spark.createDataFrame([(1, "hopping ponies hoped caresses"), (2, None)], "d long, t string")
+    assert {r.term for r in search.postings(df, "d", {"t": 1.0}, stem=True).collect()} == {"hop", "poni", "hope", "caress"}
