@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -178,3 +179,19 @@ def test_index_is_built_once_and_anew_for_new_files(spark, tmp_path):
 def test_stemmed_postings(spark):
     df = spark.createDataFrame([(1, "hopping ponies hoped caresses"), (2, None)], "d long, t string")
     assert {r.term for r in search.postings(df, "d", {"t": 1.0}, stem=True).collect()} == {"hop", "poni", "hope", "caress"}
+
+
+@pytest.mark.parametrize("spread", [40, 3000, 100_000])
+def test_rate_limit_across_blocks(spark, monkeypatch, spread):
+    """Dense, middling and sparse times, ties, a null key and null times, in blocks of a few gaps; rows as by one loop."""
+    monkeypatch.setattr(feeds, "BLOCK_GAPS", 3)
+    draw = random.Random(spread)
+    held = [(i, draw.choice(["a", "a", "b", None]), draw.choice([None] + [draw.randrange(-spread, spread)] * 30)) for i in range(1500)]
+    df = spark.createDataFrame(held, "event_id long, kind string, s long").selectExpr("event_id", "kind", "timestamp_seconds(s) as ts").repartition(3)
+    want, last = set(), {}
+    for i, kind, at in sorted((h for h in held if h[2] is not None), key=lambda h: (h[2], h[0])):
+        if kind not in last or at - last[kind] >= 30:
+            want.add((kind, i))
+            last[kind] = at
+    got = feeds.rate_limited_batch(df, "kind", "ts", 30).collect()
+    assert {(r.kind, r.event_id) for r in got} == want and len(got) == len(want)
