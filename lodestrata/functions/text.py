@@ -177,6 +177,30 @@ def top_sections(bodies: pd.Series) -> pd.Series:
     return bodies.map(sections)
 
 
+def div_by_class(bodies: Column, name: str) -> Column:
+    """What is inside the first <div> that has the class, inner divs included; null without one, or where it has no end."""
+
+    @F.pandas_udf("string")
+    def inside(texts: pd.Series) -> pd.Series:
+        tags = re.compile(r"(?i)<(/?)div\b([^>]*)>")
+        has = re.compile(rf"""(?i)\bclass\s*=\s*["'](?:[^"']*\s)?{re.escape(name)}(?:\s[^"']*)?["']""")
+
+        def one(body: str | None) -> str | None:
+            depth, start = 0, None
+            for m in tags.finditer(body or ""):
+                if start is None:
+                    start, depth = (m.end(), 1) if not m[1] and has.search(m[2]) else (None, 0)
+                    continue
+                depth += -1 if m[1] else 1
+                if depth == 0:
+                    return body[start : m.start()]
+            return None
+
+        return texts.map(one)
+
+    return inside(bodies)
+
+
 def marked(c: Column, query: str) -> Column:
     """Each occurrence of query, whatever its case, between « and »."""
     return F.regexp_replace(c, f"(?i)({re.escape(query)})", "«$1»")

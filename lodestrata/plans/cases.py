@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import normalize, parse, text
 from lodestrata.operators import merge, search
 from lodestrata.plans.registry import Tables, query
+from lodestrata.sources import lake
 
 N = "\n"
 
@@ -140,6 +142,18 @@ cases(
     search.stemmed,
 )
 
+cases(
+    "div_cases",
+    [
+        ('<div class="a"><div class="body x">one<div>two</div>three</div>four</div>', "one<div>two</div>three"),
+        ("<DIV id=1 CLASS='body'></DIV>", ""),
+        ('<div class="nobody">a</div>', None),
+        ('<div class="body">open', None),
+        (None, None),
+    ],
+    lambda c: text.div_by_class(c, "body"),
+)
+
 
 @query("select doc_id, lang as best from documents")
 def backfill_null(t: Tables) -> DataFrame:
@@ -211,3 +225,37 @@ def page_difference(t: Tables) -> DataFrame:
     pages = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.col("c_custkey") + i) % 7)
     missing = F.sort_array(F.array_except(F.array(*[F.lit(x).cast("bigint") for x in (0, 3, 6)]), pages.cast("array<bigint>")))
     return t.customer.select("c_custkey", F.concat(F.lit("["), F.array_join(missing.cast("array<string>"), ", "), F.lit("]")).alias("missing"))
+
+
+@query("select lang, count(*) as rows, count(*) as held from documents group by 1")
+def lake_export(t: Tables) -> DataFrame:
+    """Documents written by language and counted again."""
+    return lake.export_checked(t.documents, f"{lake.shared_dir(t.spark)}/export-{uuid.uuid4().hex}", ["lang"])
+
+
+@query("select c_mktsegment, count(*) as rows, round(sum(c_acctbal), 2) as balance from customer group by 1")
+def grouped_json(t: Tables) -> DataFrame:
+    """Customers as gzipped JSON lines by segment, read back."""
+    path = f"{lake.shared_dir(t.spark)}/json-{uuid.uuid4().hex}"
+    lake.write_grouped_json(t.customer, path, "c_mktsegment")
+    back = lake.read_grouped_json(t.spark, path, t.customer.schema)
+    return back.groupBy("c_mktsegment").agg(F.count("*").alias("rows"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+@query("select case when o_orderstatus = 'F' then 'closed' else 'open' end as domain, count(*) as orders from orders group by 1")
+def domain_counts(t: Tables) -> DataFrame:
+    domain = lake.domain_of(F.col("o_orderstatus"), {"closed": ["F"], "open": ["O", "P"]})
+    return t.orders.groupBy(domain.alias("domain")).agg(F.count("*").alias("orders"))
+
+
+@query("""
+    select c_custkey, tier from (select c_custkey, tier, row_number() over (partition by tier order by c_acctbal desc, c_custkey) as r
+      from (select *, case when c_nationkey = 3 then 0 else 1 end as tier from customer) x) y where r <= 20
+""")
+def scope_tiers(t: Tables) -> DataFrame:
+    """The best 20 of one's own nation, then the best 20 of all others."""
+    best = [
+        t.customer.where(own).orderBy(F.col("c_acctbal").desc(), "c_custkey").limit(20).select("c_custkey", F.lit(tier).alias("tier"))
+        for tier, own in enumerate((F.col("c_nationkey").eqNullSafe(F.lit(3)), ~F.col("c_nationkey").eqNullSafe(F.lit(3))))
+    ]
+    return best[0].unionByName(best[1])

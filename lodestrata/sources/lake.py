@@ -87,12 +87,42 @@ def partition_plan(df: DataFrame, keys: list[str], row_bytes: Column) -> DataFra
 
 
 def write_partitioned(df: DataFrame, path: str, keys: list[str], rows_per_file: int = 1_000_000) -> None:
-    """One shuffle by the keys, so each partition is written by few tasks; files roll at a row bound."""
-    dealt = df.repartition(*keys) if keys else df
+    """One shuffle by the keys, so each partition is written by few tasks, a large one by several; files roll at a row bound."""
+    dealt = df.hint("rebalance", *keys) if keys else df
     writer = dealt.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file)
     (writer.partitionBy(*keys) if keys else writer).parquet(path)
 
 
+def export_checked(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """Writes df by partition and returns keys, rows and held (rows read back) of each. A partition that isn't whole is an error.
+
+    The written table is read with df's schema, so keys that look like numbers stay what they are. Empty text as a key comes back as null.
+    """
+    write_partitioned(df, path, keys)
+    back = df.sparkSession.read.schema(df.schema).parquet(path).groupBy(*keys).agg(F.count("*").alias("held"))
+    given = df.groupBy(*keys).agg(F.count("*").alias("rows")).withColumnsRenamed({k: f"__{k}" for k in keys})
+    match = [F.col(k).eqNullSafe(F.nullif(F.col(f"__{k}"), F.lit("")) if dict(df.dtypes)[k] == "string" else F.col(f"__{k}")) for k in keys]
+    both = back.join(given, match, "full").select(*keys, "rows", "held")
+    broken = F.raise_error(F.concat_ws(" ", F.lit("partition not whole:"), *[F.col(k).cast("string") for k in keys]))
+    return both.withColumn("rows", F.when(F.col("rows").eqNullSafe(F.col("held")), F.col("rows")).otherwise(broken.cast("bigint")))
+
+
+def write_grouped_json(df: DataFrame, path: str, key: str) -> None:
+    """Gzipped JSON lines, a folder for each value of the key; null fields are written, so that rows keep their shape."""
+    df.hint("rebalance", key).write.partitionBy(key).options(compression="gzip", ignoreNullFields=False).json(path)
+
+
+def read_grouped_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
+def domain_of(name: Column, domains: dict[str, list[str]]) -> Column:
+    """The domain whose list has the name. A name on no list is refused, not guessed."""
+    listed = {n: d for d, names in domains.items() for n in names}
+    known = F.create_map(*[F.lit(x) for pair in listed.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, name), F.raise_error(F.concat(F.lit("no domain for "), F.coalesce(name, F.lit("null")))))
+
+
 def manifest(df: DataFrame, table: str, partition: str) -> DataFrame:
     """Rows, distinct values and bounds of the partition column, and the columns of a table."""
     columns = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema)

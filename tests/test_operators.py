@@ -195,3 +195,15 @@ def test_rate_limit_across_blocks(spark, monkeypatch, spread):
             last[kind] = at
     got = feeds.rate_limited_batch(df, "kind", "ts", 30).collect()
     assert {(r.kind, r.event_id) for r in got} == want and len(got) == len(want)
+
+
+def test_exports_keep_null_and_numeric_looking_keys(spark, tmp_path):
+    df = spark.createDataFrame([(1, "007"), (2, "007"), (3, None), (4, "x")], "k long, p string")
+    got = lake.export_checked(df, str(tmp_path / "e"), ["p"])
+    assert {tuple(r) for r in got.collect()} == {("007", 2, 2), (None, 1, 1), ("x", 1, 1)}
+
+
+def test_unknown_domains_are_refused(spark):
+    df = spark.createDataFrame([("a",), ("zz",)], "n string").select(lake.domain_of(F.col("n"), {"d": ["a"]}).alias("d"))
+    with pytest.raises(Exception, match="no domain for zz"):
+        df.collect()
