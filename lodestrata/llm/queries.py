@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and of the pipeline."""
+"""The registered queries of the operators and of the pipeline."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import fingerprints, lm_scoring, mixing, near_dedup, packing, quality_classifier, quality_rules, toxicity, url_filter, warc
+from lodestrata.llm import fingerprints, lm_scoring, mixing, near_dedup, packing, quality_classifier, quality_rules, source_audit, token_alignment, toxicity, url_filter, warc
 from lodestrata.llm.common import documents
 
 
@@ -59,6 +59,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(docs, toxicity.learn(docs, labels)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(documents(spark, sf_dir).select("lang", "source", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_mixing_sources": op2_mixing_sources,
@@ -70,6 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
+    "op11_token_alignment": op11_token_alignment,
+    "op13_source_audit": op13_source_audit,
 }
 
 ORACLES: dict[str, str] = {
@@ -107,6 +117,42 @@ ORACLES: dict[str, str] = {
                case when n <> owner_n then owner end as refers_to
         from owned
     """,
+    "op13_source_audit": r"""
+        with read as (
+            select row_number() over () as n, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text
+            from documents
+        ), found as (
+            select n, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from read
+        ), kept as (
+            select lang, term, count(*) as q_count from found group by 1, 2 having count(distinct n) >= 3
+        ), langs as (
+            select lang, count(*) as v, sum(q_count)::bigint as q_total from kept group by 1
+        ), counted as (
+            select lang, source, term, count(*) as c from found semi join kept using (lang, term) group by 1, 2, 3
+        ), groups as (
+            select g.lang, g.source, coalesce(t.total, 0) as total
+            from (select distinct lang, source from read) g
+            left join (select lang, source, sum(c)::bigint as total from counted group by 1, 2) t using (lang, source)
+        ), shares as (
+            select g.lang, g.source, k.term, coalesce(c.c, 0) as c,
+                   (1 + (1000000000::hugeint * (coalesce(c.c, 0) + 1)) // (g.total + l.v))::bigint as p,
+                   (1 + (1000000000::hugeint * (k.q_count + 1)) // (l.q_total + l.v))::bigint as q
+            from groups g join kept k using (lang) join langs l using (lang) left join counted c on c.lang = g.lang and c.source = g.source and c.term = k.term
+        ), sums as (
+            select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p)::bigint as value
+            from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3
+        ), pairs as (
+            select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0) as value
+            from groups a join groups b on a.lang = b.lang and a.source <> b.source
+            left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source
+        ), told as (
+            select lang, source, 'term' as part, term as item, (p - q) * (p - q) // q as value from shares where c > 0 and p > q
+        )
+        select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank
+        from (from pairs union all from told)
+        qualify part = 'pair' or rank <= 200
+    """,
 }
 
 
