@@ -122,7 +122,7 @@ def divergences(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 def _cell(rows: pd.DataFrame) -> pd.DataFrame:
     """Partial divergences, both ways, of all pairs of groups of one cell; rows: its one or two slices."""
-    slices = []
+    slices, cross = [], rows["low"].iloc[0] != rows["high"].iloc[0]
     for r in rows.itertuples():
         totals = np.asarray(r.totals, np.int64)
         counts = np.zeros((len(totals), r.width), np.int64)
@@ -132,10 +132,12 @@ def _cell(rows: pd.DataFrame) -> pd.DataFrame:
     out = []
     for a, p in slices:
         for b, q in slices:
-            if a != b or len(slices) == 1:
+            if (a != b) == cross:
                 found = divergences(p, q)
                 g, h = np.indices(found.shape)
                 out.append(pd.DataFrame({"gb": a, "who": g.ravel() + 1, "other_gb": b, "other": h.ravel() + 1, "value": found.ravel()}))
+    if not out:  # a block without groups
+        return pd.DataFrame({c: [] for c in ("lang", "gb", "who", "other_gb", "other", "value")})
     made = pd.concat(out)
     made.insert(0, "lang", rows["lang"].iloc[0])
     return made
