@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import fingerprints, lm_scoring, mixing, near_dedup, packing, quality_classifier, quality_rules, source_audit, token_alignment, toxicity, url_filter, warc
+from lodestrata.llm import fingerprints, jaccard_join, lm_scoring, mixing, near_dedup, packing, quality_classifier, quality_rules, source_audit, token_alignment, toxicity, url_filter, warc
 from lodestrata.llm.common import documents
 
 
@@ -63,6 +63,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.alignment(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(documents(spark, sf_dir).select("lang", "source", "text"))
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
     "op11_token_alignment": op11_token_alignment,
+    "op12_ngram_join": op12_ngram_join,
     "op13_source_audit": op13_source_audit,
 }
 

@@ -137,7 +137,7 @@ def _cell(rows: pd.DataFrame) -> pd.DataFrame:
                 g, h = np.indices(found.shape)
                 out.append(pd.DataFrame({"gb": a, "who": g.ravel() + 1, "other_gb": b, "other": h.ravel() + 1, "value": found.ravel()}))
     if not out:  # a block without groups
-        return pd.DataFrame({c: [] for c in ("lang", "gb", "who", "other_gb", "other", "value")})
+        return pd.DataFrame({"lang": pd.Series(dtype=object), **{c: pd.Series(dtype="int64") for c in ("gb", "who", "other_gb", "other", "value")}})
     made = pd.concat(out)
     made.insert(0, "lang", rows["lang"].iloc[0])
     return made
