@@ -10,11 +10,11 @@
    a subtree as soon as what remains of its sets, or of the pivot's, can't reach the threshold.
 5. Components of the links. In groups that are not one component yet, classes outside the largest one meet its best-linked member.
 6. The rest, exactly. Groups that are apart even then are cut into blocks; each pair of blocks whose classes are of different
-   components is a cell: one block's trie is traversed with each set of the other. A cell has at most 2 * `BLOCK` sets, so no
+   components is a cell (near_dedup.across). A cell compares bitmaps, in which two sets differ in no more bits than they differ in
+   shingles, so it drops no pair that reaches the threshold; those that may are traversed as in 4. A cell has two blocks at most, so no
    group, however large, makes a large task, and pairs of one component are never looked at.
 
-No pair of rows is ever made but for the pairs of a class and its pivot. Sets that are sent are read from the texts anew. Nothing of
-the data passes the driver but counts.
+Sets that are sent are read from the texts anew. Nothing of the data passes the driver but counts.
 
 Defined cases: null texts, and texts without words, have no shingles and are linked with nothing. Fewer words than a
 shingle has are one shingle, the whole sequence. Equal texts are one class; repeated rows have the same component_id. A
@@ -23,6 +23,7 @@ null doc_id is never the smallest while its component has others. Extra columns
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -31,9 +32,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from lodestrata.llm.common import materialize
-from lodestrata.llm.near_dedup import _digest, _sets, _unfinished, components, mixed, shingle_sets
+from lodestrata.llm.common import materialize, small_side
+from lodestrata.llm.near_dedup import BLOCK, _digest, _unfinished, across, components, mixed, shingle_sets
 from lodestrata.llm.packing import slices
 
 WORDS, PERCENT = 5, 80
@@ -41,8 +43,8 @@ WORDS, PERCENT = 5, 80
 BUCKETS, CHUNK = 1 << 20, 1 << 16
 #: Tasks whose tables are added up together.
 ADDED = 64
-#: Sets of a block, and shingles that the sets of a task's group have, about.
-BLOCK, GROUP_SHINGLES = 128, 1_000_000
+#: Shingles that the sets of a task's group have, about.
+GROUP_SHINGLES = 1_000_000
 #: Digests that a task remembers, so that copies of a text send their shingles once.
 REMEMBERED = 200_000
 #: Groups choose their pivots by so many orders of all classes, so those that share most members share pivots too.
@@ -200,78 +202,58 @@ def ranked(sets: list[np.ndarray], table: np.ndarray | None) -> tuple[list[np.nd
     return [np.sort(x) for x in np.split(place, at)], len(known)
 
 
+def set_rows(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n_wanted: int, width: int) -> DataFrame:
+    """class_no and the shingle hashes of the wanted classes (class_no; written), read from the texts; a row that is repeated may come more than once."""
+    reps = classes.join(wanted, "class_no", "left_semi")
+    ids = reps.select("min_id").distinct()
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(small_side(ids, n_wanted), F.col("doc_id").eqNullSafe(F.col("min_id")), "left_semi")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            for part in slices(batch):
+                rows = []
+                for h in shingle_sets(part.column("text"), width):
+                    digest = _digest(h) if len(h) else None
+                    if digest and digest not in seen:
+                        rows.append((*digest, h.view(np.int64)))
+                        if len(seen) < REMEMBERED:
+                            seen.add(digest)
+                hi, lo, sets = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["hi", "lo", "hashes"])
+
+    found = texts.select("text").mapInArrow(hashed, "hi long, lo long, hashes array<long>")
+    return found.join(small_side(reps.select("hi", "lo", "class_no"), n_wanted), ["hi", "lo"]).select("class_no", "hashes")
+
+
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int, table: np.ndarray) -> DataFrame:
     """Those of the pairs (a, b; written, distinct) whose full sets reach the threshold. A group of tries, each of the candidates b of one a, is a task's work."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class_no")).distinct()
-    sets = materialize(_sets(docs, classes, materialize(wanted, "join-wanted"), width), "join-sets")
     sized = pairs.join(classes.select(F.col("class_no").alias("b"), "n"), "b")
-    loads = sized.groupBy("a").agg(F.sum("n").alias("load"))
-    loads = materialize(loads.withColumn("parts", F.ceil(F.col("load") / GROUP_SHINGLES).cast("long")), "join-loads")
+    loads = sized.groupBy("a").agg(F.sum("n").alias("load")).withColumn("parts", F.ceil(F.col("load") / GROUP_SHINGLES).cast("long"))
+    loads = materialize(loads, "join-loads")
     n_groups = 1 + (loads.agg(F.sum("load")).first()[0] or 0) // GROUP_SHINGLES
-    unit = F.pmod(F.xxhash64("a", "part"), F.lit(n_groups))
-    candidates = pairs.join(loads, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts"))
-    rows = candidates.join(sets.withColumnRenamed("class_no", "b"), "b").select(unit.alias("g"), "a", "b", "hashes")
-    probes = candidates.select("a", "part").distinct().join(sets.withColumnRenamed("class_no", "a"), "a").select(unit.alias("g"), "a", F.lit(None).cast("long").alias("b"), "hashes")
+    dealt = pairs.join(loads, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts"))
+    dealt = dealt.select("a", "b", F.pmod(F.xxhash64("a", "part"), F.lit(n_groups)).alias("g"))
+    probes = dealt.select("g", "a", F.col("a").alias("class_no"), F.lit(True).alias("probe")).distinct()
+    roles = materialize(dealt.select("g", "a", F.col("b").alias("class_no"), F.lit(False).alias("probe")).unionByName(probes), "join-roles")
+    n_roles, wanted = roles.count(), materialize(roles.select("class_no").distinct(), "join-wanted")
+    rows = set_rows(docs, classes, wanted, wanted.count(), width).join(small_side(roles, n_roles), "class_no")
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def walk(group: pa.Table) -> pa.Table:
-        a, b = group.column("a").to_numpy(), group.column("b").to_pylist()
+        a, b, probe = (group.column(c).to_numpy() for c in ("a", "class_no", "probe"))
         hashes = group.column("hashes").combine_chunks()
         out_a, out_b = [], []
         order = np.argsort(a, kind="stable")
         for some in np.split(order, np.flatnonzero(np.diff(a[order])) + 1):
-            own = [np.asarray(hashes[int(k)].values).view(np.uint64) for k in some]
-            ranks, n_ranks = ranked(own, sent.value)
-            of = [b[k] for k in some]
-            probe = ranks[of.index(None)]
-            candidates = [k for k, x in enumerate(of) if x is not None]
-            for k in Trie([ranks[k] for k in candidates]).reaching(probe, n_ranks, percent):
+            ranks, n_ranks = ranked([np.asarray(hashes[int(k)].values).view(np.uint64) for k in some], sent.value)
+            first, others = int(np.flatnonzero(probe[some])[0]), np.flatnonzero(~probe[some])
+            for k in Trie([ranks[k] for k in others]).reaching(ranks[first], n_ranks, percent):
                 out_a.append(int(a[some[0]]))
-                out_b.append(of[candidates[k]])
+                out_b.append(int(b[some[others[k]]]))
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    return materialize(rows.unionByName(probes).groupBy("g").applyInArrow(walk, "a long, b long"), "join-links")
-
-
-def across(apart: DataFrame, sets: DataFrame, percent: int, table: np.ndarray | None = None, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between classes of different roots that share a key, by tries over blocks.
-
-    apart: key, class_no, root, n and i (the key's place in the class's order of shingles, from 0). sets: class_no, hashes; written.
-    """
-    shares = apart.groupBy("key", "root").agg(F.count("*").alias("held"))
-    largest = shares.groupBy("key").agg(F.max(F.struct("held", "root")).alias("most"), F.sum("held").alias("size"), F.count("*").alias("roots")).where("roots > 1")
-    largest = materialize(
-        largest.select("key", F.col("most.root").alias("main"), F.ceil(F.col("most.held") / block).alias("mains"), F.ceil((F.col("size") - F.col("most.held")) / block).alias("others")), "join-open"
-    )
-    placed = apart.join(largest, "key").withColumn("is_main", F.col("root") == F.col("main"))
-    number = F.pmod(F.xxhash64("class_no"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others")))
-    placed = placed.withColumn("own", F.when(F.col("is_main"), -1 - number).otherwise(number))
-    # Blocks of the main component (below 0) meet those of the others; these meet each other.
-    against = F.sequence(F.when(F.col("is_main"), F.lit(0)).otherwise(-F.col("mains")).cast("long"), F.col("others").cast("long") - 1)
-    dealt = placed.select("key", "class_no", "root", "n", "i", "own", F.explode(against).alias("with"))
-    cells = dealt.select("key", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), "own", "class_no", "root", "n", "i")
-    sent = sets.sparkSession.sparkContext.broadcast(table)
-
-    def walk(cell: pa.Table) -> pa.Table:
-        own, low, high = (cell.column(c).to_numpy() for c in ("own", "low", "high"))
-        number, root, n, i = (cell.column(c).to_numpy() for c in ("class_no", "root", "n", "i"))
-        hashes = cell.column("hashes").combine_chunks()
-        first, second = np.flatnonzero(own == low[0]), np.flatnonzero(own == high[0])
-        out: list[tuple[int, int]] = []
-        if len(first) and len(second) and (len(np.unique(root)) > 1):
-            ranks, n_ranks = ranked([np.asarray(hashes[k].values).view(np.uint64) for k in range(len(number))], sent.value)
-            trie = Trie([ranks[k] for k in first])
-            left = n - i
-            for k in second.tolist():
-                need = -(-percent * (n[first] + n[k]) // (100 + percent))
-                wanted = (root[first] != root[k]) & (left[first] >= need) & (left[k] >= need)
-                if low[0] == high[0]:
-                    wanted &= number[first] < number[k]
-                if wanted.any():
-                    out.extend((int(number[first[j]]), int(number[k])) for j in trie.reaching(ranks[k], n_ranks, percent, wanted))
-        return pa.table({"a": pa.array([min(p) for p in out], pa.int64()), "b": pa.array([max(p) for p in out], pa.int64())})
-
-    return cells.join(sets, "class_no").groupBy("key", "low", "high").applyInArrow(walk, "a long, b long").distinct()
+    return materialize(rows.select("g", "a", "class_no", "probe", "hashes").groupBy("g").applyInArrow(walk, "a long, b long").distinct(), "join-links")
 
 
 def _close(n: str, i: str, m: str, j: str, percent: int) -> Column:
@@ -285,17 +267,26 @@ def join(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, block: int
     own = parts.where("chunk is null").select("doc_id", "n", "hi", "lo")
     table = rarity(parts)
     classes = own.where("hi is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("min_id"), F.first("n").alias("n"))
-    classes = materialize(classes.withColumn("class_no", F.monotonically_increasing_id()), "join-classes")
+    # Half of the digest numbers the classes, unless two share it.
+    apart_by_half = classes.select("hi").groupBy("hi").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
+    classes = materialize(classes.withColumn("class_no", F.col("hi") if apart_by_half else F.monotonically_increasing_id()), "join-classes")
 
     firsts = materialize(first_shingles(docs, width, percent, table), "join-firsts")
-    shared = firsts.groupBy("t").agg(F.count("*").alias("size")).where("size > 1").select("t")
-    numbers = classes.select("hi", "lo", "class_no")
-    members = firsts.join(shared, "t", "left_semi").join(numbers, ["hi", "lo"]).select(F.col("t").alias("key"), "class_no", "n", "i").distinct()
-    members = materialize(members, "join-members")
+    numbered = firsts.withColumn("class_no", F.col("hi")) if apart_by_half else firsts.join(classes.select("hi", "lo", "class_no"), ["hi", "lo"])
+    # One shuffle, by shingle: copies out, groups of one out, and the pivot of each group.
+    # Sizes in steps a little wider than the threshold: a pair that can reach it shares a step or has neighbouring ones.
+    step = F.floor(F.log("n") / F.lit(-1.001 * math.log(percent / 100)))
+    keys = F.explode(F.array(F.xxhash64("t", step), F.xxhash64("t", step + 1)))
+    met = numbered.select(keys.alias("key"), "class_no", F.col("n").cast("int").alias("n"), F.col("i").cast("int").alias("i")).repartition("key")
+    met = met.groupBy("key", "class_no").agg(F.min("n").alias("n"), F.min("i").alias("i"))
+    group = W.partitionBy("key")
     order = F.struct(F.xxhash64(F.pmod("key", F.lit(PIVOT_ORDERS)), "class_no").alias("by"), F.col("class_no"), F.col("n"), F.col("i"))
-    groups = members.groupBy("key").agg(F.count("*").alias("size"), F.min(order).alias("p")).where("size > 1")
-    groups = groups.select("key", F.col("p.class_no").alias("pivot"), F.col("p.n").alias("m"), F.col("p.i").alias("j"))
-    first = members.join(materialize(groups, "join-groups"), "key").where("class_no <> pivot").where(_close("n", "i", "m", "j", percent))
+    met = met.select("*", F.count("*").over(group).alias("size"), F.min("n").over(group).alias("least")).where("size > 1")
+    # With a partner of the group's least size, or of the least that can reach the threshold, the first common shingle comes no later than this.
+    met = met.where(_close("n", "i", f"greatest(least, ({percent} * n + 99) div 100)", "0", percent)).drop("size")
+    met = met.select("*", F.count("*").over(group).alias("size"), F.min(order).over(group).alias("p")).where("size > 1")
+    members = materialize(met.select("key", "class_no", "n", "i", F.col("p.class_no").alias("pivot"), F.col("p.n").alias("m"), F.col("p.i").alias("j")), "join-members")
+    first = members.where("class_no <> pivot").where(_close("n", "i", "m", "j", percent))
     first = materialize(first.select(F.col("pivot").alias("a"), F.col("class_no").alias("b")).distinct(), "join-first")
     links = verified(docs, classes, first, width, percent, table)
     roots = components(links)
@@ -315,11 +306,13 @@ def join(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, block: int
         roots = components(links)
 
     # Groups that are apart even then, in cells of two blocks.
-    apart = _unfinished(keyed, roots).select("key", "class_no", "root").join(members, ["key", "class_no"])
+    apart = _unfinished(keyed, roots).select("key", "class_no", "root").join(members.select("key", "class_no", "n", "i"), ["key", "class_no"])
     apart = materialize(apart, "join-apart")
     if not apart.isEmpty():
-        sets = materialize(_sets(docs, classes, materialize(apart.select("class_no").distinct(), "join-wanted"), width), "join-sets")
-        more = materialize(across(apart, sets, percent, table, block), "join-more")
+        wanted = materialize(apart.select("class_no").distinct(), "join-wanted")
+        held = set_rows(docs, classes, wanted, wanted.count(), width)
+        left = across(apart, held, percent, block).join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
+        more = verified(docs, classes, materialize(left, "join-third"), width, percent, table)
         if not more.isEmpty():
             roots = components(links.unionByName(more))
 

@@ -11,7 +11,7 @@
    sets of the others are intersected.
 5. Components of the confirmed links, by contraction. In groups that are not one component yet, the classes
    outside the group's largest component are held against its best-linked member. Classes of groups that are
-   apart even then meet through their rarest shingles, a filter that loses no pair that reaches the
+   apart even then meet through their rarest shingles, in cells of two blocks that compare bitmaps: filters that lose no pair that reaches the
    threshold; verified links join in, and components are found again.
 
 Shingles, threshold and sizes are parameters. Nothing of the data passes the driver but counts.
@@ -48,6 +48,8 @@ MARGIN = 0.15
 #: Texts whose samples are folded into keys and sketches in one step, at most: it bounds memory and changes no result.
 SIGNED_AT_ONCE = 64
 WORDS, PERCENT = 5, 80
+#: Classes of a block: groups that are compared as a whole are cut into these.
+BLOCK = 128
 #: Groups choose their pivots by so many orders of all classes, so those that share most members share pivots too.
 PIVOT_ORDERS = 4
 
@@ -252,10 +254,77 @@ def _unfinished(members: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.join(largest, "key")
 
 
-def _sharing_rare(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of classes of different roots that can reach the threshold, by their shingles in order of rarity.
+def bitmap(hashes: np.ndarray) -> bytes:
+    """Which of 2**k cells (twice the set's size at least) an odd number of its hashes falls in: two sets differ in no more cells than in members."""
+    cells = 1 << max(6, int(2 * len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes.view(np.uint64) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
-    Two sets of m and n shingles that reach it share `need` at least, so the first one that they share, in any
+
+def _folded(maps: np.ndarray, size: int) -> np.ndarray:
+    """Bitmaps (rows of words) of fewer cells."""
+    while maps.shape[1] > size:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] ^ maps[:, half:]
+    return maps
+
+
+def across(apart: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of classes of different roots that share a key and may reach the threshold, each once; no pair that reaches it is missing.
+
+    apart: key, class_no, root, n and i (the key's place in the class's order of shingles, from 0). sets: class_no, hashes.
+    Groups are cut into blocks, the largest component's apart from the others', and two blocks make a cell, a task's work.
+    """
+    shares = apart.groupBy("key", "root").agg(F.count("*").alias("held"))
+    largest = shares.groupBy("key").agg(F.max(F.struct("held", "root")).alias("most"), F.sum("held").alias("size"), F.count("*").alias("roots")).where("roots > 1")
+    mains, others = F.ceil(F.col("most.held") / block), F.ceil((F.col("size") - F.col("most.held")) / block)
+    largest = materialize(largest.select("key", F.col("most.root").alias("main"), mains.cast("long").alias("mains"), others.cast("long").alias("others")), "near-open")
+    placed = apart.join(largest, "key").withColumn("is_main", F.col("root") == F.col("main"))
+    number = F.pmod(F.xxhash64("class_no"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others")))
+    placed = placed.withColumn("own", F.when(F.col("is_main"), -1 - number).otherwise(number))
+    # Blocks of the largest component (below 0) meet those of the others; these meet each other.
+    against = F.sequence(F.when(F.col("is_main"), F.lit(0)).otherwise(-F.col("mains")).cast("long"), F.col("others") - 1)
+    dealt = placed.select("key", "class_no", "root", F.col("n").cast("long").alias("n"), F.col("i").cast("long").alias("i"), "own", F.explode(against).alias("with"))
+    cells = dealt.select("key", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), "own", "class_no", "root", "n", "i")
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = batch.column("hashes")
+            maps = [bitmap(np.asarray(hashes[k].values)) for k in range(len(batch))]
+            yield pa.RecordBatch.from_arrays([batch.column("class_no"), pa.array(maps, pa.binary())], ["class_no", "map"])
+
+    maps = materialize(sets.select("class_no", "hashes").mapInArrow(mapped, "class_no long, map binary"), "near-maps")
+
+    def compare(cell: pa.Table) -> pa.Table:
+        own, low, high = (cell.column(c).to_numpy() for c in ("own", "low", "high"))
+        number, root, n, i = (cell.column(c).to_numpy() for c in ("class_no", "root", "n", "i"))
+        held = [np.frombuffer(m, np.uint64) for m in cell.column("map").to_pylist()]
+        first, second = np.flatnonzero(own == low[0]), np.flatnonzero(own == high[0])
+        size = np.array([len(m) for m in held])
+        out_a, out_b = [], []
+        levels = {w: np.flatnonzero(size[first] >= w) for w in np.unique(size).tolist()}
+        tables = {w: np.concatenate([_folded(held[first[j]][None], w) for j in at.tolist()]) for w, at in levels.items() if len(at)}
+        for k in second.tolist():
+            need = -(-percent * (n[first] + n[k]) // (100 + percent))
+            wanted = (root[first] != root[k]) & (np.minimum(n[first] - i[first], n[k] - i[k]) >= need) & (n[first] >= need) & (n[k] >= need)
+            if low[0] == high[0]:
+                wanted &= number[first] < number[k]
+            for w in np.unique(np.minimum(size[first[wanted]], size[k])).tolist():
+                at = levels[w]
+                here = wanted[at] & (np.minimum(size[first[at]], size[k]) == w)
+                differ = np.bitwise_count(tables[w][here] ^ _folded(held[k][None], w)).sum(1)
+                near = at[here][differ <= (n[first] + n[k] - 2 * need)[at[here]]]
+                out_a.extend([int(number[k])] * len(near))
+                out_b.extend(number[first[near]].tolist())
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return cells.join(maps, "class_no").groupBy("key", "low", "high").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _by_rarity(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """key, class_no, root, n and i: the shingles of each class, in order of rarity, by which it can meet the others.
+
+    Two sets of m and n shingles that reach the threshold share `need` at least, so the first one that they share, in any
     order common to all, is among the m - need + 1 first of one and the n - need + 1 first of the other. Rare
     shingles come first: what the many versions of one text have in common doesn't bring them together.
     """
@@ -265,13 +334,8 @@ def _sharing_rare(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     n = F.size("ts")
     # A partner has percent of the size at least, and so has what both share.
     reach = n - F.ceil(F.lit(percent) * n / 100).cast("int") + 1
-    firsts = ordered.select("class_no", n.alias("n"), F.posexplode(F.transform(F.slice("ts", F.lit(1), reach), lambda x: x["t"])).alias("i", "t"))
-    firsts = materialize(firsts.join(apart, "class_no"), "near-firsts")
-    x, y = (firsts.select("t", *[F.col(c).alias(f"{c}_{k}") for c in ("class_no", "root", "n", "i")]) for k in "xy")
-    need = F.expr(f"({percent} * (n_x + n_y) + {99 + percent}) div {100 + percent}")
-    near = (F.col("n_x") - F.col("i_x") >= need) & (F.col("n_y") - F.col("i_y") >= need)
-    both = x.join(y, (x.t == y.t) & (F.col("class_no_x") < F.col("class_no_y")) & (F.col("root_x") != F.col("root_y")) & near)
-    return both.select(F.col("class_no_x").alias("a"), F.col("class_no_y").alias("b")).distinct()
+    firsts = ordered.select("class_no", n.alias("n"), F.posexplode(F.transform(F.slice("ts", F.lit(1), reach), lambda x: x["t"])).alias("i", "key"))
+    return materialize(firsts.join(apart, "class_no"), "near-firsts")
 
 
 def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -334,7 +398,8 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     apart = materialize(_unfinished(members, roots).select("class_no", "root").distinct(), "near-apart")
     if not apart.isEmpty():
         sets = materialize(_sets(docs, classes, apart.select("class_no"), width), "near-sets")
-        left = promising(_sharing_rare(apart, sets, percent).join(first, ["a", "b"], "left_anti"))
+        met = across(_by_rarity(apart, sets, percent), sets, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        left = promising(met.join(first, ["a", "b"], "left_anti"))
         more = _verified(docs, classes, left, width, percent)
         if not more.isEmpty():
             roots = components(links.unionByName(more))
