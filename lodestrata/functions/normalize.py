@@ -124,6 +124,13 @@ def title_case(c: Column) -> Column:
     return out
 
 
+#: Symbols of the elements by proton number; a neutron has none.
+ELEMENTS = (
+    "n H He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn Ga Ge As Se Br Kr Rb Sr Y Zr Nb Mo Tc Ru Rh Pd Ag Cd In Sn Sb Te I Xe "
+    "Cs Ba La Ce Pr Nd Pm Sm Eu Gd Tb Dy Ho Er Tm Yb Lu Hf Ta W Re Os Ir Pt Au Hg Tl Pb Bi Po At Rn Fr Ra Ac Th Pa U Np Pu Am Cm Bk Cf Es Fm Md No Lr Rf Db Sg "
+    "Bh Hs Mt Ds Rg Cn Nh Fl Mc Lv Ts Og"
+).split()
+
 #: What chamber codes stand for, and states whose lower house is no House.
 CHAMBERS = {"S": "Senate", "A": "Assembly", "H": "House", "L": "Legislature", "C": "Council"}
 LOWER_HOUSES = {"NY": "Assembly", "NJ": "Assembly", "CA": "Assembly", "NV": "Assembly", "WI": "Assembly", "NE": "Legislature", "DC": "Council", "US": "House"}

@@ -7,31 +7,29 @@ from pyspark.sql import functions as F
 
 #: The letters of federal bill numbers and how each is filed.
 FILED_AS = {"HJRES": "HJR", "SJRES": "SJR", "HCONRES": "HCR", "SCONRES": "SCR", "HRES": "HR", "SRES": "SR", "HR": "HB", "S": "SB"}
-#: Words that such letters are made of.
-_PARTS = ("CON", "RES", "H", "S", "J", "R")
+#: A short run of words that may be such letters, and the number after it.
+_LETTERED = r"(?<![A-Za-z.])((?:[A-Za-z]{1,7}\.?\s?){1,4})(\d{1,5})\b"
 
 
-def _form(letters: str) -> str:
-    """A pattern of the letters as they are written: each word may have a stop and a space after it; a lone S needs its stop."""
-    words, rest = [], letters
-    while rest:
-        word = next(p for p in _PARTS if rest.startswith(p))
-        words.append(word)
-        rest = rest[len(word) :]
-    return r"S\." if words == ["S"] else r"\s?".join(rf"{w}\.?" for w in words)
+def _filed(words: Column) -> Column:
+    """How a bill is filed whose letters end the run of words: the longest end that is known. What stands right before it must not be joined to it, and a lone S needs its stop."""
+    kinds = F.map_from_arrays(F.array(*map(F.lit, FILED_AS)), F.array(*map(F.lit, FILED_AS.values())))
+    parts = F.regexp_extract_all(words, F.lit(r"([A-Za-z]+\.?\s?)"), F.lit(1))
 
+    def from_word(k: Column) -> Column:
+        tail = F.array_join(F.slice(parts, k + 1, F.size(parts)), "")
+        letters = F.upper(F.regexp_replace(tail, "[^A-Za-z]", ""))
+        apart = (k == 0) | F.endswith(F.get(parts, k - 1), F.lit(" "))
+        return F.when(apart & ((letters != "S") | tail.contains(".")), F.try_element_at(kinds, letters))
 
-MENTION = r"(?i)(?<![A-Z.])\b(" + "|".join(_form(k) for k in sorted(FILED_AS, key=len, reverse=True)) + r")\s?(\d{1,5})\b"
+    ends = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), from_word)
+    return F.get(F.array_compact(ends), F.lit(0))
 
 
 def bill_mentions(c: Column) -> Column:
     """The distinct bills that a text names, in the order of their first mention."""
-    kinds = F.map_from_arrays(F.array(*map(F.lit, FILED_AS)), F.array(*map(F.lit, FILED_AS.values())))
-    forms = F.regexp_extract_all(c, F.lit(MENTION), F.lit(1))
-    numbers = F.regexp_extract_all(c, F.lit(MENTION), F.lit(2))
-    named = F.zip_with(
-        forms, numbers, lambda f, n: F.concat(F.try_element_at(kinds, F.upper(F.regexp_replace(f, r"[.\s]", ""))), n.cast("int").cast("string"))
-    )
+    runs, numbers = (F.regexp_extract_all(c, F.lit(_LETTERED), F.lit(g)) for g in (1, 2))
+    named = F.zip_with(runs, numbers, lambda w, n: F.concat(_filed(w), n.cast("int").cast("string")))
     return F.array_distinct(F.array_compact(named))
 
 
@@ -41,31 +39,56 @@ def dollar_amounts(c: Column) -> Column:
     return F.transform(found, lambda x: F.regexp_replace(x, ",", "").cast("double"))
 
 
-def _path(host: str, path: str, value: str, plain_case: bool = False) -> str:
-    return ("" if plain_case else "(?i)") + host.replace(".", r"\.") + path + f"({value})"
+#: Where sites keep a person. Host, the path's segments before the identifier (* is any one; None: it may be anywhere in the link), and
+#: what the identifier looks like. Of several links the first counts, and of several places the last one listed.
+PERSON_LINKS = {
+    "ballotpedia": [("ballotpedia.org", (), r".+")],
+    "votesmart": [
+        ("votesmart.org", ("candidate",), r"\d+"),
+        ("votesmart.org", ("candidate", "biography"), r"\d+"),
+        ("justfacts.votesmart.org", ("candidate", "*"), r"\d+"),
+    ],
+    "bioguide": [("bioguide.congress.gov", None, r"\b[A-Z]\d{6}"), ("", ("images", "congress", "*"), r"[A-Z]\d{6}(?=\.)")],
+    "opensecrets": [("opensecrets.org", None, r"N\d{8}")],
+    "fec": [("fec.gov", ("data", "candidate"), r"[A-Z0-9]{9}")],
+    "wikipedia": [("en.wikipedia.org", ("wiki",), r".+")],
+}
+#: A link or a path: everything up to white space or a quotation mark around a slash.
+_LINK = r"""([^\s"']+/[^\s"']+)"""
 
 
-#: Sites, the paths below which they keep a person, and how their identifiers look; of several forms a later one wins.
-_REST = r"[^\s\"']"
-EXTERNAL_IDS = {
-    "ballotpedia": [_path("ballotpedia.org", "/", _REST + "+")],
-    "votesmart": [_path("votesmart.org", "/candidate/(?:biography/)?", r"\d+"), _path("justfacts.votesmart.org", "/candidate/[^/]*/", r"\d+")],
-    "bioguide": [_path("bioguide", r"(?:\.congress\.gov)?" + _REST + "*?", r"[A-Z]\d{6}", True), r"images/congress/" + _REST + r"*/([A-Z]\d{6})\."],
-    "opensecrets": [_path("opensecrets.org", "/" + _REST + "*?", r"N\d{8}")],
-    "fec": [_path("fec.gov", "/data/candidate/", "[A-Z0-9]{9}")],
-    "twitter": [r"(?m)^\s+twitter:\s*(\S+)"],
-    "wikipedia": [_path("en.wikipedia.org", "/wiki/", _REST + "+")],
-}
+def _place(links: Column, host: str, before: tuple[str, ...] | None, shape: str) -> Column:
+    """The identifier in the first of the links (arrays of segments, host first) that has one at this place."""
+
+    def of(link: Column) -> Column:
+        site = F.regexp_replace(F.lower(F.get(link, F.lit(0))), "^www[.]", "")
+        if before is None:
+            here, value = site == host, F.array_join(F.slice(link, 2, F.size(link)), "/")
+            return F.when(here, F.nullif(F.regexp_extract(value, f"({shape})", 1), F.lit("")))
+        steps = before if host else before[1:]
+        here = site == (host or before[0])
+        for k, step in enumerate(steps):
+            here = here & (F.size(link) > k + 2 if step == "*" else F.lower(F.get(link, F.lit(k + 1))) == step)
+        rest = F.array_join(F.slice(link, len(steps) + 2, F.size(link)), "/")
+        return F.when(here, F.nullif(F.regexp_extract(rest, f"^({shape})", 1), F.lit("")))
+
+    return F.get(F.array_compact(F.transform(links, of)), F.lit(0))
 
 
 def external_ids(c: Column) -> dict[str, Column]:
     """The identifiers that links in a text hold. Names from paths are decoded; one that can't be stays as it is."""
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(_LINK), F.lit(1))
+    links = F.transform(found, lambda x: F.split(F.regexp_replace(x, "^[A-Za-z]+://", ""), "/"))
     out = {}
-    for name, patterns in EXTERNAL_IDS.items():
-        found = F.coalesce(*[F.nullif(F.regexp_extract(c, p, 1), F.lit("")) for p in reversed(patterns)])
+    for name, places in PERSON_LINKS.items():
+        one = F.coalesce(*[_place(links, *p) for p in reversed(places)])
         if name in ("ballotpedia", "wikipedia"):
-            found = F.coalesce(F.try_url_decode(F.replace(found, F.lit("+"), F.lit("%2B"))), found)
-        out[name] = found.alias(name)
+            one = F.coalesce(F.try_url_decode(F.replace(one, F.lit("+"), F.lit("%2B"))), one)
+        out[name] = one.alias(name)
+    lines = F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: F.rtrim(x))
+    handles = F.filter(lines, lambda x: F.startswith(F.ltrim(x), F.lit("twitter:")) & ~F.startswith(x, F.lit("t")))
+    handle = F.split(F.trim(F.split_part(F.get(handles, F.lit(0)), F.lit("twitter:"), F.lit(2))), r"\s")[0]
+    out["twitter"] = F.nullif(handle, F.lit("")).alias("twitter")
     return out
 
 
@@ -80,7 +103,18 @@ def version_kind(action: Column) -> Column:
 
 def version_code(url: Column) -> Column:
     """`ih` of a link to BILLS-118hr1ih.xml; empty where there is none."""
-    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?i)BILLS-\d+[a-z]+\d+([a-z]+)\.(?:htm|xml|pdf)$", 1))
+    name = F.lower(F.element_at(F.split(F.coalesce(url, F.lit("")), "/"), -1))
+    stem, kind = F.substring_index(name, ".", 1), F.substring_index(name, ".", -1)
+    parts = F.split(stem, "-")  # bills, then congress, type, number and code in one
+    code = F.regexp_replace(F.get(parts, F.lit(1)), r"^\d+[a-z]+\d+", "")
+    whole = (F.size(parts) == 2) & (parts[0] == "bills") & kind.isin("htm", "xml", "pdf") & code.rlike("^[a-z]+$") & ~code.eqNullSafe(F.get(parts, F.lit(1)))
+    return F.when(whole, code).otherwise("")
+
+
+def version_slot(url: Column, bill: Column) -> Column:
+    """The slot of a bill's version: the bill and its code, or the bill alone where the link has none."""
+    code = version_code(url)
+    return F.concat_ws(":", bill.cast("string"), F.nullif(code, F.lit("")))
 
 
 def authors(c: Column) -> Column:
@@ -108,7 +142,8 @@ def disallowed(rules: Column, path: Column) -> Column:
 
 
 def merged_answers(old: Column, new: Column) -> Column:
-    """Two maps of answers as one; new ones win."""
+    """Two maps of answers as one; new ones win. A null map is an empty one."""
+    old, new = (F.coalesce(m, F.create_map().cast("map<string,string>")) for m in (old, new))
     kept = F.map_filter(old, lambda k, v: ~F.coalesce(F.map_contains_key(new, k), F.lit(False)))
     return F.map_concat(kept, new)
 

@@ -1,8 +1,10 @@
-"""Markup and prose to plain text. Regular expression chains run in the JVM; what needs a stack is an Arrow UDF."""
+"""Markup and prose to plain text: one tokenising pass over tags, and columns for what needs no state."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,115 +16,134 @@ ENTITIES = {
     "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ndash": "–", "mdash": "—",
     "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "sect": "§", "para": "¶", "deg": "°",
 }
-#: Elements whose ends are line ends.
-HTML_BLOCKS = "p|div|tr|li|h[1-6]|section|article|blockquote"
-XML_BLOCKS = "section|subsection|paragraph|subparagraph|clause|text|header|enum|toc-entry|title|official-title"
+#: Elements that begin and end lines, and elements that aren't text.
+HTML_BLOCKS = ("p", "div", "tr", "li", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "blockquote")
+HTML_HIDDEN = ("script", "style", "head", "nav", "footer")
+XML_BLOCKS = ("section", "subsection", "paragraph", "subparagraph", "clause", "text", "header", "enum", "toc-entry", "title", "official-title")
+
+
+class Rules(NamedTuple):
+    """What tags give: at their beginning, at their end, and otherwise; elements that are hidden; marks around what is in an element."""
+
+    opens: dict[str, str]
+    closes: dict[str, str]
+    other: str
+    hidden: tuple[str, ...] = ()
+    marks: dict[str, tuple[str, str]] = {}
+
+
+HTML = Rules(
+    opens={"br": "\n", **dict.fromkeys(HTML_BLOCKS, "\n")},
+    closes={"td": "\t", "th": "\t", **dict.fromkeys(HTML_BLOCKS, "\n")},
+    other="",
+    hidden=HTML_HIDDEN,
+    marks={**dict.fromkeys(("s", "strike", "del"), ("[-", "-]")), **dict.fromkeys(("ins", "u"), ("{+", "+}"))},
+)
+XML = Rules(opens=dict.fromkeys(XML_BLOCKS, "\n"), closes=dict.fromkeys(XML_BLOCKS, "\n"), other=" ")
+
+#: A comment, an instruction, or a tag with its name.
+_TAG = re.compile(r"(?s)<!--.*?-->|<\?.*?\?>|<(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9-]*)[^>]*>|<[^>]+>")
+_ENTITY = re.compile(r"&(?:#(?P<number>[0-9]+)|#[xX](?P<hex>[0-9a-fA-F]+)|(?P<name>[A-Za-z]+));")
+
+
+def _without_tags(source: str, rules: Rules) -> str:
+    """The text of a document in one pass. Marks are put when their element ends, and only around text; an element that has no end marks nothing."""
+    out: list[str] = []
+    begun: list[tuple[str, int]] = []
+    at = 0
+    while tag := _TAG.search(source, at):
+        out.append(source[at : tag.start()])
+        at, name = tag.end(), (tag["name"] or "").lower()
+        if not name:
+            if not tag[0].startswith(("<!", "<?")):
+                out.append(rules.other)
+        elif name in rules.hidden and not tag["end"]:
+            end = re.compile(f"(?i)</{name}>").search(source, at)
+            at = end.end() if end else at
+        elif name in rules.marks:
+            if not tag["end"]:
+                begun.append((name, len(out)))
+            elif any(n == name for n, _ in begun):
+                while (was := begun.pop())[0] != name:
+                    pass
+                inner = "".join(out[was[1] :])
+                before, after = rules.marks[name]
+                out[was[1] :] = [before, inner, after] if inner.strip() else []
+        else:
+            out.append((rules.closes if tag["end"] else rules.opens).get(name, rules.other))
+    return "".join([*out, source[at:]])
+
+
+def _character(e: re.Match) -> str:
+    if e["name"]:
+        return ENTITIES.get(e["name"].lower(), e[0])
+    digits = (e["number"] or e["hex"]).lstrip("0")
+    code = int(digits, 10 if e["number"] else 16) if 0 < len(digits) < 9 else 0
+    return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else e[0]
+
+
+def _mapped(f: Callable[[str], str]) -> Callable[[Column | str], Column]:
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(f, na_action="ignore")
+
+    return run
+
+
+#: Numeric and named entities as their characters, each once: what a decoded character completes stays. Unknown names and impossible numbers stay.
+decode_entities = _mapped(lambda s: _ENTITY.sub(_character, s))
+#: HTML without tags: blocks as lines, cells as tabs, deletions as [-…-] and insertions as {+…+}.
+html_markup_out = _mapped(lambda s: _without_tags(s, HTML))
+_html_decoded = _mapped(lambda s: _ENTITY.sub(_character, _without_tags(s, HTML)))
+_xml_decoded = _mapped(lambda s: _ENTITY.sub(_character, _without_tags(s, XML)))
 
 
-def _chain(c: Column, steps: list[tuple[str, str]]) -> Column:
-    for pattern, put in steps:
-        c = F.regexp_replace(c, pattern, put)
-    return c
+def tidy(c: Column) -> Column:
+    """Line ends made one kind, lines without blanks at their ends and without wide gaps inside, one blank line at most between others; indentation stays."""
+    lines = F.split(F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), "\n")
+    bare = F.transform(lines, lambda x: F.regexp_replace(F.rtrim(x, F.lit(" \t")), r"(?<=\S)[ \t]{9,}", "  "))
+    return F.regexp_replace(F.array_join(bare, "\n"), r"\A\n+|(?<=\n\n)\n+|\s+\z", "")
 
 
-def tidy(c: Column) -> Column:
-    """Line ends made one kind, trailing and runaway padding out, no more than one blank line, indentation kept."""
-    return _chain(
-        c,
-        [
-            (r"\r\n?", "\n"),
-            (r"[ \t]+\n", "\n"),
-            (r"\n{3,}", "\n\n"),
-            (r"(?<=\S)[ \t]{9,}", "  "),
-            (r"^\n+", ""),
-            (r"\s+$", ""),
-        ],
-    )
+def html_to_text(c: Column) -> Column:
+    return tidy(_html_decoded(c))
 
 
-def decode_entities(c: Column | str) -> Column:
-    """Numeric and named entities as their characters; unknown ones and impossible numbers stay.
-
-    All that can give an ampersand comes last and at once, so nothing is decoded twice.
-    """
-
-    def put(acc: Column, e: Column) -> Column:
-        hexadecimal = F.lower(F.left(e, F.lit(1))) == "x"
-        code = F.when(hexadecimal, F.conv(F.substring(e, 2, 12), 16, 10)).otherwise(e).try_cast("bigint")
-        real = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF) & (code != ord("&"))
-        character = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return F.when(real, F.replace(acc, F.concat(F.lit("&#"), e, F.lit(";")), character)).otherwise(acc)
-
-    c = F.col(c) if isinstance(c, str) else c
-    numbers = F.array_distinct(F.regexp_extract_all(c, F.lit("&#([xX]?[0-9a-fA-F]+);"), F.lit(1)))
-    c = F.when(c.contains("&#"), F.aggregate(numbers, c, put)).otherwise(c)
-    for name, char in ENTITIES.items():
-        if name != "amp":
-            c = F.regexp_replace(c, f"(?i)&{name};", char)
-    return F.regexp_replace(c, "(?i)&(?:amp|#0*38|#x0*26);", "&")
-
-
-def html_markup_out(c: Column) -> Column:
-    """HTML without tags: blocks as lines, cells as tabs, deletions as [-…-] and insertions as {+…+}."""
-    return _chain(
-        c,
-        [
-            (r"(?s)<!--.*?-->", ""),
-            (r"(?is)<(script|style|head|nav|footer)\b[^>]*>.*?</\1>", ""),
-            (r"(?is)<(s|strike|del)\b[^>]*>\s*</\1\s*>", ""),
-            (r"(?is)<(s|strike|del)\b[^>]*>(.*?)</\1\s*>", "[-$2-]"),
-            (r"(?is)<(ins|u)\b[^>]*>\s*</\1\s*>", ""),
-            (r"(?is)<(ins|u)\b[^>]*>(.*?)</\1\s*>", "{+$2+}"),
-            (r"(?i)<br\s*/?>", "\n"),
-            (rf"(?i)</({HTML_BLOCKS})\s*>", "\n"),
-            (rf"(?i)<({HTML_BLOCKS})\b[^>]*>", "\n"),
-            (r"(?i)</t[dh]\s*>", "\t"),
-            (r"<[^>]+>", ""),
-        ],
-    )
+def xml_to_text(c: Column) -> Column:
+    return tidy(_xml_decoded(c))
 
 
-def html_to_text(c: Column) -> Column:
-    return tidy(decode_entities(html_markup_out(c)))
+#: Inline marks of Markdown, each with what stays of it; numbers in brackets are references and go.
+_INLINE = re.compile(r"\*\*(?P<strong>.+?)\*\*|\*(?P<soft>.+?)\*|`(?P<code>.+?)`|\[[\d.\s,;v-]+\]|\[(?P<label>[^\]]+)\]\([^)]+\)")
+_BULLET = re.compile(r"\s*(?:[-*+]|\d+\.)\s+")
+_RULE = re.compile(r"\s*(?:-{3,}|\*{3,})\s*")
 
 
-def xml_to_text(c: Column) -> Column:
-    stripped = _chain(
-        c,
-        [
-            (r"(?s)<!--.*?-->", ""),
-            (r"(?s)<\?.*?\?>", ""),
-            (r"(?is)<!DOCTYPE.*?>", ""),
-            (rf"(?i)</({XML_BLOCKS})\s*>", "\n"),
-            (rf"(?i)<({XML_BLOCKS})\b[^>]*>", "\n"),
-            (r"<[^>]+>", " "),
-        ],
-    )
-    return tidy(decode_entities(stripped))
-
-
-def plain_prose(c: Column) -> Column:
-    """Markdown without its marks."""
-    return F.regexp_replace(
-        _chain(
-            c,
-            [
-                (r"(?s)```.*?```", " "),
-                (r"(?m)^#{1,6}\s+.*$", ""),
-                (r"\*\*(.+?)\*\*", "$1"),
-                (r"\*(.+?)\*", "$1"),
-                (r"`(.+?)`", "$1"),
-                (r"(?m)^\s*[-*+]\s+", ""),
-                (r"(?m)^\s*\d+\.\s+", ""),
-                (r"(?m)^\s*(?:-{3,}|\*{3,})\s*$", ""),
-                (r"\[[\d.\s,;v-]+\]", ""),
-                (r"\[(.+?)\]\(.+?\)", "$1"),
-                (r"\n{2,}", "\n"),
-            ],
-        ),
-        r"^\s+|\s+$",
-        "",
-    )
+def _unmarked(line: str) -> str:
+    def inner(m: re.Match) -> str:
+        return next((_INLINE.sub(inner, g) for g in m.groups() if g), "")
+
+    return _INLINE.sub(inner, line)
+
+
+def _prose(markdown: str) -> str:
+    out, fenced = [], False
+    for line in markdown.split("\n"):
+        if line.lstrip().startswith("```"):
+            fenced = not fenced
+            continue
+        heading = line.lstrip("#")
+        if fenced or (0 < len(line) - len(heading) < 7 and heading[:1].isspace()) or _RULE.fullmatch(line):
+            continue
+        bullet = _BULLET.match(line)
+        line = _unmarked(line[bullet.end() :] if bullet else line)
+        if line.strip():
+            out.append(line)
+    return "\n".join(out).strip()
+
+
+#: Markdown without its marks: no headings, fenced code, rules or bullets; blank lines go.
+plain_prose = _mapped(_prose)
 
 
 SHELL = "enable javascript to run this app"
@@ -135,8 +156,8 @@ def is_shell(c: Column) -> Column:
 
 def journal_of(c: Column) -> Column:
     """The journal's name at the head of a reference; null if shorter than three characters."""
-    name = _chain(c, [(r"\s+\d+[\s,].*$", ""), (r"\s*\(.*$", "")])
-    name = F.regexp_replace(F.trim(name), "[.,;:]+$", "")
+    name = F.rtrim(F.split_part(F.split(c, r"\s+\d+[\s,]", 2)[0], F.lit("("), F.lit(1)))
+    name = F.rtrim(F.trim(name), F.lit(".,;:"))
     return F.when(F.length(name) >= 3, name)
 
 
@@ -178,7 +199,7 @@ def top_sections(bodies: pd.Series) -> pd.Series:
 
 
 def div_by_class(bodies: Column, name: str) -> Column:
-    """What is inside the first <div> that has the class, inner divs included; null without one, or where it has no end."""
+    """What is inside the first <div> that has the class, inner divs included; null without one. Without its end it goes to the end of the page."""
 
     @F.pandas_udf("string")
     def inside(texts: pd.Series) -> pd.Series:
@@ -194,7 +215,7 @@ def div_by_class(bodies: Column, name: str) -> Column:
                 depth += -1 if m[1] else 1
                 if depth == 0:
                     return body[start : m.start()]
-            return None
+            return body[start:] if start is not None else None
 
         return texts.map(one)
 

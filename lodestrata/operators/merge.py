@@ -28,18 +28,19 @@ def upsert_verdicts(base: DataFrame, delta: DataFrame, keys: list[str], hash_col
     """delta's rows with verdict inserted, updated or unchanged, by whether base has the key and the same hash."""
     old = base.select(*keys, F.col(hash_column).alias("__old"), F.lit(True).alias("__held"))
     verdict = F.when(F.col("__held").isNull(), "inserted").when(F.col(hash_column).eqNullSafe(F.col("__old")), "unchanged").otherwise("updated")
-    return delta.join(old, keys, "left").withColumn("verdict", verdict).drop("__old", "__held")
+    return once(delta, keys).join(old, keys, "left").withColumn("verdict", verdict).drop("__old", "__held")
 
 
 def upsert_coalesce(base: DataFrame, delta: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """delta's values where they are not null, base's otherwise, for all keys of either."""
-    new = delta.select(*keys, *[F.col(c).alias(f"__{c}") for c in columns])
+    new = once(delta.select(*keys, *columns), keys).withColumnsRenamed({c: f"__{c}" for c in columns})
     return base.join(new, keys, "full").select(*keys, *[F.coalesce(f"__{c}", c).alias(c) for c in columns])
 
 
 def upsert_monotone(base: DataFrame, delta: DataFrame, keys: list[str], stamp: str, columns: list[str]) -> DataFrame:
     """base's rows, taking delta's columns only where its stamp is not older; a null stamp is the oldest."""
-    new = delta.select(*keys, F.col(stamp).alias("__stamp"), F.lit(True).alias("__held"), *[F.col(c).alias(f"__{c}") for c in columns])
+    latest = once(delta, keys, F.coalesce(F.col(stamp).cast("string"), F.lit("")))
+    new = latest.select(*keys, F.col(stamp).alias("__stamp"), F.lit(True).alias("__held"), *[F.col(c).alias(f"__{c}") for c in columns])
     oldest = F.lit("")
     takes = F.col("__held").isNotNull() & (F.coalesce(F.col("__stamp").cast("string"), oldest) >= F.coalesce(F.col(stamp).cast("string"), oldest))
     return base.join(new, keys, "left").select(

@@ -164,8 +164,17 @@ def porter_step1(word: str) -> str:
     return word[:-1] + "i" if word.endswith("y") and "v" in _shape(word[:-1]) else word
 
 
+def stem(word: str) -> str:
+    """The first step, and the last one's final e: taxes, taxing and tax are one term."""
+    word = porter_step1(word)
+    shape = _shape(word[:-1])
+    short = shape.endswith("cvc") and word[-2] not in "wxy"
+    many = shape.count("vc")
+    return word[:-1] if word.endswith("e") and (many > 1 or (many == 1 and not short)) else word
+
+
 @F.pandas_udf(T.StringType())
 def stemmed(words: pd.Series) -> pd.Series:
     """English analyzer: Arrow batches, each distinct word once."""
-    known = {w: porter_step1(w) for w in words.dropna().unique()}
+    known = {w: stem(w) for w in words.dropna().unique()}
     return words.map(known)

@@ -1,159 +1,17 @@
-"""Functions on tables of cases, with the right answers spelt out, and merges on deltas with repeated and null keys."""
+"""Keyed merges, exports and small set operations over the given tables."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.functions import normalize, parse, text
-from lodestrata.operators import merge, search
+from lodestrata.functions import parse
+from lodestrata.operators import merge
 from lodestrata.plans.registry import Tables, query
 from lodestrata.sources import lake
 
-N = "\n"
-
-
-def _literal(s: str | None) -> str:
-    return "null::varchar" if s is None else "'" + s.replace("'", "''") + "'"
-
-
-def cases(name: str, rows: list[tuple[str | None, str | None]], answer: Callable[[Column], Column]) -> None:
-    """Registers a query of id and got: the answer to each given text."""
-
-    def run(t: Tables) -> DataFrame:
-        given = t.spark.createDataFrame([(i, g) for i, (g, _) in enumerate(rows)], "id int, given string")
-        return given.select("id", answer(F.col("given")).cast("string").alias("got"))
-
-    run.__name__ = name
-    query("select * from (values " + ", ".join(f"({i}, {_literal(want)})" for i, (_, want) in enumerate(rows)) + ") v(id, got)")(run)
-
-
-cases(
-    "entity_cases",
-    [
-        ("a &amp; b &lt;c&gt; &quot;d&quot;", "a & b <c> \"d\""),
-        ("it&#8217;s &#x41;&#X42; &#128512;", "it\u2019s AB \U0001f600"),
-        ("&amp;#8217; &#38;lt; &amp;amp; &#x26;amp;", "&#8217; &lt; &amp; &amp;"),
-        ("&#0; &#55296; &#1114112; &unknown; &#xZZ;", "&#0; &#55296; &#1114112; &unknown; &#xZZ;"),
-        ("&NBSP;&Sect;12 &mdash; &#x2014;", " \u00a712 \u2014 \u2014"),
-        ("", ""),
-        (None, None),
-    ],
-    text.decode_entities,
-)
-cases(
-    "html_text_cases",
-    [
-        ("<p>One&#160;two</p><p>Three</p>", "One\u00a0two" + N + N + "Three"),
-        ("a<br>b<br/>c", "a" + N + "b" + N + "c"),
-        ("<p>keep <del>old</del><ins>new &#8212; text</ins></p>", "keep [-old-]{+new \u2014 text+}"),
-        ("<script>var x = '<p>';</script>left", "left"),
-        ("<table><tr><td>1</td><td>2</td></tr></table>", "1" + "\t" + "2"),
-        ("<!-- <p>no</p> -->yes", "yes"),
-        (None, None),
-    ],
-    text.html_to_text,
-)
-cases(
-    "xml_text_cases",
-    [
-        ("<?xml version='1.0'?><bill><header>Sec. 1</header><text>A &amp; B &#167; 2</text></bill>", "Sec. 1" + N + N + "A & B \u00a7 2"),
-        ("<!DOCTYPE bill><a><b>x</b><c>y</c></a>", "  x  y"),
-        ("<text>one</text><!-- two --><text>three</text>", "one" + N + N + "three"),
-        (None, None),
-    ],
-    text.xml_to_text,
-)
-cases(
-    "accent_cases",
-    [
-        ("Å\u0159\u012bs\u0101 \u0150si \u0160t\u011bp\u00e1n", "arisa osi stepan"),
-        ("e\u0301te\u0301 NOËL", "ete noel"),
-        ("stra\u00dfe \u00f8re", "stra\u00dfe \u00f8re"),
-        ("\u039a\u03ac\u03c4\u03c9", "\u03ba\u03b1\u03c4\u03c9"),
-        (None, ""),
-    ],
-    normalize.strip_accents,
-)
-for _id, _rows in {
-    "ballotpedia": [("see https://ballotpedia.org/Ann_O%27Hara now", "Ann_O'Hara"), ("ballotpedia.org/A%ZZ", "A%ZZ"), ("ballotpedia.org/A+B", "A+B"), ("none", None)],
-    "votesmart": [("votesmart.org/candidate/biography/12/x", "12"), ("https://justfacts.votesmart.org/candidate/evaluations/345/y", "345"), ("votesmart.org/candidate/77", "77"), (None, None)],
-    "bioguide": [("bioguide.congress.gov/search/bio/A000123", "A000123"), ("images/congress/450x550/B000456.jpg", "B000456"), ("bioguide a000123", None)],
-    "twitter": [("id:" + N + "  twitter: Someone" + N, "Someone"), ("twitter: x", None)],
-    "wikipedia": [("https://en.wikipedia.org/wiki/Jos%C3%A9_B", "Jos\u00e9_B"), ("de.wikipedia.org/wiki/X", None)],
-}.items():
-    cases(f"{_id}_cases", _rows, lambda c, _id=_id: parse.external_ids(c)[_id])
-cases(
-    "mention_cases",
-    [
-        ("H.R. 12 and H R 13, HR14", "HB12,HB13,HB14"),
-        ("H.J.Res. 7; S.J. Res. 8; H. Con. Res. 9; S.Con.Res.10", "HJR7,SJR8,HCR9,SCR10"),
-        ("S. 5 but not US 5 nor S 6", "SB5"),
-        ("H.Res. 1, S. Res. 2, H.Res. 1 again", "HR1,SR2"),
-        ("nothing", ""),
-        (None, None),
-    ],
-    lambda c: F.array_join(parse.bill_mentions(c), ","),
-)
-cases(
-    "version_kind_cases",
-    [("Introduced 1/2", "Introduced"), ("AMENDED IN SENATE", "Amended"), ("enrolled", "Enrolled"), ("Chaptered by Secretary", "Chaptered"), ("Vetoed", "Vetoed"), (None, None)],
-    parse.version_kind,
-)
-cases(
-    "version_code_cases",
-    [("https://x.gov/BILLS-118hr1ih.xml", "ih"), ("BILLS-117sjres22ENR.pdf", "enr"), ("BILLS-118hr1.xml", ""), ("y.htm", ""), (None, "")],
-    parse.version_code,
-)
-cases("author_cases", [("Doe, J.; Roe, R. ;; Poe, E.", "Doe, J.|Roe, R.|Poe, E."), (" ; ", ""), (None, "")], lambda c: F.array_join(parse.authors(c), "|"))
-#: Symbols of the first elements, by proton number.
-SYMBOLS = "n H He Li Be B C N O F Ne".split()
-
-
-def _nuclide(c: Column) -> Column:
-    found = parse.nuclide(c, F.array(*map(F.lit, SYMBOLS)))
-    return F.when(found.isNotNull(), F.concat_ws("/", *[found[f].cast("string") for f in ("z", "n", "a", "symbol")]))
-
-
-cases(
-    "nuclide_cases",
-    [("14C", "6/8/14/C"), ("4HE", "2/2/4/He"), ("1n", None), ("3Xx", None), ("C14", None), ("1234H", None), (None, None)],
-    _nuclide,
-)
-cases("chamber_name_cases", [("s", "Senate"), ("Assembly", "Assembly"), ("H", "House"), ("L", "Legislature"), ("c", "Council"), ("x", "X"), ("", None), (None, None)], normalize.chamber_name)
-cases("lower_house_cases", [("NY", "Assembly"), ("NE", "Legislature"), ("DC", "Council"), ("US", "House"), ("TX", "House"), (None, "House")], normalize.lower_house)
-cases(
-    "robots_cases",
-    [("/private/x", "true"), ("/public", "false"), ("/a/b.pdf", "true"), ("/a/b.html", "false"), ("/search?q=1", "true"), ("/tmp", "true")],
-    lambda c: parse.disallowed(F.array(*map(F.lit, ["/private", "/a/*.pdf$", "/search*", "/t*"])), c),
-)
-cases("shell_cases", [("You need to enable JavaScript to run this app.", "true"), ("You need to enable JavaScript to run this app." + "x" * 400, "false"), ("A bill", "false"), ("", "false")], text.is_shell)
-
-cases(
-    "stem_cases",
-    [
-        ("caresses", "caress"), ("ponies", "poni"), ("caress", "caress"), ("cats", "cat"), ("feed", "feed"), ("agreed", "agree"), ("plastered", "plaster"), ("bled", "bled"),
-        ("motoring", "motor"), ("sing", "sing"), ("conflated", "conflate"), ("troubled", "trouble"), ("sized", "size"), ("hopping", "hop"), ("falling", "fall"), ("hissing", "hiss"),
-        ("fizzed", "fizz"), ("failing", "fail"), ("filing", "file"), ("happy", "happi"), ("sky", "sky"), ("", ""), (None, None),
-    ],
-    search.stemmed,
-)
-
-cases(
-    "div_cases",
-    [
-        ('<div class="a"><div class="body x">one<div>two</div>three</div>four</div>', "one<div>two</div>three"),
-        ("<DIV id=1 CLASS='body'></DIV>", ""),
-        ('<div class="nobody">a</div>', None),
-        ('<div class="body">open', None),
-        (None, None),
-    ],
-    lambda c: text.div_by_class(c, "body"),
-)
-
 
 @query("select doc_id, lang as best from documents")
 def backfill_null(t: Tables) -> DataFrame:

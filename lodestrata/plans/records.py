@@ -172,13 +172,6 @@ def external_ids(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", ids["ballotpedia"], ids["votesmart"], ids["opensecrets"])
 
 
-@query("select c_custkey, 'skip' as income, c_name as name, 'intro' as done from customer")
-def parse_kv_blocks(t: Tables) -> DataFrame:
-    block = F.concat(F.lit("Thanks.\n```answers\nname: x\nincome: skip\n#done intro\n```\nMore\n```answers\nname: "), F.col("c_name"), F.lit("\n```"))
-    fields = parse.answer_fields(block)
-    return t.customer.select("c_custkey", fields["income"].alias("income"), fields["name"].alias("name"), F.array_join(parse.answers_done(block), ",").alias("done"))
-
-
 @query("""
     select page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script>', '', 'g'), '(?is)<style\\b[^>]*>.*?</style>', '', 'g'), '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')) <> '' as has_text,
            regexp_extract(html, '(?is)<title>(.*?)</title>', 1) as title from pages
@@ -188,70 +181,6 @@ def page_metadata(t: Tables) -> DataFrame:
     return t.pages.select("page_id", (body != "").alias("has_text"), F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1).alias("title"))
 
 
-def _html_oracle() -> str:
-    """The same chain of replacements, spelt for the other engine: no back reference inside a pattern, no lookbehind."""
-    c = "html"
-    steps = [(r"(?s)<!--.*?-->", "")]
-    steps += [(rf"(?is)<{e}\b[^>]*>.*?</{e}>", "") for e in ("script", "style", "head", "nav", "footer")]
-    steps += [(rf"(?is)<{e}\b[^>]*>\s*</{e}\s*>", "") for e in ("s", "strike", "del")]
-    steps += [(rf"(?is)<{e}\b[^>]*>(.*?)</{e}\s*>", r"[-\1-]") for e in ("s", "strike", "del")]
-    steps += [(rf"(?is)<{e}\b[^>]*>\s*</{e}\s*>", "") for e in ("ins", "u")]
-    steps += [(rf"(?is)<{e}\b[^>]*>(.*?)</{e}\s*>", r"{+\1+}") for e in ("ins", "u")]
-    steps += [(r"(?i)<br\s*/?>", "\n"), (rf"(?i)</({text.HTML_BLOCKS})\s*>", "\n"), (rf"(?i)<({text.HTML_BLOCKS})\b[^>]*>", "\n"), (r"(?i)</t[dh]\s*>", "\t"), (r"<[^>]+>", "")]
-    named = [(f"(?i)&{n};", v) for n, v in text.ENTITIES.items() if n != "amp"] + [("(?i)&(?:amp|#0*38|#x0*26);", "&")]
-    tidied = [(r"\r\n?", "\n"), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"), (r"(\S)[ \t]{9,}", r"\1  "), (r"^\n+", ""), (r"\s+$", "")]
-
-    def chain(c: str, steps: list[tuple[str, str]]) -> str:
-        for pattern, put in steps:
-            c = f"regexp_replace({c}, '{pattern}', '{put.replace(chr(39), chr(39) * 2)}', 'g')"
-        return c
-
-    code = "case when e[3] in ('x', 'X') then ('0x' || e[4:-2])::bigint else try_cast(e[3:-2] as bigint) end"
-    put = f"case when ({code}) between 1 and 1114111 and ({code}) not between 55296 and 57343 and ({code}) <> 38 then replace(acc, e, chr(({code})::int)) else acc end"
-    return f"""with bare as (select page_id, {chain(c, steps)} as c from pages),
-        numbered as (select page_id, list_reduce(list_prepend(c, list_distinct(regexp_extract_all(c, '&#[xX]?[0-9a-fA-F]+;'))), lambda acc, e: {put}) as c from bare)
-        select page_id, md5({chain(chain("c", named), tidied)}) as prose from numbered"""
-
-
-@query(_html_oracle())
-def html_to_text(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.md5(text.html_to_text(F.col("html"))).alias("prose"))
-
-
-@query("select o_orderkey, 'Bill ' || o_orderkey || ' A & B' as body from orders")
-def xml_to_text(t: Tables) -> DataFrame:
-    xml = F.concat(F.lit("<?xml version='1.0'?><bill><header>Bill "), F.col("o_orderkey").cast("string"), F.lit("</header><!-- x --><text>A &amp; B</text></bill>"))
-    return t.orders.select("o_orderkey", F.trim(F.regexp_replace(text.xml_to_text(xml), r"\s+", " ")).alias("body"))
-
-
-@query("select o_orderkey, '  ' || o_orderkey || chr(10) || chr(10) || 'b  c' as tidy from orders")
-def tidy_text(t: Tables) -> DataFrame:
-    raw = F.concat(F.lit("\n\n  "), F.col("o_orderkey").cast("string"), F.lit(" \t\r\n\n\n\nb          c  \n "))
-    return t.orders.select("o_orderkey", text.tidy(raw).alias("tidy"))
-
-
-@query("select c_custkey, c_name || ' is bold and code' || chr(10) || 'item' as prose from customer")
-def plain_prose(t: Tables) -> DataFrame:
-    md = F.concat(F.lit("# Head\n"), F.col("c_name"), F.lit(" is **bold** and `code`[1]\n\n- item"))
-    return t.customer.select("c_custkey", text.plain_prose(md).alias("prose"))
-
-
-@query("select c_custkey, 'Intro ' || c_custkey as first_title, 2 as n_sections from customer")
-def jats_sections(t: Tables) -> DataFrame:
-    body = F.concat(F.lit("<body><sec><title>Intro "), F.col("c_custkey").cast("string"), F.lit("</title><sec><title>Inner</title></sec></sec><sec id='2'><title>Results</title></sec></body>"))
-    parts = t.customer.select("c_custkey", text.top_sections(body).alias("s"))
-    return parts.select("c_custkey", F.col("s")[0]["title"].alias("first_title"), F.size("s").alias("n_sections"))
-
-
-@query("select event_type, case event_type when 'view' then 'html' when 'click' then 'json' when 'error' then 'pdf' when 'purchase' then 'csv' else 'xml' end as format, count(*) as n from events group by 1, 2")
-def sniff_format(t: Tables) -> DataFrame:
-    e = F.col("event_type")
-    head = (
-        F.when(e == "view", "<!DOCTYPE html><html>").when(e == "click", ' {"a": 1}').when(e == "error", "%PDF-1.7").when(e == "purchase", "a,b,c\n1,2,3").otherwise("<?xml?><a/>")
-    )
-    return t.events.select(e, text.format_of(head).alias("format")).groupBy("event_type", "format").agg(F.count("*").alias("n"))
-
-
 @query("select o_orderpriority || ' Rev. C' as journal, count(*) as n from orders group by 1")
 def journal_counts(t: Tables) -> DataFrame:
     reference = F.concat(F.col("o_orderpriority"), F.lit(" Rev. C 100, 064319 (2019)"))
@@ -280,20 +209,6 @@ def coerce_types(t: Tables) -> DataFrame:
     return t.events.select("event_id", lake.coerced(k, "int4").alias("k"), F.round(lake.coerced(v, "numeric"), 2).alias("v"), lake.coerced(flag, "bool").alias("flag"))
 
 
-@query("select c_custkey, c_name as name, c_acctbal > 0 as positive from customer")
-def csv_parse(t: Tables) -> DataFrame:
-    line = F.concat(F.lit('"'), F.col("c_name"), F.lit('",'), (F.col("c_acctbal") > 0).cast("string"))
-    row = F.from_csv(line, "name string, positive boolean", {"quote": '"', "escape": '"'})
-    return t.customer.select("c_custkey", row.alias("r")).select("c_custkey", "r.name", "r.positive")
-
-
-@query("select c_custkey, c_name as name, round(c_acctbal, 2) as balance, null::int as district from customer")
-def fec_typed_load(t: Tables) -> DataFrame:
-    line = F.concat_ws("|", F.col("c_custkey").cast("string"), "c_name", F.round("c_acctbal", 2).cast("string"), F.lit(""))
-    row = F.from_csv(line, "c_custkey bigint, name string, balance double, district int", {"sep": "|"})
-    return t.customer.select(row.alias("r")).select("r.*")
-
-
 @query("""
     select c.conv_id, c.turn, c.role, row_number() over (partition by conv_id order by turn) - 1 as position from conversations c
 """)

@@ -55,10 +55,10 @@ def version(spark: SparkSession, path: str) -> str:
     return f"{held.n}-{held.stamp & (2**64 - 1):016x}"
 
 
-def written_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+def written_or_none(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
     """The table at path, or None where nothing whole has been written."""
     try:
-        return spark.read.parquet(path)
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
