@@ -37,7 +37,7 @@ LEAST_DOCS, TOP = 3, 200
 #: Groups and terms of a block, about.
 GROUP_BLOCK, TERM_BLOCK = 32, 4_096
 #: Bytes of text that a task works on at once.
-TEXT_BYTES = 4_000_000
+TEXT_BYTES = 8_000_000
 
 #: Bytes of UTF-8 as parts of terms: A-Z lower-cased, other ASCII but letters is space between terms, the rest stays.
 _BYTES = np.arange(256, dtype=np.uint8)
@@ -70,23 +70,22 @@ def term_counts(docs: DataFrame) -> DataFrame:
                 keys = groups.group_by(["lang", "source"], use_threads=False).aggregate([])
                 lookup = {(r["lang"], r["source"]): i for i, r in enumerate(keys.to_pylist())}
                 group = np.array([lookup[r["lang"], r["source"]] for r in groups.to_pylist()], np.int64)
-                tables, in_doc = [], []
+                held: list[pa.Array] = []
                 for texts in spans:
                     words, codes, owner = terms_of(texts)
                     size = max(1, len(words))
-                    cell, n = np.unique(group[owner] * size + codes, return_counts=True)
-                    tables.append((words, cell // size, cell % size, n))
-                    pair = np.unique(owner * size + codes)
-                    in_doc.append((words, pair // size, pair % size))
-                if len(spans) > 1:  # one text: a term of several spans is in one document
-                    held = pa.concat_arrays([w.take(pa.array(c)) for w, _, c in in_doc]).unique()
-                    in_doc = [(held, np.zeros(len(held), np.int64), np.arange(len(held)))]
-                for words, g, c, n in tables:
-                    yield _counted(keys, words, g, c, n, np.zeros(len(n), np.int64))
-                for words, d, c in in_doc:
-                    size = max(1, len(words))
-                    cell, n = np.unique(group[d] * size + c, return_counts=True)
-                    yield _counted(keys, words, cell // size, cell % size, np.zeros(len(n), np.int64), n)
+                    in_doc, often = np.unique(owner * size + codes, return_counts=True)
+                    who, code = np.divmod(in_doc, size)
+                    cell, inverse = np.unique(group[who] * size + code, return_inverse=True)
+                    n = np.bincount(inverse, weights=often, minlength=len(cell)).astype(np.int64)
+                    docs = np.bincount(inverse, minlength=len(cell)).astype(np.int64)
+                    yield _counted(keys, words, *np.divmod(cell, size), n, docs if len(spans) == 1 else docs * 0)
+                    if len(spans) > 1:
+                        held.append(words.take(pa.array(np.unique(code))))
+                if held:  # a long text: a term of several spans is in one document
+                    own = pa.concat_arrays(held).unique()
+                    one = np.ones(len(own), np.int64)
+                    yield _counted(keys, own, one * group[0], np.arange(len(own)), one * 0, one)
 
     schema = "lang string, source string, term string, n long, docs long"
     return docs.mapInArrow(count, schema).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
