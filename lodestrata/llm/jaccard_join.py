@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lodestrata.llm.common import materialize, small_side
-from lodestrata.llm.near_dedup import BLOCK, _digest, _unfinished, across, components, mixed, shingle_sets
+from lodestrata.llm.near_dedup import BLOCK, REMEMBERED, _digest, _unfinished, across, components, mixed, set_rows, shingle_sets
 from lodestrata.llm.packing import slices
 
 WORDS, PERCENT = 5, 80
@@ -45,8 +45,6 @@ BUCKETS, CHUNK = 1 << 20, 1 << 16
 ADDED = 64
 #: Shingles that the sets of a task's group have, about.
 GROUP_SHINGLES = 1_000_000
-#: Digests that a task remembers, so that copies of a text send their shingles once.
-REMEMBERED = 200_000
 #: Groups choose their pivots by so many orders of all classes, so those that share most members share pivots too.
 PIVOT_ORDERS = 4
 
@@ -202,30 +200,6 @@ def ranked(sets: list[np.ndarray], table: np.ndarray | None) -> tuple[list[np.nd
     return [np.sort(x) for x in np.split(place, at)], len(known)
 
 
-def set_rows(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n_wanted: int, width: int) -> DataFrame:
-    """class_no and the shingle hashes of the wanted classes (class_no; written), read from the texts; a row that is repeated may come more than once."""
-    reps = classes.join(wanted, "class_no", "left_semi")
-    ids = reps.select("min_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(small_side(ids, n_wanted), F.col("doc_id").eqNullSafe(F.col("min_id")), "left_semi")
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
-        for batch in batches:
-            for part in slices(batch):
-                rows = []
-                for h in shingle_sets(part.column("text"), width):
-                    digest = _digest(h) if len(h) else None
-                    if digest and digest not in seen:
-                        rows.append((*digest, h.view(np.int64)))
-                        if len(seen) < REMEMBERED:
-                            seen.add(digest)
-                hi, lo, sets = zip(*rows, strict=True) if rows else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["hi", "lo", "hashes"])
-
-    found = texts.select("text").mapInArrow(hashed, "hi long, lo long, hashes array<long>")
-    return found.join(small_side(reps.select("hi", "lo", "class_no"), n_wanted), ["hi", "lo"]).select("class_no", "hashes")
-
-
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int, table: np.ndarray) -> DataFrame:
     """Those of the pairs (a, b; written, distinct) whose full sets reach the threshold. A group of tries, each of the candidates b of one a, is a task's work."""
     sized = pairs.join(classes.select(F.col("class_no").alias("b"), "n"), "b")
@@ -310,8 +284,8 @@ def join(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, block: int
     apart = materialize(apart, "join-apart")
     if not apart.isEmpty():
         wanted = materialize(apart.select("class_no").distinct(), "join-wanted")
-        held = set_rows(docs, classes, wanted, wanted.count(), width)
-        left = across(apart, held, percent, block).join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
+        maps = set_rows(docs, classes, wanted, wanted.count(), width, maps=True)
+        left = across(apart, maps, percent, block).join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
         more = verified(docs, classes, materialize(left, "join-third"), width, percent, table)
         if not more.isEmpty():
             roots = components(links.unionByName(more))

@@ -50,6 +50,8 @@ SIGNED_AT_ONCE = 64
 WORDS, PERCENT = 5, 80
 #: Classes of a block: groups that are compared as a whole are cut into these.
 BLOCK = 128
+#: Digests that a task remembers, so that copies of a text send their shingles once.
+REMEMBERED = 200_000
 #: Groups choose their pivots by so many orders of all classes, so those that share most members share pivots too.
 PIVOT_ORDERS = 4
 
@@ -269,10 +271,35 @@ def _folded(maps: np.ndarray, size: int) -> np.ndarray:
     return maps
 
 
-def across(apart: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+def set_rows(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n_wanted: int, width: int, maps: bool = False) -> DataFrame:
+    """class_no and the shingle hashes (or the bitmap) of the wanted classes (class_no; written), read from the texts; a row that is repeated may come more than once."""
+    name, kind, arrow = ("map", "binary", pa.binary()) if maps else ("hashes", "array<long>", pa.list_(pa.int64()))
+    reps = classes.join(wanted, "class_no", "left_semi")
+    ids = reps.select("min_id").distinct()
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(small_side(ids, n_wanted), F.col("doc_id").eqNullSafe(F.col("min_id")), "left_semi")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            for part in slices(batch):
+                rows = []
+                for h in shingle_sets(part.column("text"), width):
+                    digest = _digest(h) if len(h) else None
+                    if digest and digest not in seen:
+                        rows.append((*digest, bitmap(h) if maps else h.view(np.int64)))
+                        if len(seen) < REMEMBERED:
+                            seen.add(digest)
+                hi, lo, sets = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sets, arrow)], ["hi", "lo", name])
+
+    found = texts.select("text").mapInArrow(hashed, f"hi long, lo long, {name} {kind}")
+    return found.join(small_side(reps.select("hi", "lo", "class_no"), n_wanted), ["hi", "lo"]).select("class_no", name)
+
+
+def across(apart: DataFrame, maps: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b) of classes of different roots that share a key and may reach the threshold, each once; no pair that reaches it is missing.
 
-    apart: key, class_no, root, n and i (the key's place in the class's order of shingles, from 0). sets: class_no, hashes.
+    apart: key, class_no, root, n and i (the key's place in the class's order of shingles, from 0). maps: class_no, map.
     Groups are cut into blocks, the largest component's apart from the others', and two blocks make a cell, a task's work.
     """
     shares = apart.groupBy("key", "root").agg(F.count("*").alias("held"))
@@ -287,14 +314,6 @@ def across(apart: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK)
     dealt = placed.select("key", "class_no", "root", F.col("n").cast("long").alias("n"), F.col("i").cast("long").alias("i"), "own", F.explode(against).alias("with"))
     cells = dealt.select("key", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), "own", "class_no", "root", "n", "i")
 
-    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = batch.column("hashes")
-            maps = [bitmap(np.asarray(hashes[k].values)) for k in range(len(batch))]
-            yield pa.RecordBatch.from_arrays([batch.column("class_no"), pa.array(maps, pa.binary())], ["class_no", "map"])
-
-    maps = materialize(sets.select("class_no", "hashes").mapInArrow(mapped, "class_no long, map binary"), "near-maps")
-
     def compare(cell: pa.Table) -> pa.Table:
         own, low, high = (cell.column(c).to_numpy() for c in ("own", "low", "high"))
         number, root, n, i = (cell.column(c).to_numpy() for c in ("class_no", "root", "n", "i"))
@@ -318,7 +337,7 @@ def across(apart: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK)
                 out_b.extend(number[first[near]].tolist())
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    return cells.join(maps, "class_no").groupBy("key", "low", "high").applyInArrow(compare, "a long, b long").distinct()
+    return cells.join(materialize(maps, "near-maps"), "class_no").groupBy("key", "low", "high").applyInArrow(compare, "a long, b long").distinct()
 
 
 def _by_rarity(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -398,7 +417,9 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     apart = materialize(_unfinished(members, roots).select("class_no", "root").distinct(), "near-apart")
     if not apart.isEmpty():
         sets = materialize(_sets(docs, classes, apart.select("class_no"), width), "near-sets")
-        met = across(_by_rarity(apart, sets, percent), sets, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        wanted = materialize(apart.select("class_no").distinct(), "near-wanted")
+        maps = set_rows(docs, classes, wanted, wanted.count(), width, maps=True)
+        met = across(_by_rarity(apart, sets, percent), maps, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         left = promising(met.join(first, ["a", "b"], "left_anti"))
         more = _verified(docs, classes, left, width, percent)
         if not more.isEmpty():

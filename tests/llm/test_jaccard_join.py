@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from lodestrata.llm import jaccard_join as J
+from lodestrata.llm import near_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -91,7 +92,7 @@ def test_cells_find_every_link_between_roots(spark):
             sets.append(np.unique(mine))
     reach = [J.reach(len(s), 80) for s in sets]
     apart = [(int(t), k, k, len(s), i) for k, s in enumerate(sets) for i, t in enumerate(s[: reach[k]].view(np.int64))]
-    held = spark.createDataFrame([(k, [int(x) for x in s.view(np.int64)]) for k, s in enumerate(sets)], "class_no long, hashes array<long>")
+    held = spark.createDataFrame([(k, near_dedup.bitmap(s)) for k, s in enumerate(sets)], "class_no long, map binary")
     frame = spark.createDataFrame(apart, "key long, class_no long, root long, n long, i long")
     got = {(min(r), max(r)) for r in J.across(frame, held, 80, block=3).collect()}
     want = {(x, y) for y in range(len(sets)) for x in range(y) if 100 * len(np.intersect1d(sets[x], sets[y])) >= 80 * len(np.union1d(sets[x], sets[y]))}
