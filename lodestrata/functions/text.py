@@ -30,6 +30,7 @@ class Rules(NamedTuple):
     other: str
     hidden: tuple[str, ...] = ()
     marks: dict[str, tuple[str, str]] = {}
+    lines: str = ""  # elements whose names begin so begin and end lines
 
 
 HTML = Rules(
@@ -39,10 +40,14 @@ HTML = Rules(
     hidden=HTML_HIDDEN,
     marks={**dict.fromkeys(("s", "strike", "del"), ("[-", "-]")), **dict.fromkeys(("ins", "u"), ("{+", "+}"))},
 )
+#: What of a state's bill documents is a record and no text.
+CAML_HIDDEN = ("caml:id", "caml:versionnum", "caml:history", "caml:legislativeinfo", "caml:authors", "caml:measureindicators", "caml:digestkey")
+_CAML_BLOCKS = dict.fromkeys(("p", "div", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "table", "blockquote"), "\n")
+CAML = Rules(opens={"br": "\n", **_CAML_BLOCKS}, closes=_CAML_BLOCKS, other=" ", hidden=CAML_HIDDEN, lines="caml:")
 XML = Rules(opens=dict.fromkeys(XML_BLOCKS, "\n"), closes=dict.fromkeys(XML_BLOCKS, "\n"), other=" ")
 
 #: A comment, an instruction, or a tag with its name.
-_TAG = re.compile(r"(?s)<!--.*?-->|<\?.*?\?>|<(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9-]*)[^>]*>|<[^>]+>")
+_TAG = re.compile(r"(?s)<!--.*?-->|<\?.*?\?>|<(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*)[^>]*>|<[^>]+>")
 _ENTITY = re.compile(r"&(?:#(?P<number>[0-9]+)|#[xX](?P<hex>[0-9a-fA-F]+)|(?P<name>[A-Za-z]+));")
 
 
@@ -69,6 +74,8 @@ def _without_tags(source: str, rules: Rules) -> str:
                 inner = "".join(out[was[1] :])
                 before, after = rules.marks[name]
                 out[was[1] :] = [before, inner, after] if inner.strip() else []
+        elif rules.lines and name.startswith(rules.lines):
+            out.append("\n")
         else:
             out.append((rules.closes if tag["end"] else rules.opens).get(name, rules.other))
     return "".join([*out, source[at:]])
@@ -98,6 +105,44 @@ _html_decoded = _mapped(lambda s: _ENTITY.sub(_character, _without_tags(s, HTML)
 _xml_decoded = _mapped(lambda s: _ENTITY.sub(_character, _without_tags(s, XML)))
 
 
+_caml_decoded = _mapped(lambda s: _ENTITY.sub(_character, _without_tags(s, CAML)))
+
+
+def caml_to_text(c: Column) -> Column:
+    """A state's bill as text: its records go, its elements are lines."""
+    return tidy(_caml_decoded(c))
+
+
+_HEADED = re.compile(r"(?is)<(?:h(?P<level>[1-6])|p)\b[^>]*>(?P<inner>.*?)(?=</?(?:h[1-6]|p)\b|\Z)")
+
+
+def sections_about(c: Column, wanted: str, stop: str) -> Column:
+    """The paragraphs of a page below headings that match `wanted`, with those headings and all below them, until a heading matches `stop` or one of their own level doesn't match.
+
+    A stack of heading levels is folded over the page: what is below a kept heading is kept. An unclosed heading or paragraph ends where the next begins. Null where nothing is.
+    """
+    keep, leave = re.compile(wanted, re.I), re.compile(stop, re.I)
+
+    def kept(page: str) -> str | None:
+        stack: list[tuple[int, bool]] = []
+        out: list[str] = []
+        for m in _HEADED.finditer(page):
+            said = " ".join(_ENTITY.sub(_character, _without_tags(m["inner"], HTML)).split())
+            if not said:
+                continue
+            if m["level"]:
+                level = int(m["level"])
+                while stack and stack[-1][0] >= level:
+                    stack.pop()
+                inside = bool(stack) and stack[-1][1]
+                stack.append((level, not leave.search(said) and (inside or bool(keep.search(said)))))
+            if stack and stack[-1][1]:
+                out.append(said + ":" if m["level"] else said)
+        return "\n".join(out) or None
+
+    return _mapped(kept)(c)
+
+
 def tidy(c: Column) -> Column:
     """Line ends made one kind, lines without blanks at their ends and without wide gaps inside, one blank line at most between others; indentation stays."""
     lines = F.split(F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), "\n")

@@ -209,15 +209,6 @@ def coerce_types(t: Tables) -> DataFrame:
     return t.events.select("event_id", lake.coerced(k, "int4").alias("k"), F.round(lake.coerced(v, "numeric"), 2).alias("v"), lake.coerced(flag, "bool").alias("flag"))
 
 
-@query("""
-    select c.conv_id, c.turn, c.role, row_number() over (partition by conv_id order by turn) - 1 as position from conversations c
-""")
-def json_shred(t: Tables) -> DataFrame:
-    document = t.conversations.groupBy("conv_id").agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("turns"))).alias("payload"))
-    turns = F.from_json("payload", "turns array<struct<turn: bigint, role: string>>")["turns"]
-    return document.select("conv_id", F.posexplode_outer(turns).alias("position", "x")).select("conv_id", "x.turn", "x.role", F.col("position").cast("long").alias("position"))
-
-
 # ---- merges and change capture -----------------------------------------------------------------------------
 
 _DELTA = "select o_orderkey + case when o_orderkey % 8 = 0 then 10000000 else 0 end as k, case when o_orderkey % 6 = 0 then o_orderpriority else 'changed' end as p from orders where o_orderkey % 2 = 0"
@@ -467,21 +458,6 @@ def coverage_check(t: Tables) -> DataFrame:
     return t.orders.agg(F.count("*").alias("rows"), keys.alias("keys"), (F.count("*") == keys).alias("covered"))
 
 
-@query("""
-    select a.item_id as a, arg_max(b.item_id, (j, -b.item_id)) as best, round(max(j), 4) as score from (
-      select a.item_id, b.item_id as other, len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) as j from x a join x b on a.item_id <> b.item_id) z where j > 0
-""".replace("select a.item_id as a", "with x as (select item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 4)) as s from benchmark) select z.item_id as a").replace("b.item_id, (j, -b.item_id)", "z.other, (j, -z.other)") + " group by 1")
-def published_match(t: Tables) -> DataFrame:
-    sets = t.benchmark.select("item_id", similarity.terms(F.col("text")).alias("s"))
-    # Candidates share a term, so nothing is paired with everything; rows without one have similarity 0.
-    words = sets.select("item_id", F.explode("s").alias("w"), F.size("s").alias("n"))
-    other = words.select(F.col("item_id").alias("other"), "w", F.col("n").alias("m"))
-    shared = words.join(other, "w").where("item_id <> other").groupBy("item_id", "other", "n", "m").agg(F.count("*").alias("c"))
-    scored = shared.select("item_id", "other", (F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).alias("j"))
-    best = scored.groupBy("item_id").agg(F.max(F.struct("j", -F.col("other"))).alias("x"))
-    return best.select(F.col("item_id").alias("a"), (-F.col("x")["col2"]).alias("best"), F.round(F.col("x.j"), 4).alias("score"))
-
-
 @query("select o_orderkey, o_orderkey as doc_id, 'number' as how from orders where o_orderkey % 3 = 0 union all select o_orderkey, o_orderkey, 'kind' from orders where o_orderkey % 3 = 1 union all select o_orderkey, null, null from orders where o_orderkey % 3 = 2")
 def version_match(t: Tables) -> DataFrame:
     k = F.col("o_orderkey")

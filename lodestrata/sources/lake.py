@@ -93,6 +93,22 @@ def write_partitioned(df: DataFrame, path: str, keys: list[str], rows_per_file:
     (writer.partitionBy(*keys) if keys else writer).parquet(path)
 
 
+def planned_layout(df: DataFrame, keys: list[str], row_bytes: Column, most_partitions: int, file_bytes: int) -> tuple[list[str], int]:
+    """The keys to partition by, and the rows of a file: as deep as there are few enough partitions whose median fills a tenth of a file, and files of about file_bytes."""
+    measured = partition_plan(df, keys, row_bytes).orderBy("depth").collect()  # a row for each depth
+    whole = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(row_bytes), F.lit(0)).alias("b")).first()
+    average = max(1.0, float(whole.b) / max(1, whole.n))
+    fit = [r.depth for r in measured if r.partitions <= most_partitions and (r.median_rows or 0) * average >= file_bytes / 10]
+    return keys[: max(fit, default=0)], max(1, int(file_bytes / average))
+
+
+def write_planned(df: DataFrame, path: str, keys: list[str], row_bytes: Column, most_partitions: int, file_bytes: int) -> list[str]:
+    """Writes df as its measured sizes ask, and returns the keys that it is partitioned by."""
+    chosen, rows = planned_layout(df, keys, row_bytes, most_partitions, file_bytes)
+    write_partitioned(df, path, chosen, rows)
+    return chosen
+
+
 def export_checked(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
     """Writes df by partition and returns keys, rows and held (rows read back) of each. A partition that isn't whole is an error.
 

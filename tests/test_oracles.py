@@ -13,7 +13,7 @@ CHECKED = [
     "interleave_merge", "sponsor_overlap", "norm_key", "norm_vote", "extract_mentions", "parse_kv_blocks", "html_to_text", "upsert_merge", "upsert_hash_guard",
     "upsert_monotone", "resolve_ladder", "reconcile", "session_map", "partition_plan", "fts_and", "rrf_hybrid", "bills_search", "context_budget",
     "upsert_fuller", "insert_ignore_repeats", "cascade_delete", "backfill_null", "merge_answers", "page_difference", "json_key_exists", "inventory",
-    "lake_export", "grouped_json", "domain_counts", "scope_tiers", "keyword_search", "phrase_search", "xref_strict_loose", "strip_accents", "low_content", *plans.parsing.__dict__["__all__"],
+    "lake_export", "grouped_json", "domain_counts", "scope_tiers", "keyword_search", "phrase_search", "xref_strict_loose", "strip_accents", "low_content", *plans.parsing.__all__, *plans.lookup.__all__, *plans.documents.__all__,
 ]
 
 
