@@ -3,17 +3,18 @@
 `write_archive` stores two Parquet tables in one folder:
 
 - payloads: address (SHA-256, hex), payload. Each distinct payload once.
-- headers: seq, address, header: the exact header bytes of each record, up to and with its empty line.
+- headers: seq, address, header: the exact bytes of each record before its payload: the WARC header with its empty line, and of
+  a response the HTTP head with its own.
 
 `read_archive` joins them on the address and verifies that the payload has that SHA-256, that its
 SHA-1 is the header's WARC-Payload-Digest and that the header's length is right; `record_bytes`
-gives the WARC/1.1 record back, byte for byte. A response record holds its payload; a revisit record
+gives the WARC/1.1 record back, byte for byte, and `parse_records` takes such records apart again, by their bytes alone. A response record holds its payload; a revisit record
 has an empty block and names the record that it repeats, and its payload still comes from the join.
 
 Of records with equal payloads of at least `min_revisit` bytes the one with the smallest page_id (null
 last; of repeated rows one) is the response and the others are revisits of it.
 
-Defined cases: null html is the empty payload; null URLs give an empty WARC-Target-URI; repeated rows
+Defined cases: null html is the empty payload; null URLs give an empty WARC-Target-URI, and line ends in one are percent-encoded; repeated rows
 are records of their own. An empty table gives an empty archive. A payload or header that fails
 verification stops the read with an error.
 """
@@ -49,6 +50,12 @@ def _record_id(page: Column, seq: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
 
+def http_head(length: Column) -> Column:
+    """The head of an HTTP response with a payload of so many bytes, as bytes."""
+    said = ["HTTP/1.1 200 OK", CRLF, "Content-Type: text/html; charset=utf-8", CRLF, "Content-Length: "]
+    return F.encode(F.concat(F.lit("".join(said)), length.cast("string"), F.lit(CRLF * 2)), "UTF-8")
+
+
 def write_archive(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> str:
     """Archive all rows of pages (page_id, url, html); the folder's path."""
     spark = pages.sparkSession
@@ -60,7 +67,8 @@ def write_archive(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> str:
             "seq",
             "page_id",
             # Line ends would end the header field.
-            F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]+", " ").alias("url"),
+            F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")).alias("url"),
+            sha1_base32(F.concat(http_head(F.length("payload")), "payload")).alias("block_sha1"),
             F.sha2("payload", 256).alias("address"),
             sha1_base32(F.col("payload")).alias("sha1"),
             F.length("payload").cast("long").alias("length"),
@@ -91,8 +99,10 @@ def write_archive(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> str:
             ),
         ).otherwise(""),
         field("X-Payload-Length", number("length")),
-        field("Content-Length", F.when(repeats, "0").otherwise(number("length"))),
+        F.when(~repeats, F.concat(field("Content-Type", F.lit("application/http;msgtype=response")), field("WARC-Block-Digest", F.concat(F.lit("sha1:"), "block_sha1")))).otherwise(""),
+        field("Content-Length", F.when(repeats, F.lit(0).cast("long")).otherwise(F.col("length") + F.length(http_head(F.col("length")))).cast("string")),
         F.lit(CRLF),
+        F.when(~repeats, F.decode(http_head(F.col("length")), "UTF-8")).otherwise(""),
     )
     digests.join(owners, "address").select("seq", "address", F.encode(header, "UTF-8").alias("header")).write.parquet(f"{path}/headers")
     (
@@ -145,3 +155,35 @@ def record_bytes(records: DataFrame) -> DataFrame:
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
     end = F.lit((CRLF * 2).encode())
     return records.select("seq", F.concat("header", body, end).alias("record"))
+
+
+def parse_records(records: DataFrame) -> DataFrame:
+    """seq, page_id, url, record_type, refers_to, payload, payload_bytes and payload_digest, from the bytes of each record (seq, record).
+
+    A revisit has no payload of its own: its size and digest are those that it tells. A block that isn't as long as its header says, or whose
+    digest isn't the header's, is an error.
+    """
+    # A character of ISO-8859-1 is a byte, so places in this string are places in the record.
+    plain = records.select("seq", "record", F.decode("record", "ISO-8859-1").alias("plain"))
+    ends = plain.select("*", F.instr("plain", F.lit(CRLF * 2)).alias("head_end"))
+    named = ends.select("*", F.decode(F.substring("record", F.lit(1), F.col("head_end") + 1), "UTF-8").alias("head")).select("*", header_field(F.col("head"), "Content-Length").cast("int").alias("size"))
+    split = named.select("*", F.substring("record", F.col("head_end") + 4, F.col("size")).alias("block"))
+    http_end = F.instr(F.decode("block", "ISO-8859-1"), F.lit(CRLF * 2))
+    field = lambda name: header_field(F.col("head"), name)
+    response = field("WARC-Type") == "response"
+    parts = split.select(
+        "seq", "head", "block", response.alias("response"),
+        F.when(response, F.substring("block", http_end + 4, F.length("block"))).alias("payload"),
+        ((F.length("block") == F.col("size")) & (~response | (F.concat(F.lit("sha1:"), sha1_base32(F.col("block"))) == field("WARC-Block-Digest")))).alias("sound"),
+    )
+    broken = F.raise_error(F.concat(F.lit("record can't be parsed: "), F.col("seq").cast("string")))
+    return parts.select(
+        "seq",
+        F.nullif(field("X-Page-Id"), F.lit("")).cast("long").alias("page_id"),
+        field("WARC-Target-URI").alias("url"),
+        F.when(F.coalesce("sound", F.lit(False)), field("WARC-Type")).otherwise(broken).alias("record_type"),
+        F.nullif(field("X-Refers-To-Page-Id"), F.lit("")).cast("long").alias("refers_to"),
+        "payload",
+        F.when(F.col("response"), F.length("payload").cast("long")).otherwise(field("X-Payload-Length").cast("long")).alias("payload_bytes"),
+        F.when(F.col("response"), sha1_base32(F.col("payload"))).otherwise(F.substring(field("WARC-Payload-Digest"), 6, 32)).alias("payload_digest"),
+    )

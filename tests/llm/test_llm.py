@@ -627,8 +627,20 @@ def test_archive_round_trip(spark):
         said = by_seq[r.seq]
         assert head.startswith(b"WARC/1.1\r\nWARC-Type: " + said.record_type.encode())
         length = int(re.search(rb"\r\nContent-Length: (\d+)", head)[1])
-        assert body == (bytes(said.payload) if said.record_type == "response" else b"") + b"\r\n\r\n" and length == len(body) - 4
-    assert warc.read_archive(spark, warc.write_archive(pages.limit(0))).count() == 0
+        assert length == len(body) - 4 and body.endswith(b"\r\n\r\n")
+        http, _, payload = body[:-4].partition(b"\r\n\r\n")
+        assert payload == (bytes(said.payload) if said.record_type == "response" else b"")
+        if said.record_type == "response":
+            assert http.startswith(b"HTTP/1.1 200 OK\r\n") and f"sha1:{base64.b32encode(hashlib.sha1(body[:-4]).digest()).decode()}".encode() in head
+    parsed = {r.seq: r for r in warc.parse_records(warc.record_bytes(records)).collect()}
+    for seq, r in by_seq.items():
+        p = parsed[seq]
+        assert (p.page_id, p.record_type, p.refers_to, p.payload_bytes, p.payload_digest, p.url) == (r.page_id, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest, r.url)
+        assert p.payload is None if r.record_type == "revisit" else bytes(p.payload) == bytes(r.payload)
+    assert sum(r.page_id is None for r in parsed.values()) == 1 and any(r.url == "u%0D%0Av" for r in parsed.values())
+    assert warc.parse_records(warc.record_bytes(warc.read_archive(spark, warc.write_archive(pages.limit(0))))).count() == 0
+    more = pages.select("*", F.lit("x").alias("seq"), F.lit("y").alias("payload"), F.lit(1).alias("header"))
+    assert warc.parse_records(warc.record_bytes(warc.read_archive(spark, warc.write_archive(more)))).count() == len(rows)
 
 
 def test_damaged_archives_are_refused(spark):
