@@ -378,26 +378,31 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(rows.join(first, "doc_id"), "toxic-once")
 
 
+def fragments_of(part: Column) -> Column:
+    """All runs of FRAGMENT_LENGTHS characters of a string."""
+    none = F.array().cast("array<string>")
+    runs = [F.when(F.length(part) >= n, F.transform(F.sequence(F.lit(1), F.length(part) - n + 1), _run(part, n))).otherwise(none) for n in FRAGMENT_LENGTHS]
+    return F.flatten(F.array(*runs))
+
+
+def _run(part: Column, n: int):
+    return lambda i: F.substring(part, i, n)
+
+
 def candidates(rows: DataFrame) -> tuple[list[str], list[str]]:
     """Landmarks, and toxic words too short for a fragment, of the sampled documents."""
     held = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(held) < 2:
         return [], []
     words = materialize(word_classes(rows), "toxic-words")
-    # Fragments that toxic documents have and clean ones lack: first by words, then by documents. Very long words give those of their first characters.
-    head = F.substring("word", 1, LONG_WORD)
-    pieces = F.flatten(
-        F.transform(
-            F.array(*map(F.lit, FRAGMENT_LENGTHS)),
-            lambda n: F.when(
-                F.length(head) >= n, F.transform(F.sequence(F.lit(1), F.length(head) - n + 1), lambda i: F.substring(head, i, n))
-            ).otherwise(F.array().cast("array<string>")),
-        )
-    )
+    # Fragments that toxic documents have and clean ones lack: first by words, then by documents. Very long words give theirs in parts that overlap.
+    step = LONG_WORD - max(FRAGMENT_LENGTHS) + 1
+    parts = F.transform(F.sequence(F.lit(0), (F.greatest(F.length("word") - 1, F.lit(0)) / step).cast("int")), lambda k: F.substring("word", k * step + 1, LONG_WORD))
+    pieces = F.array_distinct(F.flatten(F.transform(parts, fragments_of)))
     odds = held[1] / held[0]
     rare_in_clean = F.col("clean_docs") <= F.lit(MOST_CLEAN_SHARE / odds) * F.col("toxic_docs")
     fragments = (
-        words.select(F.explode(F.array_distinct(pieces)).alias("fragment"), "toxic_docs", "clean_docs")
+        words.select(F.explode(pieces).alias("fragment"), "toxic_docs", "clean_docs")
         .groupBy("fragment")
         .agg(F.sum("toxic_docs").alias("toxic_docs"), F.sum("clean_docs").alias("clean_docs"))
     )
