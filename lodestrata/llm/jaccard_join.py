@@ -248,18 +248,22 @@ def join(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, block: int
     firsts = materialize(first_shingles(docs, width, percent, table), "join-firsts")
     numbered = firsts.withColumn("class_no", F.col("hi")) if apart_by_half else firsts.join(classes.select("hi", "lo", "class_no"), ["hi", "lo"])
     # One shuffle, by shingle: copies out, groups of one out, and the pivot of each group.
-    # Sizes in steps a little wider than the threshold: a pair that can reach it shares a step or has neighbouring ones.
-    step = F.floor(F.log("n") / F.lit(-1.001 * math.log(percent / 100)))
-    keys = F.explode(F.array(F.xxhash64("t", step), F.xxhash64("t", step + 1)))
-    met = numbered.select(keys.alias("key"), "class_no", F.col("n").cast("int").alias("n"), F.col("i").cast("int").alias("i")).repartition("key")
-    met = met.groupBy("key", "class_no").agg(F.min("n").alias("n"), F.min("i").alias("i"))
-    group = W.partitionBy("key")
-    order = F.struct(F.xxhash64(F.pmod("key", F.lit(PIVOT_ORDERS)), "class_no").alias("by"), F.col("class_no"), F.col("n"), F.col("i"))
+    # One shuffle, by shingle: copies and groups of one go out. Then sizes, in steps a little wider than the threshold: a pair that can reach it shares a
+    # step or has neighbouring ones, and groups of a shingle and a step lie where the shingle's rows are. Place and size travel in one number.
+    both = F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("i")).alias("both")
+    met = numbered.select("t", "class_no", both).repartition("t").groupBy("t", "class_no").agg(F.min("both").alias("both"))
+    met = met.select("*", F.count("*").over(W.partitionBy("t")).alias("size")).where("size > 1").drop("size")
+    met = met.select("t", "class_no", F.shiftright("both", 32).cast("int").alias("n"), F.col("both").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("i"))
+    step = F.floor(F.log("n") / F.lit(-1.001 * math.log(percent / 100))).cast("int")
+    met = met.select("*", F.explode(F.array(step, step + 1)).alias("step"))
+    group = W.partitionBy("t", "step")
     met = met.select("*", F.count("*").over(group).alias("size"), F.min("n").over(group).alias("least")).where("size > 1")
     # With a partner of the group's least size, or of the least that can reach the threshold, the first common shingle comes no later than this.
     met = met.where(_close("n", "i", f"greatest(least, ({percent} * n + 99) div 100)", "0", percent)).drop("size")
+    order = F.struct(F.xxhash64(F.pmod("t", F.lit(PIVOT_ORDERS)), "class_no").alias("by"), F.col("class_no"), F.col("n"), F.col("i"))
     met = met.select("*", F.count("*").over(group).alias("size"), F.min(order).over(group).alias("p")).where("size > 1")
-    members = materialize(met.select("key", "class_no", "n", "i", F.col("p.class_no").alias("pivot"), F.col("p.n").alias("m"), F.col("p.i").alias("j")), "join-members")
+    members = met.select(F.xxhash64("t", "step").alias("key"), "class_no", "n", "i", F.col("p.class_no").alias("pivot"), F.col("p.n").alias("m"), F.col("p.i").alias("j"))
+    members = materialize(members, "join-members")
     first = members.where("class_no <> pivot").where(_close("n", "i", "m", "j", percent))
     first = materialize(first.select(F.col("pivot").alias("a"), F.col("class_no").alias("b")).distinct(), "join-first")
     links = verified(docs, classes, first, width, percent, table)

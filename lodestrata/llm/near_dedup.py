@@ -302,6 +302,12 @@ def across(apart: DataFrame, maps: DataFrame, percent: int, block: int = BLOCK)
     apart: key, class_no, root, n and i (the key's place in the class's order of shingles, from 0). maps: class_no, map.
     Groups are cut into blocks, the largest component's apart from the others', and two blocks make a cell, a task's work.
     """
+    # Groups of the same members are one group; the earliest place of each member counts.
+    each = (F.xxhash64("class_no"), F.xxhash64(F.lit(1), "class_no"))
+    same = apart.groupBy("key").agg(F.struct(F.count("*"), F.bit_xor(each[0]), F.bit_xor(each[1]), F.sum(F.shiftright(each[1], 24))).alias("members"))
+    one = materialize(same.select("key", F.xxhash64("members").alias("g"), F.xxhash64(F.lit(1), "members").alias("h")), "near-same")
+    apart = apart.join(one, "key").groupBy("g", "h", "class_no").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.min("i").alias("i"))
+    apart = materialize(apart.select(F.struct("g", "h").alias("key"), "class_no", "root", "n", "i"), "near-groups")
     shares = apart.groupBy("key", "root").agg(F.count("*").alias("held"))
     largest = shares.groupBy("key").agg(F.max(F.struct("held", "root")).alias("most"), F.sum("held").alias("size"), F.count("*").alias("roots")).where("roots > 1")
     mains, others = F.ceil(F.col("most.held") / block), F.ceil((F.col("size") - F.col("most.held")) / block)
