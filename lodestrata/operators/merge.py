@@ -94,3 +94,17 @@ def sweep(df: DataFrame, stamp: str, since: object) -> DataFrame:
 def source_priority(df: DataFrame, keys: list[str], rank: Column, tie: Column) -> DataFrame:
     """The best source's row of each key."""
     return distinct_on(df, keys, [rank.asc(), tie.asc()])
+
+
+def ledger_decisions(remote: DataFrame, ledger: DataFrame, keys: list[str], hash_column: str, size: str, ceiling: float) -> DataFrame:
+    """remote's datasets with plan (new, seeded, unchanged or changed) and refused: whether what is to be fetched is more than a share of all rows.
+
+    seeded: the ledger has the dataset without a hash, so it is taken as it is once. A null key matches a null key.
+    """
+    known = ledger.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(hash_column).alias("__old"), F.lit(True).alias("__held"))
+    match = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    plan = F.when(F.col("__held").isNull(), "new").when(F.col("__old").isNull(), "seeded").when(F.col("__old").eqNullSafe(F.col(hash_column)), "unchanged").otherwise("changed")
+    planned = remote.join(known, match, "left").select(*remote.columns, plan.alias("plan"))
+    fetched = F.sum(F.when(F.col("plan").isin("new", "changed"), F.col(size)).otherwise(0))
+    whole = planned.agg((fetched > ceiling * F.sum(size)).alias("refused"))  # one row
+    return planned.join(F.broadcast(whole))

@@ -151,11 +151,11 @@ def minted_duplicates(t: Tables) -> DataFrame:
     return t.orders.join(b, ["o_custkey", "o_orderdate"]).where("o_orderkey < minted").select(F.col("o_orderkey").alias("kept"), "minted")
 
 
-@query("select l_orderkey, l_linenumber, n_name from lineitem left join supplier on l_suppkey = s_suppkey left join nation on s_nationkey = n_nationkey where l_linenumber = 1")
+@query("select l_orderkey, l_linenumber, n_name from lineitem left join supplier on l_suppkey = s_suppkey left join nation on s_nationkey = n_nationkey")
 def derived_jurisdiction(t: Tables) -> DataFrame:
     # Nations are 25 rows by definition; suppliers are left to the optimizer's own size check.
     named = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", "n_name")
-    return t.lineitem.where("l_linenumber = 1").join(named, F.col("l_suppkey") == F.col("s_suppkey"), "left").select("l_orderkey", "l_linenumber", "n_name")
+    return t.lineitem.join(named, F.col("l_suppkey") == F.col("s_suppkey"), "left").select("l_orderkey", "l_linenumber", "n_name")
 
 
 @query("select c_custkey, n_name, r_name from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
@@ -313,6 +313,17 @@ def host_census(t: Tables) -> DataFrame:
     return t.pages.groupBy(host.alias("host")).agg(F.count("*").alias("n"))
 
 
+@query("""
+    with q as (select page_id, string_split(string_split(url, '/')[3], ':')[1] as host from pages)
+    select host, page_id, row_number() over (partition by host order by page_id) as place, (row_number() over (partition by host order by page_id) - 1) // 20 as batch from q
+""")
+def host_queues(t: Tables) -> DataFrame:
+    """Work by host: each host's pages in order, in batches that are drained one after another; hosts go side by side."""
+    host = F.split_part(F.split_part("url", F.lit("/"), F.lit(3)), F.lit(":"), F.lit(1))
+    place = F.row_number().over(W.partitionBy("host").orderBy("page_id")).cast("long")
+    return t.pages.select(host.alias("host"), "page_id").withColumn("place", place).withColumn("batch", F.expr("(place - 1) div 20"))
+
+
 @query("""
     select s_suppkey, round(sum(case when c_nationkey = s_nationkey then l_extendedprice else 0 end), 2) as home,
            round(sum(case when c_nationkey <> s_nationkey then l_extendedprice else 0 end), 2) as away

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -312,16 +314,23 @@ def change_hash_delta(t: Tables) -> DataFrame:
     return both.select("o_orderkey", F.when(F.col("held").isNull(), "new").otherwise("changed").alias("why"))
 
 
-@query("""
-    with led as (select source, count(*) as docs, case when count(*) % 3 = 0 then null else md5(source) end as h from documents group by 1)
-    select source, case when h is null then 'new' when source in ('src1', 'src2') then 'seeded' when docs % 2 = 0 then 'unchanged' else 'known' end as plan, docs > 60 as runaway from led
+_LEDGER_SETS = "select lang, source, count(*) as docs, sum(coalesce(n_chars, 0))::bigint || '-' || count(*) as h from documents {} group by 1, 2"
+
+
+@query(f"""
+    with remote as ({_LEDGER_SETS.format("")}), led as (select lang, source, case when lang <> 'es' then h end as h, true as held from ({_LEDGER_SETS.format("where lang <> 'fr' and (lang <> 'de' or doc_id % 10 <> 0)")}) x),
+    planned as (select r.lang, r.source, r.docs, case when l.held is null then 'new' when l.h is null then 'seeded' when l.h = r.h then 'unchanged' else 'changed' end as plan
+      from remote r left join led l on l.lang is not distinct from r.lang and l.source is not distinct from r.source),
+    queued as (select coalesce(sum(docs) filter (plan in ('new', 'changed')), 0) as n, sum(docs) as of from planned)
+    select lang, source, plan, n * 4 > of as refused from planned, queued
 """)
 def ledger_plan(t: Tables) -> DataFrame:
-    led = t.documents.groupBy("source").agg(F.count("*").alias("docs"))
-    plan = (
-        F.when(F.col("docs") % 3 == 0, "new").when(F.col("source").isin("src1", "src2"), "seeded").when(F.col("docs") % 2 == 0, "unchanged").otherwise("known")
-    )
-    return led.select("source", plan.alias("plan"), (F.col("docs") > 60).alias("runaway"))
+    """Datasets against the ledger of what was loaded: new, seeded (known without a hash), changed or unchanged; refused as a whole where more than a quarter would be fetched again."""
+    h = F.concat_ws("-", F.sum(F.coalesce("n_chars", F.lit(0))).cast("string"), F.count("*").cast("string")).alias("h")
+    remote = t.documents.groupBy("lang", "source").agg(F.count("*").alias("docs"), h)
+    loaded = t.documents.where((F.col("lang") != "fr") & ((F.col("lang") != "de") | (F.col("doc_id") % 10 != 0))).groupBy("lang", "source").agg(h)
+    ledger = loaded.withColumn("h", F.when(F.col("lang") != "es", F.col("h")))
+    return merge.ledger_decisions(remote, ledger, ["lang", "source"], "h", "docs", 0.25).select("lang", "source", "plan", "refused")
 
 
 @query("select count(*) filter (l.doc_id is not null) as keep, count(*) filter (l.doc_id is null) as mint, -max(d.doc_id) filter (l.doc_id is null) as lowest from documents d left join labels l using (doc_id)")
@@ -501,9 +510,18 @@ def status_code(action: Column) -> Column:
     return out
 
 
-@query("select conv_id, count(*) filter (role = 'user') as done, count(*) as total, max(turn) as furthest from conversations group by 1")
+@query("""
+    with said as (select conv_id, turn, role = 'assistant' as done, max(turn) filter (role = 'assistant') over (partition by conv_id) as furthest, count(*) over (partition by conv_id) as total from conversations)
+    select conv_id, count(*) filter (done or turn <= furthest) as done, max(total) as total, max(furthest) as furthest from said group by 1
+""")
 def progress(t: Tables) -> DataFrame:
-    return t.conversations.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("done"), F.count("*").alias("total"), F.max("turn").alias("furthest"))
+    """Steps done: those that are said to be (answered turns), and all before the furthest of them."""
+    answered = F.col("role") == "assistant"
+    per = t.conversations.groupBy("conv_id").agg(
+        F.collect_set(F.when(answered, F.col("turn"))).alias("said"), F.max(F.when(answered, F.col("turn"))).alias("furthest"), F.collect_list("turn").alias("steps"), F.count("*").alias("total")
+    )
+    implied = F.filter("steps", lambda s: s <= F.col("furthest"))
+    return per.select("conv_id", F.size(F.array_union("said", implied)).cast("long").alias("done"), "total", "furthest")
 
 
 # ---- lake --------------------------------------------------------------------------------------------------
@@ -523,17 +541,28 @@ def table_manifest(t: Tables) -> DataFrame:
     return lake.manifest(t.orders.select("o_orderkey", "o_orderstatus"), "orders", "o_orderstatus")
 
 
-@query("""
-    select 'sales' as domain, (select count(*) from orders) + (select count(*) from lineitem) as rows, 2 as tables union all
-    select 'text', (select count(*) from documents) + (select count(*) from pages) + (select count(*) from benchmark), 3
-""")
+_DOMAINS = {
+    "sales": ["customer", "supplier", "part", "orders", "lineitem", "nation", "region"], "text": ["documents", "pages", "benchmark", "labels", "conversations"], "traffic": ["events"], "vectors": ["embeddings"],
+}
+_PARTED = {"orders": "o_orderstatus", "lineitem": "l_returnflag", "documents": "lang", "customer": "c_mktsegment", "events": "event_type", "conversations": "role"}
+_OMITTED = {"documents": ["n_chars"], "events": ["props"]}
+
+
+@query(
+    "with counted as ("
+    + " union all ".join(f"select '{d}' as domain, '{n}' as name, (select count(*) from {n}) as rows, (select count(distinct coalesce({_PARTED[n]}::varchar, chr(0))) from {n}) as parts, {len(_OMITTED.get(n, []))} as omitted" if n in _PARTED
+                         else f"select '{d}', '{n}', (select count(*) from {n}), 1, {len(_OMITTED.get(n, []))}" for d, names in _DOMAINS.items() for n in names)
+    + ") select domain, count(*) as tables, sum(rows)::bigint as rows, sum(parts)::bigint as partitions, sum(omitted)::bigint as omitted from counted group by 1"
+)
 def manifest_rollup(t: Tables) -> DataFrame:
-    domains = {"orders": "sales", "lineitem": "sales", "documents": "text", "pages": "text", "benchmark": "text"}
-    parts = [getattr(t, name).agg(F.count("*").alias("rows")).select(F.lit(domain).alias("domain"), "rows") for name, domain in domains.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("domain").agg(F.sum("rows").alias("rows"), F.count("*").cast("int").alias("tables"))
+    """Every table's manifest, written with its partitions, and what all manifests of a domain say together."""
+    path = f"{lake.shared_dir(t.spark)}/manifests-{uuid.uuid4().hex}"
+    for names in _DOMAINS.values():
+        for name in names:
+            lake.manifest_rows(getattr(t, name), name, lake.domain_of(F.lit(name), _DOMAINS), _PARTED.get(name), _OMITTED.get(name, [])).write.mode("append").parquet(path)
+    held = t.spark.read.parquet(path)
+    tables = held.groupBy("domain", "table_name").agg(F.sum("rows").alias("rows"), F.count("*").alias("parts"), F.first(F.size("omitted")).alias("omitted"))
+    return tables.groupBy("domain").agg(F.count("*").alias("tables"), F.sum("rows").alias("rows"), F.sum("parts").alias("partitions"), F.sum("omitted").alias("omitted"))
 
 
 _TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -550,13 +579,12 @@ def inventory(t: Tables) -> DataFrame:
     return out
 
 
-@query("select c as column_name, 50::bigint as checked, 50::bigint as agreeing from (values ('c_name'), ('c_nationkey'), ('c_acctbal'), ('c_mktsegment')) v(c)")
+@query("select c as column_name, (select least(50, count(*)) from documents) as checked, (select least(50, count(*)) from documents) as agreeing from (values ('text'), ('lang'), ('source'), ('n_chars')) v(c)")
 def verify_roundtrip(t: Tables) -> DataFrame:
-    # What a lossy text export gives back, held against the original within the types' tolerances.
-    back = t.customer.select(
-        "c_custkey", "c_name", F.col("c_nationkey").cast("string").cast("int").alias("c_nationkey"), F.col("c_acctbal").cast("string").cast("double").alias("c_acctbal"), "c_mktsegment"
-    )
-    return lake.round_trip(t.customer, back, "c_custkey", 50)
+    """Documents written to the lake by language and read back, held against the originals in a sample of keys, field by field."""
+    path = f"{lake.shared_dir(t.spark)}/verified-{uuid.uuid4().hex}"
+    lake.write_partitioned(t.documents, path, ["lang"])
+    return lake.round_trip(t.documents, t.spark.read.schema(t.documents.schema).parquet(path), "doc_id", 50)
 
 
 # ---- derivations -------------------------------------------------------------------------------------------

@@ -151,6 +151,15 @@ def manifest(df: DataFrame, table: str, partition: str) -> DataFrame:
     ).withColumn("columns", F.lit(columns))
 
 
+def manifest_rows(df: DataFrame, table: str, domain: Column, partition: str | None, omit: list[str]) -> DataFrame:
+    """table_name, domain, partition (null for an unpartitioned table), rows, columns and omitted columns of each partition of a table."""
+    columns = [f"{f.name}:{f.dataType.simpleString()}" for f in df.schema if f.name not in omit]
+    value = F.col(partition).cast("string") if partition else F.lit(None).cast("string")
+    counted = df.groupBy(value.alias("partition")).agg(F.count("*").alias("rows")) if partition else df.agg(F.count("*").alias("rows")).select(value.alias("partition"), "rows")
+    names = lambda items: F.array(*map(F.lit, items)).cast("array<string>")
+    return counted.select(F.lit(table).alias("table_name"), domain.alias("domain"), "partition", "rows", names(columns).alias("columns"), names(omit).alias("omitted"))
+
+
 def same(a: Column, b: Column, kind: T.DataType) -> Column:
     """Equality as a stored type allows: floats within their precision, all else null-safe."""
     if isinstance(kind, (T.DoubleType, T.FloatType)):
