@@ -5,13 +5,13 @@
 2. Classes. Texts with equal sets are one class, by a 128-bit digest; only classes go on.
 3. First shingles. Two sets of n and m shingles that reach the threshold share `need` at least, so the first shingle that they
    share is among the n - need + 1 first of one, and likewise of the other. Classes meet in groups by these.
-4. Stars. Each class of a group is held against the group's pivot. A trie holds the candidates of a pivot, the frequent
+4. Stars. Each class of a group is held against the group's pivot: first bitmaps, in which two sets differ in no more bits than they
+   differ in shingles, so no pair that reaches the threshold is dropped; then full sets. A trie holds the candidates of a pivot, the frequent
    shingles at its top, so that versions of a text share paths; the traversal adds up a path's overlap once for all sets below, and leaves
    a subtree as soon as what remains of its sets, or of the pivot's, can't reach the threshold.
 5. Components of the links. In groups that are not one component yet, classes outside the largest one meet its best-linked member.
 6. The rest, exactly. Groups that are apart even then are cut into blocks; each pair of blocks whose classes are of different
-   components is a cell (near_dedup.across). A cell compares bitmaps, in which two sets differ in no more bits than they differ in
-   shingles, so it drops no pair that reaches the threshold; those that may are traversed as in 4. A cell has two blocks at most, so no
+   components is a cell (near_dedup.across). A cell compares bitmaps; pairs that may reach the threshold are traversed as in 4. A cell has two blocks at most, so no
    group, however large, makes a large task, and pairs of one component are never looked at.
 
 Sets that are sent are read from the texts anew. Nothing of the data passes the driver but counts.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lodestrata.llm.common import materialize, small_side
-from lodestrata.llm.near_dedup import BLOCK, REMEMBERED, _digest, _unfinished, across, components, mixed, set_rows, shingle_sets
+from lodestrata.llm.near_dedup import BLOCK, REMEMBERED, _digest, _unfinished, across, components, may_reach, mixed, set_rows, shingle_sets
 from lodestrata.llm.packing import slices
 
 WORDS, PERCENT = 5, 80
@@ -266,7 +266,10 @@ def join(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, block: int
     members = materialize(members, "join-members")
     first = members.where("class_no <> pivot").where(_close("n", "i", "m", "j", percent))
     first = materialize(first.select(F.col("pivot").alias("a"), F.col("class_no").alias("b")).distinct(), "join-first")
-    links = verified(docs, classes, first, width, percent, table)
+    wanted = materialize(first.select(F.explode(F.array("a", "b")).alias("class_no")).distinct(), "join-wanted")
+    maps = set_rows(docs, classes, wanted, wanted.count(), width, maps=True)
+    likely = materialize(may_reach(first, maps, classes.select("class_no", "n"), percent), "join-likely")
+    links = verified(docs, classes, likely, width, percent, table)
     roots = components(links)
 
     # Groups that are not one component yet: their classes outside the largest component meet its best-linked member.

@@ -346,6 +346,27 @@ def across(apart: DataFrame, maps: DataFrame, percent: int, block: int = BLOCK)
     return cells.join(materialize(maps, "near-maps"), "class_no").groupBy("key", "low", "high").applyInArrow(compare, "a long, b long").distinct()
 
 
+def may_reach(pairs: DataFrame, maps: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose bitmaps allow the threshold: none that reaches it is lost. maps: class_no, map. sizes: class_no, n."""
+    held = maps.join(sizes, "class_no").groupBy("class_no").agg(F.first("map").alias("map"), F.first("n").alias("n"))
+    held = materialize(held, "near-maps")
+    a, b = (held.select(*[F.col(c).alias(f"{c}_{k}") for c in ("class_no", "map", "n")]) for k in "ab")
+    both = pairs.join(b, F.col("b") == F.col("class_no_b")).join(a, F.col("a") == F.col("class_no_a")).select("a", "b", "n_a", "n_b", "map_a", "map_b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            spare = n + m - 2 * (-(-percent * (n + m) // (100 + percent)))
+            near = np.zeros(len(batch), bool)
+            for k, (x, y) in enumerate(zip(batch.column("map_a").to_pylist(), batch.column("map_b").to_pylist(), strict=True)):
+                one, other = np.frombuffer(x, np.uint64)[None], np.frombuffer(y, np.uint64)[None]
+                words = min(one.shape[1], other.shape[1])
+                near[k] = np.bitwise_count(_folded(one, words) ^ _folded(other, words)).sum() <= spare[k]
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    return both.mapInArrow(compare, "a long, b long")
+
+
 def _by_rarity(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """key, class_no, root, n and i: the shingles of each class, in order of rarity, by which it can meet the others.
 
