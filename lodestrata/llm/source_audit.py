@@ -180,7 +180,7 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, group_b
     counts = materialize(term_counts(slim), "audit-counts")
     kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).where(F.col("docs") >= least_docs)
     kept = materialize(kept.select("lang", "term", "lang_n"), "audit-kept")
-    langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
+    langs = materialize(kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total")), "audit-langs")
     own = counts.join(kept.select("lang", "term"), ["lang", "term"], "left_semi").groupBy("lang", "source").agg(F.sum("n").alias("total"))
     there = slim.select("lang", "source").distinct()
     per_lang = there.groupBy("lang").agg(F.count("*").alias("size"))
@@ -190,7 +190,9 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, group_b
     )
     groups = materialize(_numbered(groups, "source", group_block, ("gb", "gbs", "who")), "audit-groups")
     n_groups = groups.count()
-    terms = _numbered(kept.join(langs.select("lang", F.col("v").alias("size")), "lang"), "term", term_block, ("tb", "tbs", "slot"))
+    # Not dealt by language: the window below deals a language's terms by block.
+    sized = kept.join(small_side(langs.select("lang", F.col("v").alias("size")), langs.count()), "lang")
+    terms = _numbered(sized, "term", term_block, ("tb", "tbs", "slot"))
     terms = materialize(terms.select("lang", "term", "lang_n", "tb", "slot"), "audit-terms")
 
     values = pair_values(counts, groups.where("v > 0"), n_groups, terms.select("lang", "term", "tb", "slot"))
