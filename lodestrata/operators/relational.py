@@ -31,16 +31,6 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, r
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= n)
 
 
-def facet_counts(df: DataFrame, value: Column, name: str) -> DataFrame:
-    """How often each non-null value occurs, as facet, value, n."""
-    return df.select(value.alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("n")).select(F.lit(name).alias("facet"), F.col("value").cast("string"), "n")
-
-
-def with_zeros(values: DataFrame, counts: DataFrame, key: str, n: str) -> DataFrame:
-    """A row for every value, 0 where there is no count."""
-    return values.join(counts, key, "left").select(key, F.coalesce(n, F.lit(0)).cast("long").alias(n))
-
-
 def interleaved(arms: list[DataFrame], key: str, rank: str, limit: int) -> DataFrame:
     """Ranked lists merged in turn (first of each, second of each, …), the first place of a key counting."""
     placed = reduce(

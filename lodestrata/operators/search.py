@@ -76,11 +76,6 @@ def index(posts: DataFrame, key: str, path: str) -> Index:
     return Index(spark.read.parquet(f"{path}/posts"), terms)
 
 
-def high_df_terms(posts: DataFrame, key: str, n_docs: int, share: float = 0.02) -> DataFrame:
-    """Terms in more than a share of the documents: too common to search for alone."""
-    return posts.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") > share * n_docs)
-
-
 def match(posts: DataFrame, key: str, terms: list[str], all_of_them: bool) -> DataFrame:
     """key, how many of the terms it has, and its score: weights by term frequency, damped, closer terms counting more."""
     hits = posts.where(F.col("term").isin(*terms)) if terms else posts.limit(0)
@@ -95,15 +90,6 @@ def match(posts: DataFrame, key: str, terms: list[str], all_of_them: bool) -> Da
     return scored.where(F.col("n_terms") == len(terms)) if all_of_them else scored
 
 
-def keyword_search(posts: DataFrame, key: str, q: str, n_docs: int, limit: int) -> DataFrame:
-    """Any of the query's terms that are not too common; all of its terms where none is left. score is at most 0.99."""
-    terms = query_terms(q)
-    common = {r.term for r in high_df_terms(posts.where(F.col("term").isin(*terms)), key, n_docs).collect()} if terms else set()
-    kept = [t for t in terms if t not in common]
-    found = match(posts, key, kept, False) if kept else match(posts, key, terms, True)
-    return found.select(key, "n_terms", F.least(F.col("score") / 4, F.lit(0.99)).alias("score")).orderBy(F.col("score").desc(), key).limit(limit)
-
-
 def phrase(posts: DataFrame, key: str, terms: list[str]) -> DataFrame:
     """Documents in which the terms follow each other."""
     found = None

@@ -189,7 +189,3 @@ def read_delimited(spark: SparkSession, path: str, schema: str, sep: str = "|",
 def read_quoted_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """RFC 4180: quoted commas, doubled quotes, line ends inside quotes."""
     return spark.read.schema(schema).options(multiLine=True, quote='"', escape='"', header=True).csv(path)
-
-
-def read_bills_xml(spark: SparkSession, path: str, schema: str, row: str = "bill") -> DataFrame:
-    return spark.read.format("xml").schema(schema).option("rowTag", row).load(path)
