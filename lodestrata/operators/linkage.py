@@ -1,15 +1,21 @@
-"""Linking records to their published versions: candidates by rare shared authors, then a gate on authors and a weighted score."""
+"""Linking records to their published versions: candidates by sets of shared authors and rare terms, then a gate on authors and a weighted score."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lodestrata.sources import lake
+
 #: Share of a record's authors that a candidate must have, weights of authors and content, and the least score of a match.
 GATE, AUTHORS, CONTENT, LEAST = 0.6, 0.6, 0.4, 0.62
-#: An author of more candidates than this is joined together with a term of the title.
+#: A set of authors of more works than this is joined together with a term of the title.
 FREQUENT = 1_000
+#: Authors of a set at most; a work of more than MANY authors meets by single ones.
+TOGETHER, MANY = 3, 24
 
 
 def _jaccard(a: str, b: str) -> Column:
@@ -24,27 +30,80 @@ def score(authors: str, title: str, their_authors: str, their_title: str, their_
     return F.when((F.size(authors) > 0) & (shared >= GATE), AUTHORS * shared + CONTENT * content).otherwise(0.0)
 
 
+def _written(df: DataFrame, tag: str) -> DataFrame:
+    path = f"{lake.shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _sets(authors: Column, size: int, space: int) -> Column:
+    """key and last (the highest rank in it) of each set of so many authors. authors: (h, rank) in the order of h."""
+
+    def below(held: Column, taken: tuple[Column, ...]) -> Column:
+        if len(taken) + 1 == size:
+            key = lambda x: F.xxhash64(F.lit(space), *[y["h"] for y in (x, *taken)])
+            last = lambda x: F.greatest(x["rank"], *[y["rank"] for y in taken]) if taken else x["rank"]
+            return F.transform(held, lambda x: F.struct(key(x).alias("key"), last(x).alias("last")))
+        return F.flatten(F.transform(held, lambda x, i: below(F.slice(held, F.lit(1), i), (x, *taken))))
+
+    return below(authors, ())
+
+
+def _ranked(own: DataFrame, name: str, counts: DataFrame) -> DataFrame:
+    """rid, the name's hash h, df and rank, the rarest first."""
+    counted = own.join(counts, name, "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    return counted.select("rid", F.xxhash64(name).alias("h"), "df", F.row_number().over(W.partitionBy("rid").orderBy("df", name)).alias("rank"))
+
+
 def published_versions(records: DataFrame, works: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     """id, work and score of each record's best work that reaches LEAST; of equal ones the least work.
 
     records: id, authors, title. works: work, authors, title, abstract. authors, title and abstract are arrays of distinct terms; no column may be null.
 
-    A work needs GATE of a record's authors, so one of the rarest few of them is among its own: only those are joined. To reach LEAST it also needs a
-    term of the title, so a frequent author's works are joined by author and term together. No group of one name meets as a whole, and every pair that can match does meet.
+    Equal records, and equal works, are compared once. A work that shares s of a record's n authors shares j of the record's n - s + j rarest ones,
+    so records and works meet by sets of up to TOGETHER authors. To reach LEAST with s authors it needs a share of the title's terms too, o of them at least, and one of
+    the title's rarest but o - 1 is among its own: where a set of authors has many works, they meet by set and term together, by so many terms as the greatest s of
+    that set asks for. Every pair that can match does meet.
     """
-    known = works.select("work", F.explode("authors").alias("author"))
-    counts = known.groupBy("author").agg(F.count("*").alias("df"))
-    own = records.select("id", F.explode("authors").alias("author"), F.size("authors").alias("n")).join(counts, "author", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    rarest = W.partitionBy("id").orderBy("df", "author")
-    spare = F.col("n") - F.ceil(F.lit(GATE) * F.col("n")) + 1
-    first = own.withColumn("i", F.row_number().over(rarest)).where((F.col("i") <= spare) & (F.col("df") > 0))
-    seldom = first.where(F.col("df") <= frequent).select("id", "author").join(known, "author").select("id", "work")
-    busy = first.where(F.col("df") > frequent).select("id", "author").join(records.select("id", F.explode("title").alias("term")), "id")
-    terms = works.select("work", F.explode(F.array_union("title", "abstract")).alias("term"))
-    names = counts.where(F.col("df") > frequent).select("author")
-    theirs = known.join(names, "author").join(terms, "work")
-    pairs = seldom.unionByName(busy.join(theirs, ["author", "term"]).select("id", "work")).distinct()
-    both = pairs.join(records, "id").join(works.select("work", *[F.col(c).alias(f"w_{c}") for c in ("authors", "title", "abstract")]), "work")
-    scored = both.select("id", "work", score("authors", "title", "w_authors", "w_title", "w_abstract").alias("score")).where(F.col("score") >= LEAST)
-    best = scored.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "work")).alias("best"))
-    return best.select("id", F.col("best.work").alias("work"), (-F.col("best.s")).alias("score"))
+    sets = [F.array_sort(c).alias(c) for c in ("authors", "title")]
+    # Authors alone don't reach LEAST.
+    asked = records.where((F.size("authors") > 0) & (F.size("title") > 0)).select("id", *sets)
+    mine = _written(asked.select("authors", "title").distinct().select(F.monotonically_increasing_id().alias("rid"), "authors", "title"), "link-records")
+    held = works.where(F.size("authors") > 0).groupBy(*sets, F.array_sort("abstract").alias("abstract")).agg(F.min("work").alias("work"))
+    theirs = _written(held.select(F.monotonically_increasing_id().alias("wid"), "work", "authors", "title", "abstract"), "link-works")
+    in_works = theirs.select("wid", F.explode(F.array_union("title", "abstract")).alias("term"))
+    count = lambda df, name: df.groupBy(name).agg(F.count("*").alias("df"))
+    names = _ranked(mine.select("rid", F.explode("authors").alias("author")), "author", count(theirs.select(F.explode("authors").alias("author")), "author"))
+    terms = _ranked(mine.select("rid", F.explode("title").alias("term")), "term", count(in_works, "term")).where("df > 0")
+
+    n, n_terms = F.size("authors"), F.col("n_terms")
+    gate = F.ceil(F.lit(GATE) * n - 1e-9)
+    dealt = names.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("h", "rank"))).alias("authors")).join(mine.select("rid", F.size("title").alias("n_terms")), "rid")
+    keys = None
+    for size in range(TOGETHER + 1):  # 0: single authors, for works of many
+        j = max(size, 1)
+        most = n + j - F.col("k.last")
+        content = (LEAST - AUTHORS * most / n) / CONTENT
+        overlap = F.greatest(F.lit(1), F.ceil(content * n_terms / 1.5 - 1e-9))
+        own = dealt.where(gate >= TOGETHER if size == TOGETHER else gate == size) if size else dealt
+        one = own.select("rid", "authors", "n_terms", F.explode(_sets(F.col("authors"), j, size)).alias("k")).where(F.col("k.last") <= n - gate + j)
+        one = one.select("rid", "k.key", (n_terms - overlap + 1).alias("ask"))
+        keys = one if keys is None else keys.unionByName(one)
+    keys = _written(keys.where("ask > 0").groupBy("rid", "key").agg(F.max("ask").alias("ask")), "link-keys")
+
+    hashed = F.array_sort(F.transform("authors", lambda a: F.struct(F.xxhash64(a).alias("h"), F.lit(0).alias("rank"))))
+    few = F.concat(*[_sets(hashed, size, size) for size in range(1, TOGETHER + 1)])
+    sets_of = theirs.select("wid", F.explode(F.when(n > MANY, _sets(hashed, 1, 0)).otherwise(few)).alias("k")).select("wid", "k.key")
+    meet = _written(sets_of.join(keys.select("key").distinct(), "key", "left_semi"), "link-meet")
+    sizes = meet.groupBy("key").agg(F.count("*").alias("n"))
+    counted = keys.join(sizes, "key")
+    seldom = counted.where(F.col("n") <= frequent).select("rid", "key").join(meet, "key").select("rid", "wid")
+    busy = counted.where(F.col("n") > frequent).join(terms, "rid").where(F.col("rank") <= F.col("ask")).select("rid", "key", "h")
+    crowded = meet.join(sizes.where(F.col("n") > frequent).select("key"), "key").join(in_works.select("wid", F.xxhash64("term").alias("h")), "wid")
+    pairs = seldom.unionByName(busy.join(crowded, ["key", "h"]).select("rid", "wid")).distinct()
+
+    both = pairs.join(mine, "rid").join(theirs.select("wid", "work", *[F.col(c).alias(f"w_{c}") for c in ("authors", "title", "abstract")]), "wid")
+    scored = both.select("rid", "work", score("authors", "title", "w_authors", "w_title", "w_abstract").alias("score")).where(F.col("score") >= LEAST)
+    best = scored.groupBy("rid").agg(F.min(F.struct((-F.col("score")).alias("s"), "work")).alias("best"))
+    found = asked.join(mine.join(best, "rid").select("authors", "title", "best"), ["authors", "title"])
+    return found.groupBy("id").agg(F.min("best").alias("best")).select("id", F.col("best.work").alias("work"), (-F.col("best.s")).alias("score"))

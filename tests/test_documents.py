@@ -78,6 +78,20 @@ def test_linkage_with_a_name_that_all_share(spark):
     assert len(want) > 30
 
 
+def test_linkage_compares_equal_texts_once(spark, monkeypatch):
+    """Copies are one record and one work; a work of very many authors is met by single ones."""
+    crowd = [f"n{k}" for k in range(40)]
+    records = [(k, ["a", "b", "c"], ["term"]) for k in range(50)] + [(100, crowd[:5], ["word", "other"])]
+    works = [(k, ["c", "b", "a"], ["term"], ["term", "more"]) for k in range(5, 60)] + [(7_000, crowd, ["word"], ["word", "other"])]
+    written = {}
+    was = linkage._written
+    monkeypatch.setattr(linkage, "_written", lambda df, tag: written.setdefault(tag, was(df, tag)))
+    pubs = spark.createDataFrame(works, "work long, authors array<string>, title array<string>, abstract array<string>")
+    got = {r.id: r.work for r in linkage.published_versions(spark.createDataFrame(records, "id long, authors array<string>, title array<string>"), pubs, 3).collect()}
+    assert got == {**dict.fromkeys(range(50), 5), 100: 7_000}
+    assert written["link-records"].count() == 2 and written["link-works"].count() == 2
+
+
 def test_shredding_odd_documents(spark):
     docs = [
         {"id": 1, "a": [{"v": 1, "b": [{"w": "x"}, {"w": None}]}, {"v": "2", "b": None}], "m": {"k1": {"c": [1, 2]}, "k2": {"c": []}}},
