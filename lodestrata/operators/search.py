@@ -9,9 +9,12 @@ whole corpus.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,16 +40,66 @@ def query_terms(q: str) -> list[str]:
     return list(dict.fromkeys(w for w in words if w not in STOP_WORDS))
 
 
+#: Positions of a field begin after those of the fields before it; tokens that a task groups at once.
+FIELD_ROOM, TOKENS_AT_ONCE = 10_000_000, 500_000
+
+
+def placed_terms(df: DataFrame, key: str, fields: dict[str, float], stem: bool = False) -> DataFrame:
+    """key, term (its stem, if asked for), weight (the heaviest field that has it) and its positions in that order of fields.
+
+    The terms of a row are grouped where the row is read, so what is shuffled later is a row for each term, not for each token.
+    """
+    lists = df.select(key, *[tokens(F.col(f)).alias(f"__t{k}") for k, f in enumerate(fields)])
+    kind, weights, own = df.schema[key].dataType.simpleString(), np.array(list(fields.values()), np.float64), globals()["stem"]
+
+    def of(part: pa.RecordBatch) -> pa.RecordBatch:
+        words, rows, places = [], [], []
+        for k in range(len(weights)):
+            column = part.column(k + 1)
+            sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+            words.append(column.flatten().cast(pa.string()))
+            rows.append(np.repeat(np.arange(len(sizes)), sizes))
+            places.append(np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + k * FIELD_ROOM)
+        coded = pa.concat_arrays(words).dictionary_encode()
+        codes, row, place = coded.indices.to_numpy(zero_copy_only=False), np.concatenate(rows), np.concatenate(places)
+        known = coded.dictionary.to_pylist()
+        real = np.array([w != "" for w in known], bool)[codes]
+        codes, row, place = codes[real].astype(np.int64), row[real], place[real]
+        if stem:
+            merged: dict[str, int] = {}
+            codes = np.array([merged.setdefault(own(w), len(merged)) for w in known], np.int64)[codes]
+            known = list(merged)
+        order = np.lexsort((place, codes, row))
+        codes, row, place = codes[order], row[order], place[order]
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(row)), bool), (np.diff(row) != 0) | (np.diff(codes) != 0)]))
+        heaviest = np.maximum.reduceat(weights[place // FIELD_ROOM], first) if len(first) else np.zeros(0)
+        ends = pa.array(np.append(first, len(place)).astype(np.int32))
+        columns = [part.column(0).take(pa.array(row[first])), pa.array(known, pa.string()).take(pa.array(codes[first])), pa.array(heaviest), pa.ListArray.from_arrays(ends, pa.array(place.astype(np.int32)))]
+        return pa.RecordBatch.from_arrays(columns, [key, "term", "weight", "positions"])
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(sum(batch.column(k + 1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for k in range(len(weights))))
+            at = 0
+            while at < len(batch):
+                until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOKENS_AT_ONCE, "right")))
+                yield of(batch.slice(at, until - at))
+                at = until
+
+    return lists.mapInArrow(group, f"`{key}` {kind}, term string, weight double, positions array<int>")
+
+
 def postings(df: DataFrame, key: str, fields: dict[str, float], stem: bool = False) -> DataFrame:
-    """key, term (its stem, if asked for), weight (the heaviest field that has it) and its positions in that order of fields."""
-    parts = None
-    for offset, (field, weight) in enumerate(fields.items()):
-        one = df.select(key, F.posexplode(tokens(F.col(field))).alias("pos", "term")).where("term <> ''")
-        one = one.select(key, "term", F.lit(weight).alias("weight"), (F.col("pos") + offset * 10_000_000).alias("pos"))
-        parts = one if parts is None else parts.unionByName(one)
-    if stem:
-        parts = parts.withColumn("term", stemmed("term"))
-    return parts.groupBy(key, "term").agg(F.max("weight").alias("weight"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    """placed_terms with the rows of a repeated key as one."""
+    parts = placed_terms(df, key, fields, stem)
+    if df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return parts
+    return parts.groupBy(key, "term").agg(F.max("weight").alias("weight"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+
+
+def by_term(posts: DataFrame, key: str, term: str = "term") -> DataFrame:
+    """By hash of term and a part of the key: rows of a very frequent term lie in several files, each sorted by term. Unlike ranges, hashes need no first pass."""
+    return posts.repartition(F.xxhash64(term), F.pmod(F.xxhash64(key), F.lit(4))).sortWithinPartitions(term, key)
 
 
 class Index(NamedTuple):
@@ -63,15 +116,14 @@ class Index(NamedTuple):
 def index(posts: DataFrame, key: str, path: str) -> Index:
     """The index at path, built from postings where there is none yet.
 
-    Rows go by ranges of (term, key), so that a term of very many documents is spread over several files. The
-    terms are written last: an index without them was not finished, and is built anew.
+    The terms are written last: an index without them was not finished, and is built anew.
     """
     spark = posts.sparkSession
     terms = written_or_none(spark, f"{path}/terms")
     if terms is None:
-        posts.repartitionByRange("term", key).sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/posts")
+        by_term(posts, key).write.mode("overwrite").parquet(f"{path}/posts")
         counted = spark.read.parquet(f"{path}/posts").groupBy("term").agg(F.count("*").alias("df"))
-        counted.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+        counted.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
         terms = spark.read.parquet(f"{path}/terms")
     return Index(spark.read.parquet(f"{path}/posts"), terms)
 
