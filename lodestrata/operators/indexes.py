@@ -11,21 +11,19 @@ import hashlib
 import math
 import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodestrata.functions.similarity import cosine
-from lodestrata.operators.search import STOP_WORDS, query_terms, stem, stemmed, tokens
+from lodestrata.operators.search import FIELD_ROOM, STOP_WORDS, by_term, postings, query_terms, stem
 from lodestrata.sources import lake
 
-#: Positions of a field begin after those of the fields before it.
-FIELD_ROOM = 10_000_000
 
 
 class Built(NamedTuple):
@@ -71,25 +69,15 @@ class Words(NamedTuple):
         return stem(word) if self.stem else word
 
 
-def word_postings(df: DataFrame, key: str, words: Words) -> DataFrame:
-    """key, term and hits (position, weight), in order of position."""
-    parts = None
-    for k, (field, weight) in enumerate(words.fields):
-        one = df.select(key, F.posexplode(tokens(F.col(field))).alias("pos", "term")).where("term <> ''")
-        one = one.select(key, "term", F.struct((F.col("pos") + k * FIELD_ROOM).alias("pos"), F.lit(weight).alias("weight")).alias("hit"))
-        parts = one if parts is None else parts.unionByName(one)
-    if words.stem:
-        parts = parts.withColumn("term", stemmed("term"))
-    return parts.groupBy(key, "term").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
-
-
 def word_index(df: DataFrame, key: str, words: Words, table: str) -> Built:
-    """Postings in the order of terms, and terms with their document counts."""
+    """Postings in the order of terms (key, term and hits: position and weight, in order of position), and terms with their document counts."""
 
     def build(path: str) -> int:
-        posts = word_postings(df, key, words)
-        # By hash of term and a part of the key: rows of a very frequent term lie in several files, each sorted by term.
-        posts.repartition(F.xxhash64("term"), F.pmod(F.xxhash64(key), F.lit(4))).sortWithinPartitions("term", key).write.parquet(f"{path}/posts")
+        weights = F.array(*[F.lit(float(w)) for _, w in words.fields])
+        hit = lambda p: F.struct(p.alias("pos"), F.get(weights, F.floor(p / FIELD_ROOM).cast("int")).alias("weight"))
+        # Positions alone are shuffled; what they weigh is told by their field.
+        posts = by_term(postings(df, key, dict(words.fields), words.stem), key)
+        posts.select(key, "term", F.transform("positions", hit).alias("hits")).write.parquet(f"{path}/posts")
         spark = df.sparkSession
         spark.read.parquet(f"{path}/posts").groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.parquet(f"{path}/terms")
         return df.count()
@@ -270,21 +258,48 @@ def fuzzy_search(built: Built, spark: SparkSession, key: str, q: str) -> DataFra
 # ---- substrings ----------------------------------------------------------------------------------------------------
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def trigrams(texts: pd.Series) -> pd.Series:
-    """The distinct runs of three characters of each text in lower case."""
-    return texts.map(lambda s: sorted({s[i : i + 3] for i in range(len(s) - 2)}), na_action="ignore")
+#: Characters of text that a task takes apart at once.
+CHARACTERS_AT_ONCE = 500_000
+
+
+def trigram_blocks(df: DataFrame, key: str, column: str) -> DataFrame:
+    """gram and keys: the distinct runs of three characters of texts in lower case, each with those of a few hundred neighbouring rows that have it."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def block(keys: list[int], texts: list[str], column: pa.Array) -> pa.RecordBatch:
+        found = [{s[i : i + 3] for i in range(len(s) - 2)} for s in texts]
+        coded = pa.array([g for grams in found for g in grams], pa.string()).dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.argsort(codes, kind="stable")
+        ends = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(coded.dictionary)))]).astype(np.int32)
+        rows = np.repeat(np.array(keys, np.int64), [len(grams) for grams in found])[order]
+        return pa.RecordBatch.from_arrays([coded.dictionary, pa.ListArray.from_arrays(pa.array(ends), column.take(pa.array(rows)))], ["gram", "keys"])
+
+    def take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, texts, size = [], [], 0
+            for i, s in enumerate(batch.column(1)):
+                text = s.as_py() or ""
+                if size + len(text) > CHARACTERS_AT_ONCE and texts:
+                    yield block(keys, texts, batch.column(0))
+                    keys, texts, size = [], [], 0
+                keys.append(i)
+                texts.append(text)
+                size += len(text)
+            if texts:
+                yield block(keys, texts, batch.column(0))
+
+    return df.select(key, F.lower(column).alias("text")).mapInArrow(take_apart, f"gram string, keys array<{kind}>")
 
 
 def trigram_index(df: DataFrame, key: str, column: str, table: str) -> Built:
-    """grams (gram, key) in the order of grams; texts, with the case folded, in files of their own."""
+    """grams (gram, keys) in the order of grams, a gram in several rows."""
 
     def build(path: str) -> int:
-        grams = df.select(F.explode(trigrams(F.lower(column))).alias("gram"), key)
-        grams.repartition(F.xxhash64("gram"), F.pmod(F.xxhash64(key), F.lit(4))).sortWithinPartitions("gram", key).write.parquet(f"{path}/grams")
+        by_term(trigram_blocks(df, key, column), "keys", "gram").write.parquet(f"{path}/grams")
         return df.count()
 
-    return published(df.sparkSession, table, ("trigrams", key, column), build)
+    return published(df.sparkSession, table, ("trigram blocks", key, column), build)
 
 
 def substring_search(built: Built, df: DataFrame, key: str, column: str, wanted: str) -> DataFrame:
@@ -294,8 +309,9 @@ def substring_search(built: Built, df: DataFrame, key: str, column: str, wanted:
     if len(low) < 3:
         return df.where(has).select(key)
     grams = sorted({low[i : i + 3] for i in range(len(low) - 2)})
-    held = built.table(df.sparkSession, "grams").where(F.col("gram").isin(*grams)).groupBy(key).agg(F.count("*").alias("n"))
-    return df.join(held.where(F.col("n") == len(grams)), key, "left_semi").where(has).select(key)
+    own = built.table(df.sparkSession, "grams").where(F.col("gram").isin(*grams)).select("gram", F.explode("keys").alias("__key")).distinct()
+    held = own.groupBy("__key").agg(F.count("*").alias("n")).where(F.col("n") == len(grams))
+    return df.join(held, F.col(key).eqNullSafe(F.col("__key")), "left_semi").where(has).select(key)
 
 
 # ---- vectors -------------------------------------------------------------------------------------------------------

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.operators import indexes as I
+from lodestrata.operators import search
 from lodestrata.sources import lake
 
 WORDS = I.Words((("text", 0.1),))
@@ -143,3 +144,20 @@ def test_two_builders_at_once(spark):
     again = I.word_index(df, "k", WORDS, path)
     assert again in got
     assert I.word_index(df, "k", I.Words((("text", 0.1),), stem=False), path).path != again.path
+
+
+def test_terms_are_grouped_where_rows_are_read(spark, monkeypatch):
+    """No row a token, stems with it, a repeated key as one, slices of any size; blocks of trigrams hold several keys, repeated and null ones too."""
+    monkeypatch.setattr(search, "TOKENS_AT_ONCE", 3)
+    rows = [(1, "taxes tax the taxing", "a"), (2, None, "tax"), (3, "", ""), (1, "tax", "b"), (None, "x tax", None)]
+    df = spark.createDataFrame(rows, "k long, text string, head string").coalesce(1)
+    placed = search.placed_terms(df, "k", {"text": 0.1, "head": 1.0}, stem=True)
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
+    room = search.FIELD_ROOM
+    got = sorted((r.k or 0, r.term, r.weight, r.positions) for r in search.postings(df, "k", {"text": 0.1, "head": 1.0}, stem=True).collect())
+    assert got == [(0, "tax", 0.1, [1]), (0, "x", 0.1, [0]), (1, "b", 1.0, [room]), (1, "tax", 0.1, [0, 0, 1, 3]), (2, "tax", 1.0, [room])]
+    df, path = place(spark, df)
+    built = I.trigram_index(df, "k", "text", path)
+    assert max(len(r["keys"]) for r in built.table(spark, "grams").collect()) > 1
+    assert sorted(r.k or 0 for r in I.substring_search(built, df, "k", "text", "TAX").collect()) == [0, 1, 1]
