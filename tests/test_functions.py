@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from lodestrata.functions import normalize, parse, similarity, text
@@ -62,3 +64,14 @@ def test_similarity(spark):
     assert one(spark, similarity.overlap(array(1, 2, 3), array(3))) == 1 / 3
     assert abs(one(spark, similarity.cosine(array(1.0, 0.0), array(1.0, 1.0))) - 0.5**0.5) < 1e-12
     assert one(spark, similarity.cosine(array(0.0), array(1.0))) is None
+
+
+def test_entities_by_pieces_are_those_of_the_pattern():
+    """Random strings of what entities are made of: pieces between ampersands give what the pattern gives, and known ones aren't matched again."""
+    rng = random.Random(5)
+    parts = ["&", "#", "x", "X", ";", "amp", "LT", "65", "0041", "00000000000000000000000000000041", "d800", "110000", "nope", " ", "é", "&amp;", "&#65;"]
+    for _ in range(5_000):
+        s = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
+        assert text._decoded(s) == text._ENTITY.sub(text._character, s)
+    was = len(text._pieces)
+    assert text._decoded("&#66;" * 1_000) == "B" * 1_000 and len(text._pieces) <= was + 1
