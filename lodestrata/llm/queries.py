@@ -48,7 +48,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    records = warc.parse_records(warc.record_bytes(warc.read_archive(spark, warc.write_archive(pages))))
+    records = warc.parse_records(warc.record_bytes(warc.read_archive(spark, warc.write_archive(pages), repeated=False)))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

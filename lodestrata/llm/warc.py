@@ -1,15 +1,13 @@
 """WARC as a content-addressed archive: payload bytes once per strong digest, record headers apart, records by join.
 
-`write_archive` stores two Parquet tables in one folder:
+`write_archive` stores one Parquet table, payloads: seq, address (SHA-256 of the payload, hex), header (the exact bytes of each record before its
+payload: the WARC header with its empty line, and of a response the HTTP head with its own) and, of responses alone, payload. What is
+revisited is there once.
 
-- payloads: address (SHA-256, hex), payload. Each distinct payload once.
-- headers: seq, address, header: the exact bytes of each record before its payload: the WARC header with its empty line, and of
-  a response the HTTP head with its own.
-
-`read_archive` joins them on the address and verifies that the payload has that SHA-256, that its
-SHA-1 is the header's WARC-Payload-Digest and that the header's length is right; `record_bytes`
+`read_archive` verifies that each payload has that SHA-256, that its SHA-1 is the header's WARC-Payload-Digest and that the
+header's length is right, and joins the revisits to the responses on the address; `record_bytes`
 gives the WARC/1.1 record back, byte for byte, and `parse_records` takes such records apart again, by their bytes alone. A response record holds its payload; a revisit record
-has an empty block and names the record that it repeats, and its payload still comes from the join.
+has an empty block and names the record that it repeats, and its payload comes from the join where it is asked for.
 
 Of records with equal payloads of at least `min_revisit` bytes the one with the smallest page_id (null
 last; of repeated rows one) is the response and the others are revisits of it.
@@ -29,8 +27,7 @@ from lodestrata.llm.common import materialize, table_path
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
 WARC_DATE = "2024-01-01T00:00:00Z"
-HEADER_SCHEMA = "seq long, address string, header binary"
-PAYLOAD_SCHEMA = "address string, payload binary"
+RECORD_SCHEMA = "seq long, address string, header binary, payload binary"
 MIN_REVISIT = 0
 
 
@@ -62,22 +59,22 @@ def write_archive(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> str:
     path = table_path(spark, "warc")
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     addressed = pages.select(F.monotonically_increasing_id().alias("seq"), "page_id", "url", payload.alias("payload"))
-    digests = materialize(
-        addressed.select(
-            "seq",
-            "page_id",
-            # Line ends would end the header field.
-            F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")).alias("url"),
-            sha1_base32(F.concat(http_head(F.length("payload")), "payload")).alias("block_sha1"),
-            F.sha2("payload", 256).alias("address"),
-            sha1_base32(F.col("payload")).alias("sha1"),
-            F.length("payload").cast("long").alias("length"),
-        ),
-        "warc-digests",
+    address = F.sha2("payload", 256).alias("address")
+    digests = addressed.select(
+        "seq",
+        "page_id",
+        # Line ends would end the header field.
+        F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")).alias("url"),
+        sha1_base32(F.concat(http_head(F.length("payload")), "payload")).alias("block_sha1"),
+        address,
+        sha1_base32(F.col("payload")).alias("sha1"),
+        F.length("payload").cast("long").alias("length"),
+        "payload",
     )
     first = F.min(F.struct(F.col("page_id").isNull().alias("no_id"), F.col("page_id"), F.col("seq")))
-    # Written, so that the join below has an exchange on both sides and a hot address can be split.
-    owners = materialize(digests.groupBy("address").agg(first.alias("owner")).select("address", F.col("owner.seq").alias("owner_seq"), F.col("owner.page_id").alias("owner_page")), "warc-owners")
+    # Written, so that the join below has an exchange on both sides and a hot address can be split. pages must give the same rows whenever they are read.
+    owned = addressed.select("seq", "page_id", address).groupBy("address").agg(first.alias("owner"))
+    owners = materialize(owned.select("address", F.col("owner.seq").alias("owner_seq"), F.col("owner.page_id").alias("owner_page")), "warc-owners")
     repeats = (F.col("length") >= min_revisit) & (F.col("seq") != F.col("owner_seq"))
     kind = F.when(repeats, "revisit").otherwise("response")
     field = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
@@ -104,13 +101,9 @@ def write_archive(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> str:
         F.lit(CRLF),
         F.when(~repeats, F.decode(http_head(F.col("length")), "UTF-8")).otherwise(""),
     )
-    digests.join(owners, "address").select("seq", "address", F.encode(header, "UTF-8").alias("header")).write.parquet(f"{path}/headers")
-    (
-        addressed.select(F.sha2("payload", 256).alias("address"), "payload")
-        .groupBy("address")
-        .agg(F.first("payload").alias("payload"))
-        .write.parquet(f"{path}/payloads")
-    )
+    # Payloads go through one shuffle, with what their headers need.
+    records = digests.join(owners, "address").select("seq", "address", F.encode(header, "UTF-8").alias("header"), F.when(~repeats, F.col("payload")).alias("payload"))
+    records.write.option("compression", "zstd").parquet(f"{path}/payloads")
     return path
 
 
@@ -120,24 +113,26 @@ def header_field(header: Column, name: str) -> Column:
     return F.when(header.rlike(line), F.regexp_extract(header, line, 1))
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """seq, header, payload and the fields of every record, verified."""
-    headers = spark.read.schema(HEADER_SCHEMA).parquet(f"{path}/headers")
-    payloads = spark.read.schema(PAYLOAD_SCHEMA).parquet(f"{path}/payloads")
+def read_archive(spark: SparkSession, path: str, repeated: bool = True) -> DataFrame:
+    """seq, header, payload and the fields of every record, verified. Without `repeated`, revisits have no payload: then digests and lengths alone are joined."""
+    records = spark.read.schema(RECORD_SCHEMA).parquet(f"{path}/payloads")
     text = F.decode("header", "UTF-8")
-    named = headers.select(
+    named = records.select(
         "seq",
         "header",
         "address",
+        "payload",
         *[header_field(text, f).alias(c) for f, c in (("WARC-Type", "record_type"), ("X-Page-Id", "page"), ("X-Refers-To-Page-Id", "refers"), ("WARC-Target-URI", "url"), ("WARC-Payload-Digest", "digest"), ("X-Payload-Length", "said_length"))],
     )
-    sound = (
-        F.col("payload").isNotNull()
-        & (F.sha2("payload", 256) == F.col("address"))
-        & (F.concat(F.lit("sha1:"), sha1_base32(F.col("payload"))) == F.col("digest"))
-        & (F.length("payload") == F.col("said_length").cast("long"))
-    )
-    return named.join(payloads, "address", "left").select(
+    facts = [F.sha2("payload", 256).alias("real"), sha1_base32(F.col("payload")).alias("sha1"), F.length("payload").cast("long").alias("length")]
+    own = named.where(F.col("payload").isNotNull()).select("*", *facts)
+    held = records.where(F.col("payload").isNotNull()).select("address", *facts, *(["payload"] if repeated else []))
+    once = held.groupBy("address").agg(*[F.first(c).alias(c) for c in held.columns if c != "address"])
+    others = named.where(F.col("payload").isNull()).drop("payload").join(once, "address", "left")
+    if not repeated:
+        others = others.withColumn("payload", F.lit(None).cast("binary"))
+    sound = (F.col("real") == F.col("address")) & (F.concat(F.lit("sha1:"), "sha1") == F.col("digest")) & (F.col("length") == F.col("said_length").cast("long"))
+    return own.unionByName(others).select(
         "seq",
         "header",
         "payload",
@@ -145,7 +140,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         F.when(sound, F.col("record_type")).otherwise(F.raise_error(F.concat(F.lit("archive record fails verification: "), F.col("seq").cast("string")))).alias("record_type"),
         F.when(F.col("page") != "", F.col("page").cast("long")).alias("page_id"),
         F.when(F.col("refers") != "", F.col("refers").cast("long")).alias("refers_to"),
-        F.length("payload").cast("long").alias("payload_bytes"),
+        F.col("said_length").cast("long").alias("payload_bytes"),
         F.substring("digest", 6, 32).alias("payload_digest"),
     )
 

@@ -643,6 +643,19 @@ def test_archive_round_trip(spark):
     assert warc.parse_records(warc.record_bytes(warc.read_archive(spark, warc.write_archive(more)))).count() == len(rows)
 
 
+def test_payloads_are_shuffled_once(spark):
+    """Reading for records moves no payload, and a revisit whose response is gone is refused."""
+    pages = spark.createDataFrame([(1, "u", "same"), (2, "u", "same"), (3, "u", None)], "page_id long, url string, html string")
+    path = warc.write_archive(pages)
+    records = warc.read_archive(spark, path, repeated=False)
+    assert sorted((r.page_id, r.record_type, r.payload and bytes(r.payload)) for r in records.collect()) == [(1, "response", b"same"), (2, "revisit", None), (3, "response", b"")]
+    plan = records._jdf.queryExecution().optimizedPlan().toString()
+    assert "first(payload" not in plan and spark.read.parquet(f"{path}/payloads").where("payload is not null").count() == 2
+    spark.read.parquet(f"{path}/payloads").where("payload is null").write.parquet(f"{path}/cut/payloads")
+    with pytest.raises(Exception, match="fails verification"):
+        warc.read_archive(spark, f"{path}/cut", repeated=False).select("record_type").collect()
+
+
 def test_damaged_archives_are_refused(spark):
     pages = spark.createDataFrame([(1, "u", "a"), (2, "u", "b")], "page_id long, url string, html string")
     path = warc.write_archive(pages)
