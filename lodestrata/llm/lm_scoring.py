@@ -14,8 +14,8 @@ Both tables are bounded by the tokenizer's vocabulary times `TOP` or `GROUPS`, w
 
 Windows of 2 * `BLOCK` positions overlap by half: each token is scored once, in the later half of its window, with at
 least `BLOCK` positions before it (from the text's beginning on). Attention trains in `ROUNDS` data-parallel rounds. In each round
-one window in `one_window_in(ids)`, drawn by a hash of what is in it from any position of any training text, takes part, so what is learned
-from grows with the corpus; partitions train from the same weights and Spark averages them.
+one window in ROUNDS, drawn by a hash of what is in it, takes part, so every window of every training text trains
+once; partitions train from the same weights and Spark averages them.
 
 Data flow: count all words (partial counts per slice, one shuffle of distinct words); read every text once more for its ids
 and its base terms, written to the shared folder; count pairs of neighbouring ids; train; score. Frequent words' base terms are broadcast (at most
@@ -49,6 +49,8 @@ from lodestrata.llm.packing import TOKENIZER, gathered, portions, word_ids
 HEAD, TOP, GROUPS, DIM, BLOCK = 262_144, 64, 64, 16, 16
 #: Training: rounds, blocks of a step, step size, ids that a partition trains on in all rounds, rows of weights that are averaged together.
 ROUNDS, BATCH, RATE, TRAINER_IDS, WEIGHT_ROWS = 2, 64, 0.01, 800_000, 1_024
+#: Partitions that train apart at most, so that what is averaged doesn't grow with the corpus.
+TRAINERS = 256
 #: How many turns of the less specific share the counts of a turn lean on.
 LEAN = 4.0
 #: Bytes of text and ids that a task works on at once, and blocks that are scored at once.
@@ -487,8 +489,8 @@ def _with_rows(model: Attention, rows: np.ndarray) -> Attention:
 
 
 def one_window_in(n_ids: int) -> int:
-    """A round takes one window in so many: all of them up to a million ids, then ever less, so that what is trained on grows as the cube root of the corpus."""
-    return max(1, math.ceil((n_ids / 1e6) ** (2 / 3)))
+    """A round takes one window in so many, whatever the corpus's size: each window of each training text trains in one of the ROUNDS."""
+    return ROUNDS
 
 
 def train_on_all(ids: DataFrame, vocab: Vocabulary, model: Attention, n_ids: int, one_in: int) -> Attention:
@@ -514,9 +516,9 @@ def train_on_all(ids: DataFrame, vocab: Vocabulary, model: Attention, n_ids: int
                         row = ([r], [keys[chosen].astype("<i4").tobytes()], [goal[chosen].astype("<i4").tobytes()])
                         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["turn", "keys", "goals"])
 
-    # Drawn where the texts are read, by as many tasks as there are; only what is drawn goes on to the few trainers.
-    drawn = materialize(ids.select("ids").mapInArrow(draw, "turn int, keys binary, goals binary"), "lm-windows")
-    trainers = max(1, round(n_ids * ROUNDS / one_in / TRAINER_IDS))
+    # Windows are made where they train: written, all of them would be larger than the texts.
+    drawn = ids.select("ids").mapInArrow(draw, "turn int, keys binary, goals binary")
+    trainers = min(TRAINERS, max(1, round(n_ids * ROUNDS / one_in / TRAINER_IDS)))
 
     def total(frames: pd.DataFrame) -> pd.DataFrame:
         sums, weights = np.zeros((WEIGHT_ROWS, DIM)), np.zeros(WEIGHT_ROWS)

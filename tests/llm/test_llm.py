@@ -328,6 +328,10 @@ def test_draws_share_out_all_windows():
     assert all(b > 3 * a for a, b in zip(grows, grows[1:], strict=False))
 
 
+def test_every_window_trains_once_whatever_the_size():
+    assert {lm_scoring.one_window_in(n) for n in (0, 10, 10**6, 10**8, 10**10, 10**12)} == {lm_scoring.ROUNDS}
+
+
 def test_long_texts_in_spans_and_stretches(spark, monkeypatch):
     """Spans of text and stretches of ids change neither counts nor scores; a word of a million characters goes through."""
     rng = np.random.default_rng(8)
