@@ -38,3 +38,12 @@ def interleaved(arms: list[DataFrame], key: str, rank: str, limit: int) -> DataF
     )
     best = placed.groupBy(key).agg(F.min(F.struct("place", "arm")).alias("best"))
     return best.select(key, F.col("best.arm").alias("arm"), F.col("best.place").alias("place")).orderBy("place").limit(limit)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df by keys over all of spark.sql.shuffle.partitions.
+
+    Adaptive execution merges the partitions of a shuffle up to 64 MB of compressed bytes, which is gigabytes of hash tables and sort
+    buffers where rows are narrow; partitions of a given number are left as they are.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -7,30 +7,34 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.operators import relational as rel
+
 
 def ladder(left: DataFrame, right: DataFrame, key: str, found: str, passes: list[tuple[list[Column], list[Column], bool]]) -> DataFrame:
     """key, the id that the first successful pass found, and the pass (from 1).
 
     A pass is (expressions of left, expressions of right, unique): rows join where all are equal. Of several
-    candidates the smallest id is taken, or none if the pass must be unique. Each pass is one left equi-join of aggregated
-    candidates with rows that no pass before resolved, so a frequent key doesn't multiply rows. Equal rows of left count once; of
-    different rows with one key the first resolved, else the smallest id, is the answer.
+    candidates the smallest id is taken, or none if the pass must be unique. Each pass is one inner equi-join of aggregated
+    candidates with left, so a frequent key doesn't multiply rows, and rows with a null in a pass's expressions, which would all
+    meet in one task, stay out of it. Of different rows with one key the first resolved, else the smallest id, is the answer.
     """
-    terms = {(i, j): e.alias(f"__{i}_{j}") for i, (mine, _, _) in enumerate(passes) for j, e in enumerate(mine)}
-    out = left.select(key, *terms.values()).distinct().select("*", F.lit(None).cast(right.schema[found].dataType).alias("__found"), F.lit(None).cast("int").alias("__pass"))
+    kind = right.schema[found].dataType
+    at = [f"__at_{i}" for i in range(len(passes))]
+    none = {c: F.lit(None).cast(kind) for c in at}
+    parts = [left.select(F.col(key).alias("__key"), *[v.alias(c) for c, v in none.items()])]
     for i, (mine, theirs, unique) in enumerate(passes):
-        names = [f"__k{j}" for j in range(len(mine))]
+        names, terms = [f"__k{j}" for j in range(len(mine))], [f"__t{j}" for j in range(len(mine))]
         side = right.select(*[e.alias(n) for e, n in zip(theirs, names, strict=True)], F.col(found).alias("__id"))
-        side = side.groupBy(*names).agg(F.min("__id").alias("__id"), F.count("*").alias("__n"))
+        side = side.where(reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names]))
+        side = rel.dealt(side, *names).groupBy(*names).agg(F.min("__id").alias("__id"), F.count("*").alias("__n"))
         side = side.where("__n = 1") if unique else side
-        equal = reduce(lambda a, b: a & b, [F.col(f"__{i}_{j}") == F.col(n) for j, n in enumerate(names)])
-        got = F.col("__found").isNull() & F.col("__id").isNotNull()
-        out = out.join(side.drop("__n"), equal & F.col("__found").isNull(), "left").withColumns(
-            {"__pass": F.when(got, i + 1).otherwise(F.col("__pass")), "__found": F.coalesce("__found", "__id")}
-        ).drop("__id", *names)
-    best = F.min(F.struct(F.coalesce("__pass", F.lit(len(passes) + 1)).alias("p"), F.col("__found").alias("f")))
-    one = out.groupBy(key).agg(best.alias("__best"))
-    return one.select(key, F.col("__best.f").alias(found), F.nullif(F.col("__best.p"), F.lit(len(passes) + 1)).alias("pass"))
+        equal = reduce(lambda a, b: a & b, [F.col(t) == F.col(n) for t, n in zip(terms, names, strict=True)])
+        got = left.select(F.col(key).alias("__key"), *[e.alias(t) for e, t in zip(mine, terms, strict=True)]).join(side, equal)
+        parts.append(got.select("__key", *[(F.col("__id") if c == at[i] else v).alias(c) for c, v in none.items()]))
+    rows = rel.dealt(reduce(DataFrame.unionByName, parts), "__key")
+    one = rows.groupBy("__key").agg(*[F.min(c).alias(c) for c in at])
+    turn = reduce(lambda rest, i: F.when(F.col(at[i]).isNotNull(), i + 1).otherwise(rest), reversed(range(len(passes))), F.lit(None).cast("int"))
+    return one.select(F.col("__key").alias(key), F.coalesce(*at).alias(found), turn.alias("pass"))
 
 
 def pct(a: Column, b: Column) -> Column:

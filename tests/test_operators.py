@@ -1,5 +1,6 @@
 import random
 import re
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -138,6 +139,43 @@ def test_ladder_on_repeated_and_null_keys(spark):
     assert got == {1: (9, 1), 2: (20, 2), 3: (None, None), 4: (30, 1)}
 
 
+def most_rows_of_a_task(spark, df):
+    """How many rows the largest task of df reads from shuffles."""
+    sc, group = spark.sparkContext, uuid.uuid4().hex
+    sc.setJobGroup(group, group)
+    df.write.format("noop").mode("overwrite").save()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup(group) for s in sc.statusTracker().getJobInfo(j).stageIds}
+    tasks = [q.apply(i) for q in (sc._jsc.sc().statusStore().taskList(s, 0, 10_000) for s in stages) for i in range(q.size())]
+    return max(t.taskMetrics().get().shuffleReadMetrics().recordsRead() for t in tasks if t.taskMetrics().isDefined())
+
+
+def test_ladder_deals_rows_without_terms(spark):
+    from lodestrata.operators import resolve
+
+    left = spark.range(8_000).select("id", F.when(F.col("id") % 100 == 0, F.col("id")).alias("p"), F.when(F.col("id") % 100 == 1, F.col("id")).alias("q"))
+    right = spark.range(8_000).select((F.col("id") + 10_000).alias("found"), F.col("id").alias("p"), F.col("id").alias("q"))
+    passes = [([F.col(c)], [F.col(c)], True) for c in "pq"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = resolve.ladder(left, right, "id", "found", passes)
+        got = {r.id: (r.found, r["pass"]) for r in df.collect()}
+        most = most_rows_of_a_task(spark, df)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {i: (i + 10_000, i % 100 + 1) if i % 100 < 2 else (None, None) for i in range(8_000)}
+    assert most < 4_000  # of 4 tasks
+
+
+def test_ladder_joins_what_is_not_a_number(spark):
+    from lodestrata.operators import resolve
+
+    nan = float("nan")
+    left, right = spark.createDataFrame([(1, nan), (2, None)], "k int, p double"), spark.createDataFrame([(10, nan), (11, None)], "id int, p double")
+    got = resolve.ladder(left, right, "k", "id", [([F.col("p")], [F.col("p")], True)])
+    assert rows(got) == [(1, 10, 1), (2, None, None)]
+
+
 def test_verdict_of_empty_sides(spark):
     from lodestrata.operators import resolve
 
