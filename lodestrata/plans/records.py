@@ -606,7 +606,7 @@ def lifecycle_days(t: Tables) -> DataFrame:
 @query("select a.l_suppkey as a, b.l_suppkey as b, count(*) as together from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_suppkey < b.l_suppkey group by 1, 2 having count(*) >= 20")
 def cosponsor_pairs(t: Tables) -> DataFrame:
     # Pairs within one order, which has a handful of lines: no group grows with the data.
-    lines = t.lineitem.select("l_orderkey", "l_suppkey")
+    lines = rel.dealt(t.lineitem.select("l_orderkey", "l_suppkey"), "l_orderkey")
     other = lines.select("l_orderkey", F.col("l_suppkey").alias("b"))
     both = lines.withColumnRenamed("l_suppkey", "a").join(other, "l_orderkey").where("a < b")
     return both.groupBy("a", "b").agg(F.count("*").alias("together")).where("together >= 20")

@@ -167,6 +167,17 @@ def test_ladder_deals_rows_without_terms(spark):
     assert most < 4_000  # of 4 tasks
 
 
+def test_pairs_of_an_order_are_made_in_all_tasks(spark, tmp_path):
+    spark.range(6_000).select((F.col("id") / 3).cast("long").alias("l_orderkey"), (F.col("id") % 3).alias("l_suppkey")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = plans.QUERIES["cosponsor_pairs"](spark, str(tmp_path))
+        assert rows(df) == [(0, 1, 2_000), (0, 2, 2_000), (1, 2, 2_000)]
+        assert most_rows_of_a_task(spark, df) < 6_000  # 12,000 rows meet in 4 tasks
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_ladder_joins_what_is_not_a_number(spark):
     from lodestrata.operators import resolve
 
