@@ -349,6 +349,21 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _distinct(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of values under n, in order, and which of them each value is."""
+    met = np.zeros(n, bool)
+    met[values] = True
+    found, place = np.flatnonzero(met), np.empty(n, np.int32)
+    place[found] = np.arange(len(found), dtype=np.int32)
+    return found, place[values]
+
+
+def _summed(rows: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """The sum of each owner's rows."""
+    at = owner.astype(np.int64)[:, None] * DIM + np.arange(DIM)
+    return np.bincount(at.ravel(), weights=rows.ravel(), minlength=n * DIM).reshape(n, DIM).astype(np.float32)
+
+
 class Scorer:
     """The layer ready to score: its projections of every index are made once."""
 
@@ -404,15 +419,15 @@ class Trainer:
 
     def step(self, k: np.ndarray, t: np.ndarray, rate: float) -> None:
         model, vocab, pad = self.model, self.vocab, len(self.model.tokens) - 1
-        used, inverse = np.unique(k, return_inverse=True)
-        inverse = inverse.reshape(k.shape)
-        ek = model.tokens[used][inverse]
-        eq = ek[:, BLOCK:]
-        q, kk, v = eq @ model.wq, ek @ model.wk, ek @ model.wv
+        used, inverse = _distinct(k, len(model.tokens))
+        ek = model.tokens.take(k, 0)
+        eq = np.ascontiguousarray(ek[:, BLOCK:])
+        times = lambda x, w: (x.reshape(-1, DIM) @ w).reshape(x.shape)  # noqa: E731  one product for all windows
+        q, kk, v = times(eq, model.wq), times(ek, model.wk), times(ek, model.wv)
         scores = q @ kk.transpose(0, 2, 1) * _SCALE + np.where(_CAUSAL, model.bias[_BACK], _NEVER)
         scores += np.where(k == pad, _NEVER, np.float32(0))[:, None, :]
         a = _softmax(scores.astype(np.float32))
-        h = a @ v + eq @ model.wr
+        h = a @ v + times(eq, model.wr)
         real = np.flatnonzero((t >= 0) & (t < vocab.n))
         if not len(real):
             return
@@ -424,12 +439,12 @@ class Trainer:
         width = vocab.top.shape[1]
         table = np.zeros((len(goals), width), np.float32)
         table[owner, nodes] = slope(z, turns)
-        dhr, dfirst, met = table @ model.nodes[:width], table.T @ hr, np.unique(nodes)
+        dhr, dfirst, met = table @ model.nodes[:width], table.T @ hr, np.flatnonzero(np.bincount(nodes, minlength=width))
         owner, nodes, turns, z = late
-        weight, order = slope(z, turns)[:, None], np.argsort(nodes, kind="stable")
-        np.add.at(dhr, owner, weight * model.nodes[nodes])
-        passed, begin = np.unique(nodes[order], return_index=True)
-        for at, grad in ((met, dfirst[met]), (passed, np.add.reduceat((weight * hr[owner])[order], begin) if len(passed) else None)):
+        weight = slope(z, turns)[:, None]
+        dhr += _summed(weight * model.nodes.take(nodes, 0), owner, len(goals))
+        passed, place = _distinct(nodes, len(model.nodes))
+        for at, grad in ((met, dfirst[met]), (passed, _summed(weight * hr.take(owner, 0), place, len(passed)))):
             if len(at):
                 self.seen["nodes"][at] += 1
                 self._move("nodes", at, grad, rate)
@@ -444,21 +459,29 @@ class Trainer:
         flat = lambda x: x.reshape(-1, DIM)
         grad["wq"], grad["wr"] = flat(eq).T @ flat(dq), flat(eq).T @ flat(dh)
         grad["wk"], grad["wv"] = flat(ek).T @ flat(dk), flat(ek).T @ flat(dv)
-        dek = dk @ model.wk.T + dv @ model.wv.T
-        dek[:, BLOCK:] += dq @ model.wq.T + dh @ model.wr.T
-        dtokens = np.zeros((len(used), DIM), np.float32)
-        np.add.at(dtokens, inverse.ravel(), flat(dek))
+        dek = times(dk, model.wk.T) + times(dv, model.wv.T)
+        dek[:, BLOCK:] += times(dq, model.wq.T) + times(dh, model.wr.T)
+        dtokens = _summed(flat(dek), inverse.ravel(), len(used))
         self.seen["tokens"][used] += 1
         self._move("tokens", used, dtokens, rate)
         for n in _DENSE:
-            self._move(n, ..., grad[n], rate)
-
-    def _move(self, name: str, at, grad: np.ndarray, rate: float) -> None:
-        first, second = self.first[name], self.second[name]
-        first[at] += 0.1 * (grad - first[at])
-        second[at] += 0.01 * (grad**2 - second[at])
-        move = first[at] / (1 - 0.9**self.steps) / (np.sqrt(second[at] / (1 - 0.99**self.steps)) + 1e-6)
-        getattr(self.model, name)[at] -= (rate * move).astype(np.float32)
+            self._move(n, np.arange(len(grad[n])), grad[n], rate)
+
+    def _move(self, name: str, at: np.ndarray, grad: np.ndarray, rate: float) -> None:
+        # Each row is read once and written once; what is read by numbers is a copy.
+        first, second = self.first[name][at], self.second[name][at]
+        first += 0.1 * (grad - first)
+        grad = grad * grad
+        grad -= second
+        grad *= 0.01
+        second += grad
+        self.first[name][at], self.second[name][at] = first, second
+        second /= 1 - 0.99**self.steps
+        np.sqrt(second, out=second)
+        second += 1e-6
+        first *= rate / (1 - 0.9**self.steps)
+        first /= second
+        getattr(self.model, name)[at] -= first
 
 
 def _rates(turn: int) -> tuple[float, float]:

@@ -278,6 +278,38 @@ def test_training_lowers_the_loss():
     assert loss(trainer.model) < 0.5 * before
 
 
+def test_rows_move_by_their_own_moments():
+    rng = np.random.default_rng(5)
+    vocab = small_vocabulary(14, rng)
+    trainer = lm_scoring.Trainer(vocab, lm_scoring.untrained(vocab))
+    moments = {n: [np.array(getattr(trainer.model, n), float), 0.0, 0.0] for n in ("nodes", "bias")}
+    for step in range(1, 4):
+        trainer.steps = step
+        for name, (weights, first, second) in moments.items():
+            grad = np.zeros(weights.shape, np.float32)
+            at = np.arange(len(weights)) if name == "bias" else np.array([0, 3, 5])
+            grad[at] = rng.standard_normal(grad[at].shape)
+            given = grad[at].copy()
+            trainer._move(name, at, given, 0.02)
+            assert (given == grad[at]).all()
+            first, second = first * 0.9 + 0.1 * grad, second * 0.99 + 0.01 * grad.astype(float) ** 2
+            weights = weights - 0.02 * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
+            moments[name] = [weights, first, second]
+            assert np.allclose(getattr(trainer.model, name), weights, atol=1e-5)
+
+
+def test_sums_of_rows_by_owner():
+    rng = np.random.default_rng(6)
+    values = rng.integers(0, 50, (40, 8))
+    found, place = lm_scoring._distinct(values, 60)
+    assert found.tolist() == np.unique(values).tolist() and (found[place] == values).all()
+    rows = rng.standard_normal((values.size, lm_scoring.DIM)).astype(np.float32)
+    want = np.zeros((len(found), lm_scoring.DIM))
+    np.add.at(want, place.ravel(), rows)
+    assert np.allclose(lm_scoring._summed(rows, place.ravel(), len(found)), want, atol=1e-5)
+    assert lm_scoring._summed(rows[:0], place.ravel()[:0], 3).tolist() == np.zeros((3, lm_scoring.DIM)).tolist()
+
+
 def test_gradients_by_differences():
     rng = np.random.default_rng(2)
     vocab = small_vocabulary(14, rng)
