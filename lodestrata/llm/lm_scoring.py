@@ -523,24 +523,6 @@ def train_on_all(ids: DataFrame, vocab: Vocabulary, model: Attention, n_ids: int
     took part in, and their mean begins the next round.
     """
     spark = ids.sparkSession
-    sent_vocab = spark.sparkContext.broadcast(vocab)
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent_vocab.value
-        pad = own.n + 2
-        for batch in batches:
-            for _, inputs, targets, lengths in stretches(batch.column("ids"), id_type(own.end), own.n + 1, int(own.place[own.end]), own.place):
-                laid, goal, _, begins = blocks(inputs, targets, lengths, pad)
-                turn = draws(laid) % np.uint64(one_in)
-                keys = windows(laid, begins, pad)
-                for r in range(ROUNDS):
-                    chosen = turn == r % one_in
-                    if chosen.any():
-                        row = ([r], [keys[chosen].astype("<i4").tobytes()], [goal[chosen].astype("<i4").tobytes()])
-                        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["turn", "keys", "goals"])
-
-    # Windows are made where they train: written, all of them would be larger than the texts.
-    drawn = ids.select("ids").mapInArrow(draw, "turn int, keys binary, goals binary")
     trainers = min(TRAINERS, max(1, round(n_ids * ROUNDS / one_in / TRAINER_IDS)))
 
     def total(frames: pd.DataFrame) -> pd.DataFrame:
@@ -556,11 +538,14 @@ def train_on_all(ids: DataFrame, vocab: Vocabulary, model: Attention, n_ids: int
 
         def learn(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
             own, layer = sent.value
-            trainer, rng = Trainer(own, layer), np.random.default_rng(SEED)
+            trainer, rng, pad = Trainer(own, layer), np.random.default_rng(SEED), own.n + 2
+            # Windows are made where they train: written, all of them would be larger than the texts.
             for batch in batches:
-                for keys, goals in zip(batch.column("keys").to_pylist(), batch.column("goals").to_pylist(), strict=True):
-                    k, t = np.frombuffer(keys, "<i4").reshape(-1, 2 * BLOCK), np.frombuffer(goals, "<i4").reshape(-1, BLOCK)
-                    trainer.epoch(k, t, _rates(turn), rng)
+                for _, inputs, targets, lengths in stretches(batch.column("ids"), id_type(own.end), own.n + 1, int(own.place[own.end]), own.place):
+                    laid, goal, _, begins = blocks(inputs, targets, lengths, pad)
+                    chosen = draws(laid) % np.uint64(one_in) == np.uint64(turn % one_in)
+                    if chosen.any():
+                        trainer.epoch(windows(laid, begins, pad)[chosen], goal[chosen], _rates(turn), rng)
             rows = _rows(trainer.model)
             sparse = np.concatenate([trainer.seen[n] for n in _SPARSE])
             weight = np.concatenate([np.full(len(rows) - len(sparse), float(trainer.steps)), sparse])
@@ -577,7 +562,7 @@ def train_on_all(ids: DataFrame, vocab: Vocabulary, model: Attention, n_ids: int
                         }
                     )
 
-        parts = drawn.where(F.col("turn") == turn).select("keys", "goals").coalesce(trainers).mapInArrow(learn, "chunk int, at array<int>, weight array<float>, rows array<float>")
+        parts = ids.select("ids").coalesce(trainers).mapInArrow(learn, "chunk int, at array<int>, weight array<float>, rows array<float>")
         rows = _rows(model)
         for r in parts.groupBy("chunk").applyInPandas(total, "chunk int, at array<int>, rows array<double>").toPandas().itertuples():
             rows[np.asarray(r.at) + r.chunk * WEIGHT_ROWS] = np.asarray(r.rows).reshape(-1, DIM)
