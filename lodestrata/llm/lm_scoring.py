@@ -123,6 +123,7 @@ class Vocabulary:
     def __post_init__(self):
         owner = np.repeat(np.arange(len(self.depth)), self.depth)
         self.early = np.bincount(owner[self.nodes < self.top.shape[1]], minlength=len(self.depth)).astype(np.int32)
+        self.late_begin, self.late_depth = self.begin + self.early, self.depth - self.early
 
     @property
     def n(self) -> int:
@@ -135,24 +136,48 @@ class Vocabulary:
         where = np.arange(len(owner), dtype=np.int32) + (self.begin[goals] - (np.cumsum(depth) - depth)).astype(np.int32)[owner]
         return owner, self.nodes[where], self.turns[where]
 
-    def halves(self, h: np.ndarray, weights: np.ndarray, before: np.ndarray, goals: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """The turns on the paths of goals: which goal, node, turn, and the log odds of a turn of 1 there: the prior, and h times the node's weights.
+    def first_turns(self) -> tuple[np.ndarray, np.ndarray]:
+        """The turns of each index at the TOP nodes, a row each: nodes and turns. A shorter row repeats its last turn."""
+        if not len(self.nodes):
+            return np.zeros((len(self.depth), 1), np.int64), np.zeros((len(self.depth), 1), np.float32)
+        where = self.begin[:, None] + np.minimum(np.arange(self.early.max()), self.early[:, None] - 1)
+        return self.nodes[where].astype(np.int64), self.turns[where]
 
-        Nodes' numbers grow along a path, so first come the turns at the TOP nodes, for which one product does for all, then the others.
+    def late(self, h: np.ndarray, weights: np.ndarray, before: np.ndarray, goals: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The turns of goals at the other nodes: which goal, node, turn, the rows of h and of weights that meet there, and the log odds of a turn of 1.
+
+        Nodes' numbers grow along a path, so they are what comes after the turns at the TOP nodes.
         """
-        width, early = self.top.shape[1], self.early[goals]
-        first = h @ weights[:width].T
-        first += self.top[before]
-        for begin, depth in ((self.begin[goals], early), (self.begin[goals] + early, self.depth[goals] - early)):
-            owner = np.repeat(np.arange(len(goals), dtype=np.int32), depth)
-            where = np.arange(len(owner), dtype=np.int32) + (begin - (np.cumsum(depth, dtype=np.int32) - depth))[owner]
-            nodes = self.nodes[where]
-            if depth is early:
-                odds = first.ravel()[owner * np.int32(width) + nodes]
-            else:
-                odds = np.einsum("ij,ij->i", h[owner], weights[nodes])
-                odds += self.rest.ravel()[self.group[before][owner] * np.int32(self.rest.shape[1]) + nodes]
-            yield owner, nodes, self.turns[where], odds
+        depth = self.late_depth.take(goals)
+        owner = np.repeat(np.arange(len(goals)), depth)
+        where = np.arange(len(owner), dtype=np.int32)
+        where += (self.late_begin.take(goals) - np.cumsum(depth, dtype=np.int32) + depth).take(owner)
+        nodes = self.nodes.take(where)
+        rows, own = h.take(owner, 0), weights.take(nodes, 0)
+        odds = np.einsum("ij,ij->i", rows, own)
+        odds += self.rest.ravel().take((self.group.take(before) * np.int32(self.rest.shape[1])).take(owner) + nodes)
+        return owner, nodes, self.turns.take(where), rows, own, odds
+
+
+class FirstNodes:
+    """The log odds of the turns at the TOP nodes: one product for all nodes, then the turns of each path are picked as a table."""
+
+    def __init__(self, vocab: Vocabulary):
+        self.vocab, self.width = vocab, vocab.top.shape[1]
+        self.nodes, self.turns = vocab.first_turns()
+        self.begin = np.zeros((0, 1), np.int64)
+
+    def __call__(self, h: np.ndarray, weights: np.ndarray, before: np.ndarray, goals: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of each goal: nodes, their places in a flat table of goals by nodes, turns, and the log odds times the turn."""
+        if len(goals) > len(self.begin):
+            self.begin = np.arange(len(goals))[:, None] * self.width
+        every = h @ weights[: self.width].T
+        every += self.vocab.top.take(before, 0)
+        nodes, turns = self.nodes.take(goals, 0), self.turns.take(goals, 0)
+        at = nodes + self.begin[: len(goals)]
+        odds = every.ravel().take(at)
+        odds *= turns
+        return nodes, at, turns, odds
 
 
 def id_type(end: int) -> np.dtype:
@@ -332,6 +357,8 @@ _CAUSAL = _REL >= 0
 _BACK = np.where(_CAUSAL, _REL, 0)
 _NEVER = np.float32(-1e9)
 _SCALE = np.float32(1 / math.sqrt(DIM))
+_REL_SEEN = _BACK[_CAUSAL]
+_BIAS_AT = np.where(_CAUSAL, _REL, 2 * BLOCK)
 
 
 def untrained(vocab: Vocabulary) -> Attention:
@@ -342,11 +369,25 @@ def untrained(vocab: Vocabulary) -> Attention:
     return Attention(tokens, np.zeros((vocab.rest.shape[1], DIM), np.float32), square(), square(), square(), square(), np.zeros(2 * BLOCK, np.float32))
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(-1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(-1, keepdims=True)
-    return x
+def _weights(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each place weighs, and their sum in each row; scores are overwritten. The largest is taken off only where exp needs it."""
+    kept = scores if scores.max() < 80 else scores - scores.max(-1, keepdims=True)
+    low = kept.diagonal(BLOCK, 1, 2).min() < -80 and (kept.max(-1) < -80).any()
+    if low:
+        kept -= kept.max(-1, keepdims=True)
+    np.exp(kept, out=kept)
+    return kept, (kept.reshape(-1, kept.shape[-1]) @ np.ones(kept.shape[-1], np.float32)).reshape(kept.shape[:-1])
+
+
+def _log_odds_lost(z: np.ndarray) -> np.ndarray:
+    """log(1 + exp(-z)), which is what a turn with log odds z costs."""
+    lost = np.abs(z)
+    np.negative(lost, out=lost)
+    np.exp(lost, out=lost)
+    lost += 1
+    np.log(lost, out=lost)
+    lost -= np.minimum(z, 0)
+    return lost
 
 
 def _distinct(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -358,9 +399,19 @@ def _distinct(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return found, place[values]
 
 
+_PLACES = [np.zeros((0, DIM), np.int64)]
+
+
+def _places(n: int) -> np.ndarray:
+    """The flat places of so many rows of DIM, or more; the largest table asked for is kept."""
+    if len(_PLACES[0]) < n:
+        _PLACES[0] = np.arange(2 * n * DIM).reshape(-1, DIM)
+    return _PLACES[0]
+
+
 def _summed(rows: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """The sum of each owner's rows."""
-    at = owner.astype(np.int64)[:, None] * DIM + np.arange(DIM)
+    at = _places(n).take(owner, 0)
     return np.bincount(at.ravel(), weights=rows.ravel(), minlength=n * DIM).reshape(n, DIM).astype(np.float32)
 
 
@@ -371,9 +422,9 @@ class Scorer:
         e = model.tokens.astype(np.float32)
         self.vocab, self.pad = vocab, len(e) - 1
         self.q, self.k, self.v, self.r = (np.ascontiguousarray(e @ w, np.float32) for w in (model.wq * _SCALE, model.wk, model.wv, model.wr))
-        self.kv, self.qr = np.hstack([self.k, self.v]), np.hstack([self.q, self.r])
         self.bias = np.where(_CAUSAL, model.bias[np.maximum(_REL, 0)], _NEVER).astype(np.float32)
-        self.nodes = model.nodes.astype(np.float32)
+        self.nodes, self.first = model.nodes.astype(np.float32), FirstNodes(vocab)
+        self.real = (np.arange(self.first.nodes.shape[1]) < vocab.early[:, None]).astype(np.float32)
 
     def log_probs(self, laid: np.ndarray, targets: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """Natural log probability of each target, 0 where there is none."""
@@ -382,21 +433,20 @@ class Scorer:
             i, t = laid[at : at + SCORED_BLOCKS], targets[at : at + SCORED_BLOCKS].ravel()
             first = begins[at : at + SCORED_BLOCKS]
             k = windows(i, first, self.pad, laid[at - 1 : at] if at else None)
-            kv, qr = self.kv[k], self.qr[i]
-            scores = qr[..., :DIM] @ kv[..., :DIM].transpose(0, 2, 1)
+            scores = self.q.take(i, 0) @ self.k.take(k, 0).transpose(0, 2, 1)
             scores += self.bias
             scores[first, :, :BLOCK] = _NEVER  # padding at a text's end comes after all that is scored
+            weights, total = _weights(scores)
+            h = weights @ self.v.take(k, 0)
+            h /= total[..., None]
+            h += self.r.take(i, 0)
             real = np.flatnonzero(t >= 0)
-            np.exp(np.minimum(scores, np.float32(80), out=scores), out=scores)
-            h = scores @ kv[..., DIM:]
-            h /= scores.sum(-1, keepdims=True)
-            h += qr[..., DIM:]
-            h = h.reshape(-1, DIM)[real]
-            goals = t[real]
-            found = np.zeros(len(goals))
-            for owner, _, turns, z in self.vocab.halves(h, self.nodes, i.ravel()[real], goals):
-                z *= -turns
-                found -= np.bincount(owner, weights=np.logaddexp(z, np.float32(0)), minlength=len(goals))
+            h, before, goals = h.reshape(-1, DIM).take(real, 0), i.ravel()[real], t[real]
+            z = self.first(h, self.nodes, before, goals)[-1]
+            found = np.einsum("ij,ij->i", _log_odds_lost(z), self.real.take(goals, 0))
+            owner, _, turns, _, _, z = self.vocab.late(h, self.nodes, before, goals)
+            z *= turns
+            found = -found - np.bincount(owner, weights=_log_odds_lost(z), minlength=len(goals))
             found[goals == self.vocab.n] += self.vocab.log_other
             result[at * BLOCK + real] = found
         return result.reshape(targets.shape)
@@ -409,6 +459,7 @@ class Trainer:
         self.vocab = vocab
         self.model = replace(model, **{n: getattr(model, n).astype(np.float32) for n in (*_DENSE, *_SPARSE)})
         self.first, self.second = ({n: np.zeros_like(getattr(self.model, n)) for n in (*_DENSE, *_SPARSE)} for _ in range(2))
+        self.first_nodes = FirstNodes(vocab)
         self.steps, self.seen = 0, {n: np.zeros(len(getattr(model, n))) for n in _SPARSE}
 
     def epoch(self, keys: np.ndarray, targets: np.ndarray, rates: tuple[float, float], rng: np.random.Generator) -> None:
@@ -419,69 +470,88 @@ class Trainer:
 
     def step(self, k: np.ndarray, t: np.ndarray, rate: float) -> None:
         model, vocab, pad = self.model, self.vocab, len(self.model.tokens) - 1
-        used, inverse = _distinct(k, len(model.tokens))
-        ek = model.tokens.take(k, 0)
-        eq = np.ascontiguousarray(ek[:, BLOCK:])
-        times = lambda x, w: (x.reshape(-1, DIM) @ w).reshape(x.shape)  # noqa: E731  one product for all windows
-        q, kk, v = times(eq, model.wq), times(ek, model.wk), times(ek, model.wv)
-        scores = q @ kk.transpose(0, 2, 1) * _SCALE + np.where(_CAUSAL, model.bias[_BACK], _NEVER)
-        scores += np.where(k == pad, _NEVER, np.float32(0))[:, None, :]
-        a = _softmax(scores.astype(np.float32))
-        h = a @ v + times(eq, model.wr)
         real = np.flatnonzero((t >= 0) & (t < vocab.n))
         if not len(real):
             return
         self.steps += 1
-        hr, before, goals = h.reshape(-1, DIM)[real], k[:, BLOCK:].ravel()[real], t[real]
-        slope = lambda z, turns: -turns / (1 + np.exp(np.minimum(z * turns, 80))) / np.float32(len(goals))
-        (owner, nodes, turns, z), late = vocab.halves(hr, model.nodes, before, goals)
+        # Projections are made once for each index that takes part, then dealt to its places.
+        used, inverse = _distinct(k, len(model.tokens))
+        own = np.ascontiguousarray(inverse[:, BLOCK:])
+        e, wq = model.tokens.take(used, 0), model.wq * _SCALE
+        q, kk, v = (e @ wq).take(own, 0), (e @ model.wk).take(inverse, 0), (e @ model.wv).take(inverse, 0)
+        scores = q @ kk.transpose(0, 2, 1)
+        scores += np.append(model.bias, _NEVER).take(_BIAS_AT)
+        scores[k[:, 0] == pad, :, :BLOCK] = _NEVER  # padding at a text's end comes after all that has a target
+        a, total = _weights(scores)
+        a *= (1 / total)[..., None]
+        seen = a @ v
+        h = (seen + (e @ model.wr).take(own, 0)).reshape(-1, DIM)
+        hr, before, goals = h.take(real, 0), k[:, BLOCK:].ravel()[real], t[real]
+
+        def slope(z: np.ndarray, turns: np.ndarray) -> np.ndarray:
+            np.exp(np.minimum(z, np.float32(80), out=z), out=z)
+            z += 1
+            z *= -np.float32(len(goals))
+            return np.divide(turns, z, out=z)
+
         # The first nodes as one table, the others one by one.
-        width = vocab.top.shape[1]
-        table = np.zeros((len(goals), width), np.float32)
-        table[owner, nodes] = slope(z, turns)
-        dhr, dfirst, met = table @ model.nodes[:width], table.T @ hr, np.flatnonzero(np.bincount(nodes, minlength=width))
-        owner, nodes, turns, z = late
+        width = self.first_nodes.width
+        nodes, at, turns, z = self.first_nodes(hr, model.nodes, before, goals)
+        table, met = np.zeros((len(goals), width), np.float32), np.zeros(width, bool)
+        table.ravel()[at] = slope(z, turns)
+        met[nodes] = True
+        met = np.flatnonzero(met)
+        dhr, dfirst = table @ model.nodes[:width], table.T @ hr
+        owner, nodes, turns, rows, at_nodes, z = vocab.late(hr, model.nodes, before, goals)
+        z *= turns
         weight = slope(z, turns)[:, None]
-        dhr += _summed(weight * model.nodes.take(nodes, 0), owner, len(goals))
+        at_nodes *= weight
+        rows *= weight
+        dhr += _summed(at_nodes, owner, len(goals))
         passed, place = _distinct(nodes, len(model.nodes))
-        for at, grad in ((met, dfirst[met]), (passed, _summed(weight * hr.take(owner, 0), place, len(passed)))):
-            if len(at):
-                self.seen["nodes"][at] += 1
-                self._move("nodes", at, grad, rate)
-        dh = np.zeros((h.shape[0] * BLOCK, DIM), np.float32)
-        dh[real] = dhr
-        dh = dh.reshape(h.shape)
-        da, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
-        ds = a * (da - (da * a).sum(-1, keepdims=True))
-        grad = {}
-        grad["bias"] = np.bincount(_BACK[_CAUSAL], weights=ds.sum(0)[_CAUSAL], minlength=2 * BLOCK).astype(np.float32)
-        dq, dk = ds @ kk * _SCALE, ds.transpose(0, 2, 1) @ q * _SCALE
-        flat = lambda x: x.reshape(-1, DIM)
-        grad["wq"], grad["wr"] = flat(eq).T @ flat(dq), flat(eq).T @ flat(dh)
-        grad["wk"], grad["wv"] = flat(ek).T @ flat(dk), flat(ek).T @ flat(dv)
-        dek = times(dk, model.wk.T) + times(dv, model.wv.T)
-        dek[:, BLOCK:] += times(dq, model.wq.T) + times(dh, model.wr.T)
-        dtokens = _summed(flat(dek), inverse.ravel(), len(used))
+        changed = np.concatenate([met, passed])
+        self.seen["nodes"][changed] += 1
+        self._move("nodes", changed, np.concatenate([dfirst[met], _summed(rows, place, len(passed))]), rate)
+        if len(real) == len(h):
+            dh = dhr
+        else:
+            dh = np.zeros_like(h)
+            dh[real] = dhr
+        ds = dh.reshape(seen.shape) @ v.transpose(0, 2, 1)
+        ds -= np.einsum("ij,ij->i", dh, seen.reshape(-1, DIM)).reshape(total.shape)[..., None]
+        ds *= a
+        dq, dk, dv = ds @ kk, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh.reshape(seen.shape)
+        dq, dk, dv, own, inverse = dq.reshape(-1, DIM), dk.reshape(-1, DIM), dv.reshape(-1, DIM), own.ravel(), inverse.ravel()
+        ek, eq = e.take(inverse, 0), e.take(own, 0)
+        grad = {"wq": (dq.T @ eq).T * _SCALE, "wk": (dk.T @ ek).T, "wv": (dv.T @ ek).T, "wr": (dh.T @ eq).T}
+        grad["bias"] = np.bincount(_REL_SEEN, weights=ds.sum(0)[_CAUSAL], minlength=2 * BLOCK).astype(np.float32)
+        dek = dk @ model.wk.T
+        dek += dv @ model.wv.T
+        late = dek.reshape(-1, 2, BLOCK * DIM)[:, 1]
+        late += (dq @ wq.T + dh @ model.wr.T).reshape(late.shape)
         self.seen["tokens"][used] += 1
-        self._move("tokens", used, dtokens, rate)
+        self._move("tokens", used, _summed(dek, inverse, len(used)), rate)
         for n in _DENSE:
-            self._move(n, np.arange(len(grad[n])), grad[n], rate)
-
-    def _move(self, name: str, at: np.ndarray, grad: np.ndarray, rate: float) -> None:
-        # Each row is read once and written once; what is read by numbers is a copy.
-        first, second = self.first[name][at], self.second[name][at]
-        first += 0.1 * (grad - first)
-        grad = grad * grad
-        grad -= second
-        grad *= 0.01
-        second += grad
-        self.first[name][at], self.second[name][at] = first, second
-        second /= 1 - 0.99**self.steps
-        np.sqrt(second, out=second)
-        second += 1e-6
-        first *= rate / (1 - 0.9**self.steps)
-        first /= second
-        getattr(self.model, name)[at] -= first
+            self._move(n, slice(None), grad[n], rate)
+
+    def _move(self, name: str, at: np.ndarray | slice, grad: np.ndarray, rate: float) -> None:
+        # Each row is read once and written once; what is read by numbers is a copy. Moments are kept as sums, 10 and 100 times the means.
+        every = isinstance(at, slice)
+        first, second = ((x[name] if every else x[name].take(at, 0)) for x in (self.first, self.second))
+        first *= 0.9
+        first += grad
+        second *= 0.99
+        second += grad * grad
+        if not every:
+            self.first[name][at], self.second[name][at] = first, second
+        # rate * mean / (root of the mean of squares + 1e-6), both corrected for their beginning at 0
+        scale = math.sqrt((1 - 0.99**self.steps) / 0.01)
+        change = np.sqrt(second)
+        change += 1e-6 * scale
+        np.divide(first, change, out=change)
+        change *= rate * scale * 0.1 / (1 - 0.9**self.steps)
+        weights = getattr(self.model, name)
+        weights[at] = (weights if every else weights.take(at, 0)) - change
 
 
 def _rates(turn: int) -> tuple[float, float]:

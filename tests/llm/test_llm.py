@@ -334,6 +334,45 @@ def test_gradients_by_differences():
             assert math.isclose((moved[0] - moved[1]) / 0.04, grad[at], rel_tol=0.05, abs_tol=2e-4), name
 
 
+def test_first_turns_are_the_beginnings_of_paths():
+    """A row holds the turns of an index at the first nodes in order; a shorter one repeats its last."""
+    vocab = small_vocabulary(30, np.random.default_rng(9))
+    nodes, turns = vocab.first_turns()
+    for g in range(vocab.n + 1):
+        path = [s for s in range(vocab.begin[g], vocab.begin[g] + vocab.depth[g]) if vocab.nodes[s] < vocab.top.shape[1]]
+        path += [path[-1]] * (nodes.shape[1] - len(path))
+        assert nodes[g].tolist() == vocab.nodes[path].tolist() and turns[g].tolist() == vocab.turns[path].tolist()
+    alone = lm_scoring.tree(np.zeros(0), 5, np.zeros(7, int)).first_turns()
+    assert [x.tolist() for x in alone] == [[[0]], [[0.0]]]
+
+
+def test_weights_of_extreme_scores():
+    """Weights are those of a softmax where exp would overflow or vanish, too: scores of 90 and 200 don't weigh the same."""
+    rng = np.random.default_rng(10)
+    shape = (3, lm_scoring.BLOCK, 2 * lm_scoring.BLOCK)
+    for scale, shift in ((1, 0), (100, 0), (1, 300), (1, -300), (100, -300)):
+        scores = (rng.standard_normal(shape) * scale + shift).astype(np.float32)
+        scores[:, ~lm_scoring._CAUSAL] = lm_scoring._NEVER
+        want = np.exp(scores.astype(float) - scores.max(-1, keepdims=True))
+        got, total = lm_scoring._weights(scores.copy())
+        assert np.allclose(got / total[..., None], want / want.sum(-1, keepdims=True), atol=1e-5)
+
+
+def test_scores_of_windows_with_extreme_attention():
+    """A score over 80 is not cut: the window's weights are those of an exact softmax."""
+    rng = np.random.default_rng(11)
+    vocab = small_vocabulary(20, rng)
+    model = lm_scoring.untrained(vocab)
+    model.bias[:] = 0
+    model.bias[:2] = 85, 120
+    model.nodes = rng.standard_normal(model.nodes.shape).astype(np.float32)
+    scorer = lm_scoring.Scorer(vocab, model)
+    laid, t, _, begins = lm_scoring.blocks(rng.integers(0, 20, 16), rng.integers(0, 20, 16), np.array([16]), scorer.pad)
+    shifted = lm_scoring.replace(model, bias=model.bias - 110)
+    want = lm_scoring.Scorer(vocab, shifted).log_probs(laid, t, begins)
+    assert np.allclose(scorer.log_probs(laid, t, begins), want, atol=1e-3)
+
+
 def test_score_edges(odd, nothing):
     assert lm_scoring.score(nothing, F.lit(False)).count() == 0
     got = lm_scoring.score(odd, F.coalesce(F.col("doc_id") == 5, F.lit(False))).collect()
