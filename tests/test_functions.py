@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from lodestrata import plans
 from lodestrata.functions import normalize, parse, similarity, text
 
 
@@ -75,3 +76,15 @@ def test_entities_by_pieces_are_those_of_the_pattern():
         assert text._decoded(s) == text._ENTITY.sub(text._character, s)
     was = len(text._pieces)
     assert text._decoded("&#66;" * 1_000) == "B" * 1_000 and len(text._pieces) <= was + 1
+
+
+def test_entities_are_written_in_all_three_forms(spark, tmp_path, monkeypatch):
+    """entity_round_trip writes hexadecimal, decimal and named entities, so that names are decoded too, those beyond the first code points among them."""
+    whole = "".join(c * 6 for c in text.ENTITIES.values()) + "aé\0\U0001f600"
+    spark.createDataFrame([(1, whole), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: (r.text, r.once) for r in plans.QUERIES["entity_round_trip"](spark, str(tmp_path)).collect()} == {1: (whole, "&#65;"), 2: ("", "&#65;")}
+    monkeypatch.setattr(text, "decode_entities", lambda c: c)
+    written = {r.doc_id: r.text for r in plans.QUERIES["entity_round_trip"](spark, str(tmp_path)).collect()}[1]
+    for name, c in text.ENTITIES.items():
+        assert all(form in written for form in (f"&{name};", f"&#{ord(c)};", f"&#x0000{ord(c):X};"))
+    assert text._decoded(written) == whole
