@@ -47,16 +47,17 @@ def _postings(t: Tables) -> DataFrame:
     return _index(t).posts
 
 
-def _lexical_hits(t: Tables) -> DataFrame:
+def _lexical_hits(t: Tables, every: bool = False) -> DataFrame:
+    """Documents that have a term of the question: any term, or one that is not too common."""
     found, terms = _index(t), search.query_terms(QUESTION)
     # The share is higher than the usual 0.02: the tables are small.
-    common = found.common(terms, t.documents.count(), 0.05)
+    common = set() if every else found.common(terms, t.documents.count(), 0.05)
     hits = search.match(found.posts, "doc_id", [w for w in terms if w not in common], False)
     return hits.select("doc_id", "n_terms", F.round("score", 6).alias("score"))
 
 
-def _lexical(t: Tables, limit: int) -> DataFrame:
-    return _lexical_hits(t).orderBy(F.col("score").desc(), "doc_id").limit(limit)
+def _lexical(t: Tables, limit: int, every: bool = False) -> DataFrame:
+    return _lexical_hits(t, every).orderBy(F.col("score").desc(), "doc_id").limit(limit)
 
 
 def _probe(t: Tables) -> list[float]:
@@ -100,15 +101,15 @@ def similar_docs(t: Tables) -> DataFrame:
     return found.select("vec_id", F.round("score", 6).alias("score"))
 
 
-_FUSED = f"""{_LEXICAL},
-    fts as (select doc_id, row_number() over (order by round(score, 6) desc, doc_id) as r from scored order by r limit 60),
+_ARMS = f"""fts as (select doc_id, row_number() over (order by round(score, 6) desc, doc_id) as r from scored order by r limit 60),
     dense as (select vec_id as doc_id, row_number() over (order by {_COSINE} desc, vec_id) as r from embeddings order by r limit 60),
     fused as (select doc_id, sum(1.0 / (60 + r)) as rrf, min(r) as best, case when count(*) > 1 then 'both' else min(arm) end as arm from (select *, 'fts' as arm from fts union all select *, 'dense' from dense) group by 1)"""
+_FUSED = f"{_LEXICAL}, {_ARMS}"
 
 
-def _fused(t: Tables, limit: int) -> DataFrame:
+def _fused(t: Tables, limit: int, every: bool = False) -> DataFrame:
     dense = search.knn(t.embeddings, "vec_id", "embedding", _probe(t), 60).select(F.col("vec_id").alias("doc_id"), F.round("score", 9).alias("score"))
-    return search.rrf({"fts": _lexical(t, 60).select("doc_id", "score"), "dense": dense}, "doc_id", limit)
+    return search.rrf({"fts": _lexical(t, 60, every).select("doc_id", "score"), "dense": dense}, "doc_id", limit)
 
 
 @query(f"{_FUSED} select doc_id, round(rrf, 9) as rrf, arm from fused order by fused.rrf desc, best, doc_id limit 50")
@@ -129,15 +130,15 @@ def widen_search(t: Tables) -> DataFrame:
     return room.unionByName(wide.select("doc_id", F.lit(True).alias("widened")))
 
 
-@query(f"""{_FUSED}, keyed as (select 7 as doc_id, 0 as arm_no, 1 as r), named as (select doc_id, 1 as arm_no, row_number() over (order by doc_id) as r from documents where source = 'src3' order by doc_id limit 5),
+@query(f"""with {_POSTS}, {_ranked(_TERMS)}, {_ARMS}, keyed as (select 7 as doc_id, 0 as arm_no, 1 as r), named as (select doc_id, 1 as arm_no, row_number() over (order by doc_id) as r from documents where source = 'src3' order by doc_id limit 5),
     text_arm as (select doc_id, 2 as arm_no, row_number() over (order by rrf desc, best, doc_id) as r from fused order by r limit 20),
     every as (select * from keyed union all select * from named union all select * from text_arm)
     select doc_id, min(arm_no)::int as arm from every group by 1""")
 def chat_retrieval(t: Tables) -> DataFrame:
-    """A key that the question names, a source that it names, then fused retrieval: each document by its first arm."""
+    """A key that the question names, a source that it names, then fused retrieval by every term, however common: each document by its first arm."""
     keyed = t.documents.where("doc_id = 7").select("doc_id", F.lit(0).alias("arm"))
     named = t.documents.where("source = 'src3'").orderBy("doc_id").limit(5).select("doc_id", F.lit(1).alias("arm"))
-    fused = _fused(t, 20).select("doc_id", F.lit(2).alias("arm"))
+    fused = _fused(t, 20, True).select("doc_id", F.lit(2).alias("arm"))
     return keyed.unionByName(named).unionByName(fused).groupBy("doc_id").agg(F.min("arm").alias("arm"))
 
 

@@ -4,10 +4,12 @@ import random
 import threading
 import uuid
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrata import plans
 from lodestrata.operators import indexes as I
 from lodestrata.operators import search
 from lodestrata.sources import lake
@@ -161,3 +163,17 @@ def test_terms_are_grouped_where_rows_are_read(spark, monkeypatch):
     built = I.trigram_index(df, "k", "text", path)
     assert max(len(r["keys"]) for r in built.table(spark, "grams").collect()) > 1
     assert sorted(r.k or 0 for r in I.substring_search(built, df, "k", "text", "TAX").collect()) == [0, 1, 1]
+
+
+def test_chat_retrieval_searches_by_common_terms(spark, tmp_path):
+    """A term of the question that is in 15 % of the documents finds them; its SQL says the same."""
+    words = ["clown" + " mask" * (k % 5) + " clown" * (k % 7) if k >= 170 else "plain words" for k in range(200)]
+    vectors = [(k, [1.0, k / 10]) for k in range(0, 400, 4)]
+    spark.createDataFrame([(1_000 + k, w, "src1") for k, w in enumerate(words)] + [(7, "key", "src3")], "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.doc_id: r.arm for r in plans.QUERIES["chat_retrieval"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    assert got == dict(con.sql(plans.ORACLES["chat_retrieval"]).fetchall())
+    assert got[7] == 0 and sum(d >= 1_170 for d in got) == 10
