@@ -172,3 +172,27 @@ def test_buffer_flushes_by_rows_bytes_age_and_alone(spark, rocks):
     assert again[1][:3] == (1, 1, "age") and [i for _, _, _, ids in again for i in ids if i.startswith("a")] in ([f"a{k}" for k in range(8)], [f"a{k}" for k in range(7)])
     texts = [x["text"] for r in spark.read.parquet(sink).where("shard = 3").collect() for x in json.loads(r.rows)]
     assert "z" * 1_000 in texts
+
+
+def test_linkage_of_near_copies_makes_no_row_a_pair(spark, monkeypatch):
+    """Records and works with the same names and a common head of the title: compared in cells, over several blocks, with the results of all pairs."""
+    rng = random.Random(9)
+    head, some = ["head1", "head2", "head3"], lambda n: [f"w{rng.randrange(3_000)}" for _ in range(n)]
+    names = lambda: ["lab", "one", "two", "three", f"src{rng.randrange(2)}"]
+    distinct = lambda x: list(dict.fromkeys(x))
+    records = [(k, names(), distinct(head + some(4))) for k in range(60)]
+    works = [(k, names(), t := distinct(head + some(rng.randrange(5))), distinct(t + some(rng.randrange(40)))) for k in range(90)]
+    jaccard = lambda a, b: len({*a} & {*b}) / len({*a} | {*b})
+    want = {}
+    for r in records:
+        share = lambda w: len({*r[1]} & {*w[1]}) / 5
+        best, work = max((0.6 * share(w) + 0.4 * min(0.5 * jaccard(r[2], w[2]) + jaccard(r[2], w[3]), 1), -w[0]) for w in works)
+        if best >= linkage.LEAST:
+            want[r[0]] = (-work, round(best, 9))
+    monkeypatch.setattr(linkage, "BLOCK", 16)
+    written, was = {}, linkage._written
+    monkeypatch.setattr(linkage, "_written", lambda df, tag: written.setdefault(tag, was(df, tag)))
+    pubs = spark.createDataFrame(works, "work long, authors array<string>, title array<string>, abstract array<string>")
+    got = linkage.published_versions(spark.createDataFrame(records, "id long, authors array<string>, title array<string>"), pubs, 3)
+    assert {r.id: (r.work, round(r.score, 9)) for r in got.collect()} == want and len(want) > 30
+    assert written["link-pairs"].count() < 60 * 90 / 3
